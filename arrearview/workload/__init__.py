@@ -1,6 +1,6 @@
 """The registered queries and their checks."""
 
-from arrearview.workload import contract_queries, layers, vintage_queries  # noqa: F401
+from arrearview.workload import cohort_queries, contract_queries, layers, vintage_queries  # noqa: F401
 from arrearview.workload.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

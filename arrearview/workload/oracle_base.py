@@ -367,6 +367,28 @@ from (
 group by all
 """
 
+CTES["c_coh"] = """
+select g.mob, product contract_type, channel channel_type, first_open_month, count(*) n,
+  count(case when max_mob >= g.mob then 1 end) n_full, count(case when m30 <= g.mob then 1 end) k,
+  count(case when m30_nt <= g.mob then 1 end) k_nt, count(case when m30_due <= g.mob then 1 end) k_due,
+  count(case when m30_due_raw <= g.mob then 1 end) k_due_raw, count(case when m1 <= g.mob then 1 end) k1
+from c_out l join (select cast(unnest([6, 12, 24]) as int) mob) g on l.ended or l.max_mob >= g.mob
+where in_base group by all
+"""
+CTES["c_cut"] = """
+select *, 'product_only' scheme, cast(-96 as int) start, 'all' label, cast(-1 as int) last from c_coh
+union all select *, 'cut3', cast(case when first_open_month > -36 then -35 when first_open_month > -60 then -59
+    else -96 end as int), case when first_open_month > -36 then '-35 and later' when first_open_month > -60
+    then '-59 to -36' else '-60 and earlier' end,
+    cast(case when first_open_month > -36 then -1 when first_open_month > -60 then -36 else -60 end as int) from c_coh
+union all select * exclude (b), 'cut12', b, b || ' to ' || (b + 11), b + 11 from
+  (select *, cast(12 * floor(first_open_month / 12.0e0) as int) b from c_coh) x(mob, contract_type, channel_type,
+   first_open_month, n, n_full, k, k_nt, k_due, k_due_raw, k1, b)
+union all select * exclude (b), 'cut24', b, b || ' to ' || (b + 23), b + 23 from
+  (select *, cast(24 * floor(first_open_month / 24.0e0) as int) b from c_coh) x(mob, contract_type, channel_type,
+   first_open_month, n, n_full, k, k_nt, k_due, k_due_raw, k1, b)
+"""
+
 _LIGHT = {"s_app", "s_prev", "s_pos", "s_card", "s_inst", "base"}
 
 
