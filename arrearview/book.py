@@ -8,11 +8,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from arrearview.params import Definitions
-from arrearview.plans import core, marts
+from arrearview.plans import cohorts, core, marts
 from arrearview.plans.staging import STAGING
 from arrearview.sources.store import LazyStore, TableStore
 
 
+MARTS = ("funnel_by_channel", "fpd_by_segment", "vintage", "roll_rate", "roll_rate_no_threshold", "portfolio_snapshot")
+
+
 class LoanBook:
     """Ordered build of the layers; dependencies are the attributes a table reads.
 
@@ -56,6 +59,10 @@ class LoanBook:
         outcome = core.loan_outcome(self.fct_loan_month, self.dim_loan, self.d)
         return self.store.keep("core", "loan_outcome", outcome, by_contract=True)
 
+    @cached_property
+    def cohort_cells(self) -> DataFrame:
+        return self.store.keep("mart", "cohort_cells", cohorts.cohort_cells(self.loan_outcome, self.d))
+
     @cached_property
     def funnel_by_channel(self) -> DataFrame:
         return self.store.keep("mart", "funnel_by_channel",
@@ -90,9 +97,7 @@ class LoanBook:
 
     @property
     def marts(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in (
-            "funnel_by_channel", "fpd_by_segment", "vintage", "roll_rate", "roll_rate_no_threshold",
-            "portfolio_snapshot")}
+        return {name: getattr(self, name) for name in MARTS}
 
     def build(self, report: Callable[[str], None] | None = None) -> dict[str, DataFrame]:
         """All core and mart tables in dependency order."""
@@ -101,8 +106,8 @@ class LoanBook:
             out[name] = getattr(self, name)
             if report:
                 report(name)
-        for name, table in self.marts.items():
-            out[name] = table
+        for name in MARTS:
+            out[name] = getattr(self, name)
             if report:
                 report(name)
         return out

@@ -26,3 +26,10 @@ def write_findings(findings: DataFrame, path: str) -> None:
     """One JSON object per line, in a fixed order; NULL fields are kept."""
     keys = [F.col("section"), F.col("mob").asc_nulls_first(), F.to_json("dims"), F.col("measure")]
     findings.orderBy(*keys).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+FINDINGS_SCHEMA = "section STRING, mob INT, dims MAP<STRING, STRING>, measure STRING, value DOUBLE"
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FINDINGS_SCHEMA).json(path)

@@ -1,6 +1,8 @@
 """The registered queries and their checks."""
 
-from arrearview.workload import cohort_queries, contract_queries, layers, vintage_queries  # noqa: F401
+from arrearview.workload import layers, vintage_queries, contract_queries, cohort_queries, quality_queries
+from arrearview.workload import findings_queries  # composed of the checks registered before
 from arrearview.workload.registry import CHECKS, QUERIES
 
-__all__ = ["CHECKS", "QUERIES"]
+__all__ = ["CHECKS", "QUERIES", "layers", "vintage_queries", "contract_queries", "cohort_queries", "quality_queries",
+           "findings_queries"]

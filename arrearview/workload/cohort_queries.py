@@ -22,10 +22,7 @@ def add(*names: str) -> str:
 
 
 def cells(b):
-    """Base-grain cohort cells, kept as a mart of the book since ten analyses read them."""
-    if not hasattr(b, "_cohort_cells"):
-        b._cohort_cells = b.store.keep("mart", "cohort_cells", c.cohort_cells(b.loan_outcome, b.d))
-    return b._cohort_cells
+    return b.cohort_cells
 
 
 query("cohort_cells", "select mob, contract_type, channel_type, first_open_month, n, n_full, k, k_nt, k_due, "

@@ -410,9 +410,9 @@ def with_ctes(body: str) -> str:
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
 
 
-def check(body: str, *rounded: str) -> str:
-    """A complete check query; `rounded` names the double columns to round as the Spark side does."""
-    if rounded:
-        swaps = ", ".join(f"round({c}, 6) as {c}" for c in rounded)
-        body = f"select * replace ({swaps}) from ({body.strip()}) rounded_rows"
-    return with_ctes(body)
+def rounding(body: str, *columns: str) -> str:
+    """The body with the named double columns rounded as the Spark side does."""
+    if not columns:
+        return body
+    swaps = ", ".join(f"round({c}, 6) as {c}" for c in columns)
+    return f"select * replace ({swaps}) from ({body.strip()}) rounded_rows"

@@ -14,7 +14,7 @@ from arrearview.book import LoanBook
 from arrearview.params import Definitions
 from arrearview.sources.star import lending_tables
 from arrearview.sources.store import TableStore
-from arrearview.workload.oracle_base import check
+from arrearview.workload.oracle_base import rounding, with_ctes
 
 # The reference sample of 1,000 would blank nearly every ratio at the small scale factors.
 WORKLOAD = Definitions(min_n=30)
@@ -22,6 +22,7 @@ DIGITS = 6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
+BODIES: dict[str, str] = {}
 _BOOKS: dict[tuple, LoanBook] = {}
 
 
@@ -62,7 +63,8 @@ def query(name: str, sql: str | None = None, *rounded: str):
             raise ValueError(f"query registered twice: {name}")
         QUERIES[name] = lambda spark, star_dir: flat(fn(book(spark, star_dir)))
         if sql is not None:
-            CHECKS[name] = check(sql, *rounded)
+            BODIES[name] = sql
+            CHECKS[name] = with_ctes(rounding(sql, *rounded))
         return fn
 
     return register
