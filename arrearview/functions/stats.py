@@ -1,8 +1,9 @@
-"""Statistics as Column algebra over grouped counts.
+"""Statistics over grouped counts, as Spark SQL expressions.
 
-Each builder takes Columns and returns one struct Column, so a single grouped job yields the
-statistic for every segment. Denominators are guarded with NULLIF, which keeps the expressions
-valid under ANSI mode for empty groups.
+Each builder takes SQL expressions over the grouped columns (usually column names) and returns one
+struct Column, so a single grouped job yields the statistic for every segment. Text is used because
+a formula then costs one parse instead of one driver round trip per operator. Denominators are
+guarded with NULLIF, which keeps the expressions valid under ANSI mode for empty groups.
 """
 
 from __future__ import annotations
@@ -17,17 +18,13 @@ from pyspark.sql import functions as F
 from arrearview.params import Definitions
 
 
-def _dbl(c: Column) -> Column:
-    return c.cast("double")
+def share(part: Column, whole: Column) -> Column:
+    return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
 
 
-def _nz(c: Column) -> Column:
+def _nz(x: str) -> str:
     """Double denominator, NULL instead of zero."""
-    return F.nullif(_dbl(c), F.lit(0.0))
-
-
-def share(part: Column, whole: Column) -> Column:
-    return _dbl(part) / _nz(whole)
+    return f"nullif(double({x}), 0D)"
 
 
 def clean(x: Column, d: Definitions) -> Column:
@@ -36,81 +33,75 @@ def clean(x: Column, d: Definitions) -> Column:
     return F.when(finite, F.round(x, d.digits))
 
 
-def proportion(k: Column, n: Column, d: Definitions) -> Column:
+def proportion(k: str, n: str, d: Definitions) -> Column:
     """Wilson interval of k out of n: struct(rate, lo, hi, enough_n)."""
-    k, n = F.coalesce(k, F.lit(0)), F.coalesce(n, F.lit(0))
-    z2 = d.z * d.z
+    z, z2 = f"{d.z!r}D", f"{d.z * d.z!r}D"
+    n = f"coalesce({n}, 0)"
     nn = _nz(n)
-    p = _dbl(k) / nn
-    shrink = 1 + z2 / nn
-    centre = (p + z2 / (2 * nn)) / shrink
-    half = d.z * F.sqrt(p * (1 - p) / nn + z2 / (4 * nn * nn)) / shrink
-    seen = n > 0
-    return F.struct(
-        p.alias("rate"),
-        F.when(seen, F.greatest(F.lit(0.0), centre - half)).alias("lo"),
-        F.when(seen, F.least(F.lit(1.0), centre + half)).alias("hi"),
-        (n >= d.min_n).alias("enough_n"),
-    )
+    p = f"(double(coalesce({k}, 0)) / {nn})"
+    shrink = f"(1 + {z2} / {nn})"
+    centre = f"({p} + {z2} / (2 * {nn})) / {shrink}"
+    half = f"{z} * sqrt({p} * (1 - {p}) / {nn} + {z2} / (4 * {nn} * {nn})) / {shrink}"
+    return F.expr(
+        f"named_struct('rate', {p}, 'lo', if({n} > 0, greatest(0D, {centre} - {half}), null), "
+        f"'hi', if({n} > 0, least(1D, {centre} + {half}), null), 'enough_n', {n} >= {d.min_n})")
 
 
-def log_interval(ratio: Column, se: Column, z: Column | float) -> tuple[Column, Column]:
-    return ratio * F.exp(-z * se), ratio * F.exp(z * se)
+def _log_bounds(ratio: str, se: str, z: str) -> tuple[str, str]:
+    return f"({ratio}) * exp(-{z} * {se})", f"({ratio}) * exp({z} * {se})"
 
 
-def katz_se(k1: Column, n1: Column, k0: Column, n0: Column) -> Column:
-    """Standard error of the log risk ratio; NULL when a count is zero."""
-    return F.sqrt(1 / _nz(k1) - 1 / _nz(n1) + 1 / _nz(k0) - 1 / _nz(n0))
+def _katz_se(k1: str, n1: str, k0: str, n0: str) -> str:
+    return f"sqrt(1 / {_nz(k1)} - 1 / {_nz(n1)} + 1 / {_nz(k0)} - 1 / {_nz(n0)})"
 
 
-def risk_ratio(k1: Column, n1: Column, k0: Column, n0: Column, d: Definitions) -> Column:
+def risk_ratio(k1: str, n1: str, k0: str, n0: str, d: Definitions) -> Column:
     """(k1/n1)/(k0/n0) with the log interval of Katz.
 
     struct(ratio, lo, hi, significant, haldane, skipped). Nothing is computed when either group is
     below the minimum sample. A zero numerator adds one half to both numerators and one to both
     denominators.
     """
-    skipped = (n1 < d.min_n) | (n0 < d.min_n)
-    haldane = ~skipped & ((k1 == 0) | (k0 == 0))
-    bump = F.when(haldane, 1.0).otherwise(0.0)
-    a, b = _dbl(k1) + bump / 2, _dbl(k0) + bump / 2
-    m1, m0 = _dbl(n1) + bump, _dbl(n0) + bump
-    rr = (a / _nz(m1)) / _nz(b / _nz(m0))
-    lo, hi = log_interval(rr, katz_se(a, m1, b, m0), d.z)
-    use = ~skipped
-    return F.struct(
-        F.when(use, rr).alias("ratio"),
-        F.when(use, lo).alias("lo"),
-        F.when(use, hi).alias("hi"),
-        F.when(use, (lo > 1) | (hi < 1)).alias("significant"),
-        haldane.alias("haldane"),
-        skipped.alias("skipped"),
-    )
-
-
-def byar(observed: Column, expected: Column, d: Definitions) -> Column:
+    skipped = f"({n1} < {d.min_n} or {n0} < {d.min_n})"
+    haldane = f"(not {skipped} and ({k1} = 0 or {k0} = 0))"
+    half = f"if({haldane}, 0.5D, 0D)"
+    a, b = f"({k1} + {half})", f"({k0} + {half})"
+    m1, m0 = f"({n1} + 2 * {half})", f"({n0} + 2 * {half})"
+    rr = f"({a} / {_nz(m1)}) / {_nz(f'{b} / {_nz(m0)}')}"
+    lo, hi = _log_bounds(rr, _katz_se(a, m1, b, m0), f"{d.z!r}D")
+    return F.expr(
+        f"named_struct('ratio', if({skipped}, null, {rr}), 'lo', if({skipped}, null, {lo}), "
+        f"'hi', if({skipped}, null, {hi}), 'significant', if({skipped}, null, {lo} > 1 or {hi} < 1), "
+        f"'haldane', {haldane}, 'skipped', {skipped})")
+
+
+def risk_ratio_bounds(ratio: str, k1: str, n1: str, k0: str, n0: str, z: str) -> Column:
+    """struct(lo, hi) of a known ratio at another normal quantile; NULL when a count is zero."""
+    lo, hi = _log_bounds(ratio, _katz_se(k1, n1, k0, n0), z)
+    return F.expr(f"named_struct('lo', {lo}, 'hi', {hi})")
+
+
+def _byar(observed: str, expected: str, d: Definitions) -> tuple[str, str]:
+    z, e = f"{d.z!r}D", f"if({expected} > 0, double({expected}), null)"
+    o, o1 = _nz(observed), f"(double({observed}) + 1)"
+    lo = f"{o} * power(1 - 1 / (9 * {o}) - {z} / (3 * sqrt({o})), 3)"
+    hi = f"{o1} * power(1 - 1 / (9 * {o1}) + {z} / (3 * sqrt({o1})), 3)"
+    return (f"if({observed} = 0, 0D, {lo}) / {e}",
+            f"if({observed} = 0, {-math.log(d.tail)!r}D, {hi}) / {e}")
+
+
+def byar(observed: str, expected: str, d: Definitions) -> Column:
     """Byar's interval of observed/expected: struct(lo, hi); NULL without expectation."""
-    o, o1 = _nz(observed), _dbl(observed) + 1
-    lo = o * F.pow(1 - 1 / (9 * o) - d.z / (3 * F.sqrt(o)), F.lit(3.0))
-    hi = o1 * F.pow(1 - 1 / (9 * o1) + d.z / (3 * F.sqrt(o1)), F.lit(3.0))
-    none = observed == 0
-    e = F.when(expected > 0, _dbl(expected))
-    return F.struct(
-        (F.when(none, 0.0).otherwise(lo) / e).alias("lo"),
-        (F.when(none, -math.log(d.tail)).otherwise(hi) / e).alias("hi"),
-    )
+    lo, hi = _byar(observed, expected, d)
+    return F.expr(f"named_struct('lo', {lo}, 'hi', {hi})")
 
 
-def observed_over_expected(observed: Column, expected: Column, d: Definitions) -> Column:
+def observed_over_expected(observed: str, expected: str, d: Definitions) -> Column:
     """struct(smr, lo, hi, significant)."""
-    ci = byar(observed, expected, d)
-    lo, hi = ci["lo"], ci["hi"]
-    return F.struct(
-        (_dbl(observed) / _nz(expected)).alias("smr"),
-        lo.alias("lo"),
-        hi.alias("hi"),
-        F.coalesce((lo > 1) | (hi < 1), F.lit(False)).alias("significant"),
-    )
+    lo, hi = _byar(observed, expected, d)
+    return F.expr(
+        f"named_struct('smr', double({observed}) / {_nz(expected)}, 'lo', {lo}, 'hi', {hi}, "
+        f"'significant', coalesce({lo} > 1 or {hi} < 1, false))")
 
 
 def mantel_haenszel(strata: DataFrame, keys: list[str], d: Definitions) -> DataFrame:
@@ -119,47 +110,42 @@ def mantel_haenszel(strata: DataFrame, keys: list[str], d: Definitions) -> DataF
     The variance of the log ratio is that of Greenland and Robins. Strata with an empty side do
     not count.
     """
-    k1, n1, k0, n0 = (_dbl(F.col(c)) for c in ("k1", "n1", "k0", "n0"))
-    both = (F.col("n1") > 0) & (F.col("n0") > 0)
-    total = F.nullif(n1 + n0, F.lit(0.0))
+    both, total = "n1 > 0 and n0 > 0", _nz("n1 + n0")
 
-    def over(x: Column) -> Column:
-        return F.coalesce(F.sum(F.when(both, x)), F.lit(0.0))
+    def over(x: str) -> Column:
+        return F.expr(f"coalesce(sum({x}) filter (where {both}), 0D)")
 
     sums = strata.groupBy(*keys).agg(
-        over(k1 * n0 / total).alias("_num"),
-        over(k0 * n1 / total).alias("_den"),
-        over((n1 * n0 * (k1 + k0) - k1 * k0 * (n1 + n0)) / (total * total)).alias("_var"),
-        F.count_if(both).alias("n_strata"),
-    )
-    num, den = F.nullif(F.col("_num"), F.lit(0.0)), F.nullif(F.col("_den"), F.lit(0.0))
-    rr = num / den
-    lo, hi = log_interval(rr, F.sqrt(F.col("_var") / (num * den)), d.z)
-    return sums.select(
-        *keys, rr.alias("ratio"), lo.alias("lo"), hi.alias("hi"),
-        ((lo > 1) | (hi < 1)).alias("significant"), "n_strata",
+        over(f"double(k1) * n0 / {total}").alias("_num"),
+        over(f"double(k0) * n1 / {total}").alias("_den"),
+        over(f"(double(n1) * n0 * (k1 + k0) - double(k1) * k0 * (n1 + n0)) / ({total} * {total})").alias("_var"),
+        F.expr(f"count_if({both})").alias("n_strata"),
     )
+    rr = "nullif(_num, 0D) / nullif(_den, 0D)"
+    lo, hi = _log_bounds(rr, "sqrt(_var / (nullif(_num, 0D) * nullif(_den, 0D)))", f"{d.z!r}D")
+    return sums.selectExpr(
+        *keys, f"{rr} as ratio", f"{lo} as lo", f"{hi} as hi", f"{lo} > 1 or {hi} < 1 as significant", "n_strata")
 
 
-def arm_size(p1: Column, p2: Column, d: Definitions) -> Column:
+def _arm_size(p1: str, p2: str, gap: str, d: Definitions) -> str:
     """Units per arm to tell p1 from p2: two-sided test of two proportions, equal arms."""
-    mid = (p1 + p2) / 2
-    spread = d.z * F.sqrt(2 * mid * (1 - mid)) + d.z_power * F.sqrt(p1 * (1 - p1) + p2 * (1 - p2))
-    gap = p1 - p2
-    return F.ceil(spread * spread / F.nullif(gap * gap, F.lit(0.0)))
+    mid = f"(({p1} + {p2}) / 2)"
+    spread = (f"({d.z!r}D * sqrt(2 * {mid} * (1 - {mid})) "
+              f"+ {d.z_power!r}D * sqrt({p1} * (1 - {p1}) + {p2} * (1 - {p2})))")
+    return f"ceil({spread} * {spread} / nullif({gap} * {gap}, 0D))"
 
 
-def arm_size_relative(p: Column, change: float, d: Definitions) -> Column:
-    base = F.when(p > 0, F.round(p, d.digits))
-    return arm_size(base, base * (1 + change), d)
+def arm_size_relative(p: str, change: float, d: Definitions) -> Column:
+    """For a relative change of the rate p; NULL when p is zero or unknown."""
+    p1 = f"if({p} > 0, round({p}, {d.digits}), null)"
+    p2 = f"({p1} * {1 + change!r}D)"
+    return F.expr(_arm_size(p1, p2, f"({p1} - {p2})", d))
 
 
-def arm_size_absolute(p: Column, change: Column, d: Definitions) -> Column:
-    base = F.round(p, d.digits)
-    mid = (2 * base + change) / 2
-    target = base + change
-    spread = d.z * F.sqrt(2 * mid * (1 - mid)) + d.z_power * F.sqrt(base * (1 - base) + target * (1 - target))
-    return F.ceil(spread * spread / F.nullif(change * change, F.lit(0.0)))
+def arm_size_absolute(p: str, change: str, d: Definitions) -> Column:
+    """For an absolute change of the rate p."""
+    p1 = f"round({p}, {d.digits})"
+    return F.expr(_arm_size(p1, f"({p1} + {change})", change, d))
 
 
 def bonferroni_z(tests: Column, d: Definitions) -> Column:
@@ -177,10 +163,7 @@ def bonferroni_z(tests: Column, d: Definitions) -> Column:
     return quantile(tests.cast("long"))
 
 
-def sample_flags(k: Column, n: Column, d: Definitions) -> Column:
+def sample_flags(k: str, n: str, d: Definitions) -> Column:
     """struct(small_n, few_cases, thin_cases): what must not be read as a result."""
-    return F.struct(
-        (n < d.min_n).alias("small_n"),
-        (k < d.few_cases).alias("few_cases"),
-        (k < d.thin_cases).alias("thin_cases"),
-    )
+    return F.expr(f"named_struct('small_n', {n} < {d.min_n}, 'few_cases', {k} < {d.few_cases}, "
+                  f"'thin_cases', {k} < {d.thin_cases})")

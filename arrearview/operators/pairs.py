@@ -18,7 +18,7 @@ def _side(cells: DataFrame, keys: list[str], unit: str, name: str, mark: str) ->
 
 
 def with_ratio(pairs: DataFrame, d: Definitions) -> DataFrame:
-    return pairs.withColumn("rr", risk_ratio(*[F.col(c) for c in ("k1", "n1", "k0", "n0")], d))
+    return pairs.withColumn("rr", risk_ratio("k1", "n1", "k0", "n0", d))
 
 
 def unordered_pairs(cells: DataFrame, keys: list[str], unit: str) -> DataFrame:

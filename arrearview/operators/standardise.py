@@ -23,6 +23,6 @@ def standardise(cells: DataFrame, unit: list[str], strata: list[str], d: Definit
         with_expected(cells, strata, observed, base)
         .groupBy(*unit)
         .agg(F.sum(base).alias("n"), F.sum(observed).alias("observed"), F.sum("expected").alias("expected"))
-        .withColumn("oe", observed_over_expected(F.col("observed"), F.col("expected"), d))
-        .withColumn("crude", proportion(F.col("observed"), F.col("n"), d))
+        .withColumn("oe", observed_over_expected("observed", "expected", d))
+        .withColumn("crude", proportion("observed", "n", d))
     )

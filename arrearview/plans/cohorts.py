@@ -113,9 +113,9 @@ def cohort_vintage(cells: DataFrame, d: Definitions) -> DataFrame:
     keys = ["mob", "scheme", "start", "label"]
     both = rows.groupingSets([[F.col(c) for c in keys], [F.col(c) for c in (*keys, "contract_type")]],
                              *keys, "contract_type").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    n = F.col("n")
+    n = "n"
     return both.select(*keys, "contract_type", "n", "n_full", "k", "k_due",
-                       proportion(F.col("k"), n, d).alias("primary"), proportion(F.col("k_due"), n, d).alias("due_only"))
+                       proportion("k", n, d).alias("primary"), proportion("k_due", n, d).alias("due_only"))
 
 
 def oldest_against_newest(cells: DataFrame, d: Definitions) -> DataFrame:
@@ -137,7 +137,7 @@ def cohort_mix(cells: DataFrame, d: Definitions) -> DataFrame:
     return per.select(
         "mob", "scheme", "channel_type", "contract_type", "start", "label", "n", "k",
         share_within("n", ["mob", "scheme", "channel_type", "contract_type"]).alias("share"),
-        proportion(F.col("k"), F.col("n"), d).alias("primary"))
+        proportion("k", "n", d).alias("primary"))
 
 
 def _strata(cells: DataFrame, definitions: dict[str, str], d: Definitions) -> DataFrame:
@@ -198,7 +198,7 @@ def cards_by_cohort(cells: DataFrame, d: Definitions) -> DataFrame:
     return per.select(
         "mob", "scheme", "channel_type", "start", "label", "n", "k",
         F.sum("n").over(channel).alias("n_channel"), F.sum("k").over(channel).alias("k_channel"),
-        proportion(F.col("k"), F.col("n"), d).alias("primary"),
+        proportion("k", "n", d).alias("primary"),
         share_within("k", ["mob", "scheme", "channel_type"]).alias("share_of_cases"))
 
 

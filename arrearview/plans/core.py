@@ -74,7 +74,7 @@ def dim_loan(panel: DataFrame, application: DataFrame, d: Definitions) -> DataFr
         "down_payment_amount", "tenor_months", "days_decision", "days_termination",
         F.lit(True).alias("_found"),
     )
-    cut_left = F.col("first_observed_month") == earliest_month(panel)
+    cut_left = F.col("is_left_truncated")
     end_state = (
         F.when(F.col("first_open_month").isNull(), "never_open")
         .when(F.col("last_status") == d.closed_status, "closed")
@@ -83,6 +83,7 @@ def dim_loan(panel: DataFrame, application: DataFrame, d: Definitions) -> DataFr
         .otherwise("unknown")
     )
     started = F.coalesce(F.col("installments_paid_at_open"), F.lit(0.0)) > 0
+    life = life.withColumn("is_left_truncated", F.col("first_observed_month") == earliest_month(panel))
     return life.join(attributes, "sk_id_prev", "left").select(
         "sk_id_prev", "sk_id_curr", "source", "contract_type", "portfolio", "product_type", "channel_type",
         "client_type", "yield_group", "product_combination", "goods_category", "seller_industry", "credit_amount",
@@ -91,7 +92,7 @@ def dim_loan(panel: DataFrame, application: DataFrame, d: Definitions) -> DataFr
         (F.col("last_observed_month") - F.col("first_open_month")).alias("max_mob"),
         "last_status", "installments_remaining_at_last", "n_months_observed", "days_termination",
         end_state.alias("end_state"),
-        cut_left.alias("is_left_truncated"),
+        cut_left,
         "installments_paid_at_open",
         (cut_left | started).alias("is_partial_history"),
         F.col("_found").isNotNull().alias("has_application"),

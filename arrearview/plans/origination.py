@@ -19,8 +19,8 @@ def approval_levels(funnel: DataFrame, d: Definitions) -> DataFrame:
     cells = rollup_levels(funnel, [["contract_type"], ["contract_type", "channel_type"]], FUNNEL_SUMS)
     return cells.select(
         "contract_type", "channel_type", "n_app", "n_dec", "n_off", "n_appr", "n_unused",
-        proportion(F.col("n_off"), F.col("n_dec"), d).alias("approval"),
-        proportion(F.col("n_appr"), F.col("n_off"), d).alias("take_up"))
+        proportion("n_off", "n_dec", d).alias("approval"),
+        proportion("n_appr", "n_off", d).alias("take_up"))
 
 
 def approval_standardised(funnel: DataFrame, d: Definitions) -> DataFrame:
@@ -36,7 +36,7 @@ def approval_standardised(funnel: DataFrame, d: Definitions) -> DataFrame:
 def take_up(funnel: DataFrame, d: Definitions, product: str = "Consumer loans") -> DataFrame:
     cells = rollup(funnel, ["channel_type"], FUNNEL_SUMS, F.col("contract_type") == product)
     return cells.select("channel_type", "n_appr", "n_off",
-                        proportion(F.col("n_appr"), F.col("n_off"), d).alias("take_up"))
+                        proportion("n_appr", "n_off", d).alias("take_up"))
 
 
 def fpd_levels(fpd: DataFrame, d: Definitions) -> DataFrame:
@@ -45,7 +45,7 @@ def fpd_levels(fpd: DataFrame, d: Definitions) -> DataFrame:
             "n_scheduled": "n_approved_scheduled_no_installment"}
     cells = rollup_levels(fpd, [[], ["contract_type"], ["contract_type", "channel_type"]], sums)
     kept = cells.where(F.col("channel_type").isNull() | (F.col("n") > 0))
-    n = F.col("n")
+    n = "n"
     return kept.select("contract_type", "channel_type", *sums,
-                       proportion(F.col("k"), n, d).alias("amount_rule"),
-                       proportion(F.col("k_late"), n, d).alias("late_rule"))
+                       proportion("k", n, d).alias("amount_rule"),
+                       proportion("k_late", n, d).alias("late_rule"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrearview.functions import labels
@@ -73,7 +73,7 @@ def snapshot_buckets(snapshot: DataFrame, fact: DataFrame, dim: DataFrame, d: De
     both = (primary.withColumn("definition", F.lit("primary"))
             .unionByName(bare.withColumn("definition", F.lit("no_threshold"))))
     n_open = snapshot.agg(F.sum("n_loans")).scalar()
-    return both.withColumn("n_open", n_open).withColumn("share", proportion(F.col("n_loans"), F.col("n_open"), d))
+    return both.withColumn("n_open", n_open).withColumn("share", proportion("n_loans", "n_open", d))
 
 
 def kpi_same_set(snapshot: DataFrame, d: Definitions) -> DataFrame:
@@ -88,12 +88,12 @@ def kpi_same_set(snapshot: DataFrame, d: Definitions) -> DataFrame:
     return sums.select(
         "scope", "n_loans", "n_30_plus", "n_loans_exposure_known", "n_30_plus_exposure_known",
         "n_30_plus_no_threshold",
-        proportion(F.col("n_30_plus"), F.col("n_loans"), d).alias("all_open"),
-        proportion(F.col("n_30_plus_exposure_known"), F.col("n_loans_exposure_known"), d).alias("exposure_known"),
+        proportion("n_30_plus", "n_loans", d).alias("all_open"),
+        proportion("n_30_plus_exposure_known", "n_loans_exposure_known", d).alias("exposure_known"),
         share(bad, F.col("exposure")).alias("exposure_share"),
         F.col("exposure").alias("exposure_total"), "exposure_30_plus",
         (F.col("n_loans") - F.col("n_loans_exposure_known")).alias("n_loans_exposure_unknown"),
-        proportion(F.col("n_30_plus_no_threshold"), F.col("n_loans"), d).alias("no_threshold"),
+        proportion("n_30_plus_no_threshold", "n_loans", d).alias("no_threshold"),
         share(bad_nt, F.col("exposure")).alias("exposure_share_no_threshold"))
 
 
@@ -113,17 +113,17 @@ def unknown_share(snapshot: DataFrame, d: Definitions) -> DataFrame:
         *named("n_30_plus_no_threshold", "30_plus_no_threshold"),
         of("n_loans_exposure_known")[0].alias("n_with_exposure"))
     names = ("open", "30_plus", "30_plus_no_threshold")
-    return sums.select(*sums.columns, *[proportion(F.col(f"k_{x}"), F.col(f"n_{x}"), d).alias(x) for x in names])
+    return sums.select(*sums.columns, *[proportion(f"k_{x}", f"n_{x}", d).alias(x) for x in names])
 
 
 def snapshot_levels(snapshot: DataFrame, d: Definitions) -> DataFrame:
     """Past-due rates by product, by channel and by both, in one job."""
     sums = {"n": "n_loans", "k": "n_30_plus", "k_nt": "n_30_plus_no_threshold"}
     sets = [["contract_type"], ["channel_type"], ["contract_type", "channel_type"]]
-    n = F.col("n")
+    n = "n"
     return rollup_levels(snapshot, sets, sums).select(
         "contract_type", "channel_type", "n", "k", "k_nt",
-        proportion(F.col("k"), n, d).alias("primary"), proportion(F.col("k_nt"), n, d).alias("no_threshold"))
+        proportion("k", n, d).alias("primary"), proportion("k_nt", n, d).alias("no_threshold"))
 
 
 def snapshot_by_source(fact: DataFrame, dim: DataFrame, d: Definitions, month: int) -> DataFrame:

@@ -52,10 +52,10 @@ def roll_cure_summary(roll: DataFrame, d: Definitions) -> DataFrame:
         F.sum("n_loans").alias("n_from"),
         to(F.lit(names[0])).alias("k_cure"), to(worse).alias("k_forward"),
         to(F.lit(closed)).alias("k_closed"), to(F.lit(missing)).alias("k_missing"))
-    n = F.col("n_from")
+    n = "n_from"
     return sums.select(
-        "*", proportion(F.col("k_cure"), n, d).alias("cure"), proportion(F.col("k_forward"), n, d).alias("forward"),
-        proportion(F.col("k_closed"), n, d).alias("closed"), proportion(F.col("k_missing"), n, d).alias("missing"))
+        "*", proportion("k_cure", n, d).alias("cure"), proportion("k_forward", n, d).alias("forward"),
+        proportion("k_closed", n, d).alias("closed"), proportion("k_missing", n, d).alias("missing"))
 
 
 def to_counts(roll: DataFrame, d: Definitions) -> DataFrame:
@@ -74,7 +74,7 @@ def roll_totals(roll: DataFrame, d: Definitions) -> DataFrame:
         F.sum("n_loans").alias("n_from_all_states"),
         F.sum(F.when(late, F.col("n_loans"))).alias("n_late"),
         F.sum(F.when(late & (F.col("to_state") == current), F.col("n_loans"))).alias("k_late"),
-    ).withColumn("cure", proportion(F.col("k_late"), F.col("n_late"), d))
+    ).withColumn("cure", proportion("k_late", "n_late", d))
 
 
 def collections_experiment(roll: DataFrame, d: Definitions) -> DataFrame:
@@ -83,8 +83,8 @@ def collections_experiment(roll: DataFrame, d: Definitions) -> DataFrame:
         (F.col("definition") == "primary") & (F.col("scope") == "all") & (F.col("from_state") == d.bucket_labels[1]))
     return row.select(
         "n_from", "k_cure", "cure", "k_forward", "forward",
-        arm_size_relative(F.col("cure.rate"), 0.20, d).alias("n_per_arm_cure"),
-        arm_size_relative(F.col("forward.rate"), -0.20, d).alias("n_per_arm_forward"),
+        arm_size_relative("cure.rate", 0.20, d).alias("n_per_arm_cure"),
+        arm_size_relative("forward.rate", -0.20, d).alias("n_per_arm_forward"),
         F.round(F.col("cure.rate") * 0.20 * 100, d.digits).alias("relative_change_in_points"))
 
 
@@ -106,8 +106,8 @@ def cure_by_cohort(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFrame
         .where(F.col("n1").isNotNull())
         .withColumns({
             "origination_cohort": labels.cohort_label(F.col("cohort_start"), d),
-            "cure_b1": proportion(F.col("k1"), F.col("n1"), d),
-            "cure_b2": F.when(F.col("n0").isNotNull(), proportion(F.col("k0"), F.col("n0"), d))}))
+            "cure_b1": proportion("k1", "n1", d),
+            "cure_b2": F.when(F.col("n0").isNotNull(), proportion("k0", "n0", d))}))
 
 
 def cure_by_cohort_pooled(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFrame:
@@ -122,17 +122,17 @@ def first_b1_cure(fact: DataFrame, d: Definitions) -> DataFrame:
         origins(with_next_month(fact), d).where(F.col("dpd_bucket_order") == 1)
         .groupBy("sk_id_prev").agg(value_at_first(recovered, F.col("months_balance")).alias("cured")))
     return first.agg(F.count("*").alias("n"), F.sum("cured").alias("k")).withColumn(
-        "cure", proportion(F.col("k"), F.col("n"), d))
+        "cure", proportion("k", "n", d))
 
 
 def first_b1_sample(fact: DataFrame, d: Definitions, points=(0.03, 0.05, 0.10)) -> DataFrame:
     """Contracts per arm to see an absolute rise of the first-bucket cure."""
-    base = F.col("cure.rate")
+    base = "cure.rate"
     return (
         first_b1_cure(fact, d).withColumn("change", F.explode(F.array(*[F.lit(p) for p in points])))
         .select("n", "k", (F.col("change") * 100).alias("points"),
                 (F.round(base, d.digits) + F.col("change")).alias("target_rate"),
-                arm_size_absolute(base, F.col("change"), d).alias("n_per_arm")))
+                arm_size_absolute(base, "change", d).alias("n_per_arm")))
 
 
 def roll_grid(roll: DataFrame, d: Definitions) -> DataFrame:

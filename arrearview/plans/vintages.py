@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrearview.functions import labels
-from arrearview.functions.stats import bonferroni_z, katz_se, log_interval, proportion, risk_ratio
+from arrearview.functions.stats import bonferroni_z, proportion, risk_ratio_bounds, share
 from arrearview.operators import pairs
 from arrearview.operators.rollup import VINTAGE_SUMS, by_definition, rollup_levels, share_within, vintage_cells
 from arrearview.operators.standardise import standardise
@@ -35,13 +35,13 @@ def levels(vintage: DataFrame, d: Definitions) -> DataFrame:
     sets = [["mob"], ["mob", "scope"], ["mob", "contract_type"], ["mob", "channel_type"],
             ["mob", "contract_type", "channel_type"]]
     cells = rollup_levels(rows, sets, VINTAGE_SUMS)
-    n = F.col("n")
+    n = "n"
     return (
         cells.where(F.coalesce(F.col("scope"), F.lit("all")) != "unlabelled")
         .select("mob", F.coalesce("scope", F.lit("all")).alias("scope"), "contract_type", "channel_type",
                 "n", "n_full", "k", "k_nt",
-                proportion(F.col("k"), n, d).alias("primary"),
-                proportion(F.col("k_nt"), n, d).alias("no_threshold"))
+                proportion("k", n, d).alias("primary"),
+                proportion("k_nt", n, d).alias("no_threshold"))
     )
 
 
@@ -71,7 +71,7 @@ def channel_product_mix(vintage: DataFrame, d: Definitions) -> DataFrame:
 
 def reference_rates(vintage: DataFrame, d: Definitions) -> DataFrame:
     cells = vintage_cells(vintage, ["contract_type"], d.report_mobs, labels.is_labelled_product(d))
-    return by_definition(cells).withColumn("rate", proportion(F.col("k"), F.col("n"), d)).drop("n_full")
+    return by_definition(cells).withColumn("rate", proportion("k", "n", d)).drop("n_full")
 
 
 def channel_pairs(vintage: DataFrame, d: Definitions) -> DataFrame:
@@ -132,7 +132,7 @@ def segment_grid(vintage: DataFrame, dims: list[str], d: Definitions, product: s
     shares = cells.withColumn("share_of_loans", share_within("n", whole)).withColumn(
         "share_of_cases", share_within("k", whole))
     rated = pairs.with_ratio(pairs.against_rest(shares, whole), d)
-    return rated.withColumn("rate", proportion(F.col("k1"), F.col("n1"), d)).drop("n_full")
+    return rated.withColumn("rate", proportion("k1", "n1", d)).drop("n_full")
 
 
 def segment_totals(vintage: DataFrame, d: Definitions, product: str = CONSUMER) -> DataFrame:
@@ -140,14 +140,15 @@ def segment_totals(vintage: DataFrame, d: Definitions, product: str = CONSUMER)
     return by_definition(cells).groupBy("mob", "definition").agg(
         F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("n_combinations"),
         F.count_if(F.col("n") >= d.min_n).alias("n_combinations_enough"),
-    ).withColumn("total", proportion(F.col("k"), F.col("n"), d))
+    ).withColumn("total", proportion("k", "n", d))
 
 
 def _corrected(row: DataFrame, tests: Column, d: Definitions) -> DataFrame:
     """Interval of the segment ratio at the quantile for `tests` comparisons."""
-    lo, hi = log_interval(F.col("rr.ratio"), katz_se(*[F.col(c) for c in ("k1", "n1", "k0", "n0")]), F.col("z"))
-    return row.withColumn("tests", tests).withColumn("z", bonferroni_z(F.col("tests"), d)).select(
-        "mob", "tests", F.col("rr.ratio").alias("ratio"), lo.alias("lo"), hi.alias("hi"))
+    wide = row.withColumn("tests", tests).withColumn("z", bonferroni_z(F.col("tests"), d))
+    bounds = risk_ratio_bounds("rr.ratio", "k1", "n1", "k0", "n0", "z")
+    return wide.withColumn("ci", bounds).select(
+        "mob", "tests", F.col("rr.ratio").alias("ratio"), "ci.lo", "ci.hi")
 
 
 def segment_bonferroni(vintage: DataFrame, d: Definitions) -> DataFrame:
@@ -171,11 +172,11 @@ def _split(vintage: DataFrame, dims: list[str], flag: Column, d: Definitions, mo
         vintage_cells(vintage, [*dims, "channel_type", "client_type", "yield_group"], (mob,), where))
     two = pairs.two_groups(cells, ["definition", *dims], flag).where(
         F.col("n1").isNotNull() & F.col("n0").isNotNull())
-    k1, n1, k0, n0 = (F.col(c) for c in ("k1", "n1", "k0", "n0"))
+    k1, n1, k0, n0 = "k1", "n1", "k0", "n0"
     return pairs.with_ratio(two, d).withColumns({
         "inside": proportion(k1, n1, d), "outside": proportion(k0, n0, d),
-        "share_of_loans": n1.cast("double") / F.nullif((n1 + n0).cast("double"), F.lit(0.0)),
-        "share_of_cases": k1.cast("double") / F.nullif((k1 + k0).cast("double"), F.lit(0.0))})
+        "share_of_loans": share(F.col("n1"), F.col("n1") + F.col("n0")),
+        "share_of_cases": share(F.col("k1"), F.col("k1") + F.col("k0"))})
 
 
 def segment_by_tenor(vintage: DataFrame, d: Definitions, mob: int = 12) -> DataFrame:

@@ -24,7 +24,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def write_findings(findings: DataFrame, path: str) -> None:
     """One JSON object per line, in a fixed order; NULL fields are kept."""
-    keys = [F.col("section"), F.col("mob").asc_nulls_first(), F.to_json("dims"), F.col("measure")]
+    keys = [F.col("section"), F.col("mob").asc_nulls_first(), F.to_json(F.col("dims")), F.col("measure")]
     findings.orderBy(*keys).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 

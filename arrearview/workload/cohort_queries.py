@@ -9,7 +9,7 @@ from arrearview.plans import measures as m
 from arrearview.plans import report as r
 from arrearview.workload.registry import query
 from arrearview.workload.sqlstats import MH_ROUND, mh, oe, oes, prop, props, rr, rrs
-from arrearview.workload.vintage_queries import LABELLED, long, sums
+from arrearview.workload.vintage_queries import LABELLED, sums
 
 B = "as bigint"
 ALL = ("n", "n_full", "k", "k_nt", "k_due", "k_due_raw", "k1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arrearview.plans import marts, portfolio, profile
+from arrearview.plans import portfolio, profile
 from arrearview.sources import exports, raw
 from arrearview.workload.registry import query
 from arrearview.workload.sqlstats import prop, props, total
