@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from arrearview.params import Definitions
-from arrearview.plans import cohorts, core, marts
+from arrearview.plans import cohorts, core, marts, report
 from arrearview.plans.staging import STAGING
 from arrearview.sources.store import LazyStore, TableStore
 
@@ -99,15 +99,29 @@ class LoanBook:
     def marts(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in MARTS}
 
-    def build(self, report: Callable[[str], None] | None = None) -> dict[str, DataFrame]:
+    def _dimension(self, column: str, name: str) -> DataFrame:
+        keyed = [self.funnel_by_channel, self.fpd_by_segment, self.vintage, self.roll_rate, self.portfolio_snapshot]
+        return self.store.keep("mart", f"dim_{name}", report.conformed_dimension(keyed, column, name))
+
+    @cached_property
+    def dim_channel(self) -> DataFrame:
+        """Sales channels of all marts."""
+        return self._dimension("channel_type", "channel")
+
+    @cached_property
+    def dim_product(self) -> DataFrame:
+        """Products of all marts."""
+        return self._dimension("contract_type", "product")
+
+    def build(self, progress: Callable[[str], None] | None = None) -> dict[str, DataFrame]:
         """All core and mart tables in dependency order."""
         out = {}
         for name in ("int_loan_month", "dim_loan", "fct_loan_month", "loan_outcome"):
             out[name] = getattr(self, name)
-            if report:
-                report(name)
+            if progress:
+                progress(name)
         for name in MARTS:
             out[name] = getattr(self, name)
-            if report:
-                report(name)
+            if progress:
+                progress(name)
         return out

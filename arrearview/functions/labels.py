@@ -20,8 +20,19 @@ def bucket_order(dpd: Column, d: Definitions) -> Column:
     return out.otherwise(len(d.bucket_edges))
 
 
+def nth(order: Column, names: tuple[str, ...]) -> Column:
+    """The name at a position counted from 0, NULL for NULL.
+
+    A CASE chain, as element_at does not carry the NULL of its index under ANSI mode.
+    """
+    out = F.when(order == 0, names[0])
+    for i, name in enumerate(names[1:], start=1):
+        out = out.when(order == i, name)
+    return out
+
+
 def bucket_label(order: Column, d: Definitions) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in d.bucket_labels]), order + 1)
+    return nth(order, d.bucket_labels)
 
 
 def debt_group(dpd: Column, d: Definitions) -> Column:

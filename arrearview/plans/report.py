@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrearview.functions import labels
@@ -109,15 +109,11 @@ def selected(mart: DataFrame, channels: DataFrame | None = None, products: DataF
     return out
 
 
-def selection_sizes(marts: dict[str, DataFrame], channels: Column, products: Column) -> DataFrame:
-    """What a choice of channels and products leaves of every mart."""
-    tables = list(marts.values())
-    chosen_c = conformed_dimension(tables, "channel_type", "channel").where(channels)
-    chosen_p = conformed_dimension(tables, "contract_type", "product").where(products)
-
+def selection_sizes(marts: dict[str, DataFrame], channels: DataFrame, products: DataFrame) -> DataFrame:
+    """What chosen rows of the conformed dimensions leave of every mart."""
     def one(name: str, mart: DataFrame) -> DataFrame:
         size = next(c for c in ("n_loans", "n_applications") if c in mart.columns)
-        return selected(mart, chosen_c, chosen_p).agg(
+        return selected(mart, channels, products).agg(
             F.lit(name).alias("mart"), F.count("*").alias("n_rows"), F.sum(size).alias("n"))
 
     return reduce(DataFrame.union, [one(n, m) for n, m in marts.items()])

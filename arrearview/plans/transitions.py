@@ -43,7 +43,7 @@ def _scoped(roll: DataFrame) -> DataFrame:
 def roll_cure_summary(roll: DataFrame, d: Definitions) -> DataFrame:
     """Cure, roll-forward, closing and missing per origin bucket, scope and definition."""
     names, closed, missing = d.bucket_labels, d.exit_states[0], d.exit_states[2]
-    worse = F.element_at(F.array(*[F.lit(x) for x in (*names[1:], names[-1])]), F.col("from_order") + 1)
+    worse = labels.nth(F.col("from_order"), (*names[1:], names[-1]))
 
     def to(state: Column) -> Column:
         return F.coalesce(F.sum(F.when(F.col("to_state") == state, F.col("n_loans"))), F.lit(0))

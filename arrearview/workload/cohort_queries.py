@@ -193,15 +193,15 @@ def _marts(b):
 
 for _col, _name in (("channel_type", "channel"), ("contract_type", "product")):
     query(f"dim_{_name}", " union ".join(f"select {_col} {_name} from {t}" for t in _MARTS))(
-        lambda b, col=_col, name=_name: r.conformed_dimension(list(_marts(b).values()), col, name))
+        lambda b, name=_name: getattr(b, f"dim_{name}"))
 _PICK = "channel_type in ('Stone', 'Contact center') and contract_type = 'Consumer loans'"
 query("selection_sizes", " union all ".join(
     f"select '{label}' mart, count(*) n_rows, cast(sum({size}) {B}) n from {t} where {_PICK} {more}"
     for label, t, size, more in (
         ("funnel", "m_fun", "n_applications", ""), ("fpd", "m_fpd", "n_loans", ""), ("vintage", "m_vin", "n_loans", ""),
         ("roll", "m_roll", "n_loans", "and definition = 'primary'"), ("snapshot", "m_snap", "n_loans", ""))))(
-    lambda b: r.selection_sizes(_marts(b), F.col("channel").isin("Stone", "Contact center"),
-                                F.col("product") == "Consumer loans"))
+    lambda b: r.selection_sizes(_marts(b), b.dim_channel.where(F.col("channel").isin("Stone", "Contact center")),
+                                b.dim_product.where("product = 'Consumer loans'")))
 
 # ---- measures --------------------------------------------------------------------------------
 
