@@ -171,20 +171,37 @@ def product_ratio_crude(cells: DataFrame, d: Definitions) -> DataFrame:
     return pairs.with_ratio(crude.drop("scheme", "start"), d)
 
 
+def _rated(sides: DataFrame, d: Definitions) -> DataFrame:
+    return sides.withColumns({"group1": proportion("k1", "n1", d), "group0": proportion("k0", "n0", d)})
+
+
+def product_ratio_strata(cells: DataFrame, d: Definitions) -> DataFrame:
+    """Both sides of the pooled product ratios, cohort by cohort."""
+    return _rated(_product_sides(cells, d).where(F.col("scheme") != PRODUCT_ONLY), d)
+
+
 def product_ratio_pooled(cells: DataFrame, d: Definitions) -> DataFrame:
     """Products against the base product, pooled over the cohorts of each cut."""
     return pairs.pooled(_product_sides(cells, d).where(F.col("scheme") != PRODUCT_ONLY),
                         ["mob", "scheme", "definition", "contract_type"], d)
 
 
-def channel_pair_pooled(cells: DataFrame, d: Definitions, other: str = "Country-wide") -> DataFrame:
-    """One channel against another under five stratifications; only strata with both sides count."""
+def _channel_sides(cells: DataFrame, d: Definitions, other: str) -> DataFrame:
     per = _strata(cells, TWO, d)
     two = per.where((F.col("scheme") == PRODUCT_ONLY) & F.col("contract_type").isin(CONSUMER, CARDS)).withColumn(
         "scheme", F.lit("consumer_and_card"))
     keys = ["mob", "scheme", "definition", "contract_type", "start"]
-    sides = pairs.directed_pairs(per.unionByName(two), keys, "channel_type", KEY_CHANNEL, (other,))
-    return pairs.pooled(sides, ["mob", "scheme", "definition"], d)
+    return pairs.directed_pairs(per.unionByName(two), keys, "channel_type", KEY_CHANNEL, (other,))
+
+
+def channel_pair_strata(cells: DataFrame, d: Definitions, other: str = "Country-wide") -> DataFrame:
+    """Both sides of the pooled channel ratio, stratum by stratum."""
+    return _rated(_channel_sides(cells, d, other), d).drop("unit_a", "unit_b")
+
+
+def channel_pair_pooled(cells: DataFrame, d: Definitions, other: str = "Country-wide") -> DataFrame:
+    """One channel against another under five stratifications; only strata with both sides count."""
+    return pairs.pooled(_channel_sides(cells, d, other), ["mob", "scheme", "definition"], d)
 
 
 CARD_CHANNELS = ("Contact center", "Stone", "Credit and cash offices", "Country-wide")
@@ -199,7 +216,8 @@ def cards_by_cohort(cells: DataFrame, d: Definitions) -> DataFrame:
         "mob", "scheme", "channel_type", "start", "label", "n", "k",
         F.sum("n").over(channel).alias("n_channel"), F.sum("k").over(channel).alias("k_channel"),
         proportion("k", "n", d).alias("primary"),
-        share_within("k", ["mob", "scheme", "channel_type"]).alias("share_of_cases"))
+        share_within("k", ["mob", "scheme", "channel_type"]).alias("share_of_cases"),
+    ).withColumn("total", proportion("k_channel", "n_channel", d))
 
 
 def cohort_curve(vintage: DataFrame, d: Definitions) -> DataFrame:

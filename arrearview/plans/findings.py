@@ -87,6 +87,10 @@ SECTIONS: dict[str, tuple[Callable[[LoanBook], DataFrame], tuple[str, ...]]] = {
     "product_ratio_crude": (lambda b: c.product_ratio_crude(b.cohort_cells, b.d), ("contract_type", "definition")),
     "product_ratio_cohort_mh": (lambda b: c.product_ratio_pooled(b.cohort_cells, b.d),
                                 ("contract_type", "definition", "scheme")),
+    "product_ratio_strata": (lambda b: c.product_ratio_strata(b.cohort_cells, b.d),
+                             ("contract_type", "definition", "scheme", "start")),
+    "channel_pair_strata": (lambda b: c.channel_pair_strata(b.cohort_cells, b.d),
+                            ("contract_type", "definition", "scheme", "start")),
     "channel_pair_cohort_mh": (lambda b: c.channel_pair_pooled(b.cohort_cells, b.d), ("definition", "scheme")),
     "cards_by_cohort": (lambda b: c.cards_by_cohort(b.cohort_cells, b.d), ("channel_type", "label", "scheme")),
     "cohort_curve": (lambda b: c.cohort_curve(b.vintage, b.d), ("origination_cohort",)),

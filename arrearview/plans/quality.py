@@ -8,6 +8,7 @@ a table are counted in a single scan of it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -332,19 +333,29 @@ def _scan(book: LoanBook, table: str, checks: list[RowCheck]) -> DataFrame:
     return counts.select(F.expr(f"stack({len(checks)}, {pairs}) as (check_name, severity, n_violations)"))
 
 
-def summary(book: LoanBook, checks: tuple = CHECKS) -> DataFrame:
-    """One row per check: violations, and pass, warn or fail. A single job."""
+def summary(book: LoanBook, checks: tuple = CHECKS, parallel: int = 8) -> DataFrame:
+    """One row per check: violations, and pass, warn or fail.
+
+    The checks are independent aggregates. They run several at a time and only their counts, one
+    row per check, come to the driver.
+    """
     by_table: dict[str, list[RowCheck]] = {}
     for c in checks:
         if isinstance(c, RowCheck):
             by_table.setdefault(c.table, []).append(c)
-    parts = [_scan(book, t, cs) for t, cs in by_table.items()]
-    parts += [
-        c.rows(book).agg(F.lit(c.name).alias("check_name"), F.lit(c.severity).alias("severity"),
-                         F.count("*").alias("n_violations"))
-        for c in checks if isinstance(c, QueryCheck)]
+
+    def count(c: QueryCheck) -> DataFrame:
+        return c.rows(book).agg(F.lit(c.name).alias("check_name"), F.lit(c.severity).alias("severity"),
+                                F.count("*").alias("n_violations"))
+
+    jobs = [lambda t=t, cs=cs: _scan(book, t, cs) for t, cs in by_table.items()]
+    jobs += [lambda c=c: count(c) for c in checks if isinstance(c, QueryCheck)]
+    book.build()
+    with ThreadPoolExecutor(parallel) as pool:
+        rows = [r for part in pool.map(lambda job: job().collect(), jobs) for r in part]
+    counts = book.spark.createDataFrame(rows, "check_name string, severity string, n_violations long")
     status = (F.when(F.col("n_violations") == 0, "pass").when(F.col("severity") == WARN, "warn").otherwise("fail"))
-    return reduce(DataFrame.unionByName, parts).withColumn("status", status)
+    return counts.withColumn("status", status)
 
 
 def samples(book: LoanBook, name: str, n: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrearview.functions import labels
-from arrearview.functions.stats import share
+from arrearview.functions.stats import sample_flags, share
 from arrearview.operators.rollup import rollup, vintage_cells
 from arrearview.params import Definitions
 from arrearview.plans.cohorts import cohort_curve, smr_schemes
@@ -69,10 +69,9 @@ def ranked_smr(cells: DataFrame, d: Definitions, mob: int = 12) -> DataFrame:
     """Channels by ratio within product and cohort, those with few cases last."""
     rows = smr_schemes(cells, d).where(
         (F.col("mob") == mob) & (F.col("scheme") == "cut12") & (F.col("definition") == "primary"))
-    few = (F.col("observed") < d.few_cases).alias("few_cases")
     return excluding(rows, "channel_type", d.no_application).select(
-        "channel_type", "n", "observed", "expected", "oe", few,
-        (F.col("observed") < d.thin_cases).alias("thin_cases")).orderBy("few_cases", F.desc("oe.smr"))
+        "channel_type", "n", "observed", "expected", "oe", sample_flags("observed", "n", d).alias("flags"),
+    ).orderBy("flags.few_cases", F.desc("oe.smr"))
 
 
 def late_buckets(snapshot: DataFrame, d: Definitions) -> DataFrame:

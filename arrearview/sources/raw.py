@@ -44,6 +44,15 @@ RAW_COLUMNS = {
 }
 RAW_TABLES = tuple(RAW_COLUMNS)
 
+# Names of the published CSV files.
+CSV_FILES = {
+    "application_train": "application_train.csv",
+    "previous_application": "previous_application.csv",
+    "pos_cash_balance": "POS_CASH_balance.csv",
+    "credit_card_balance": "credit_card_balance.csv",
+    "installments_payments": "installments_payments.csv",
+}
+
 
 class MissingInput(FileNotFoundError):
     """One or more raw inputs are absent."""
@@ -77,21 +86,26 @@ def read_csv(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]
     """CSV files with a header, typed by the declared schemas.
 
     Columns are matched to the header by name and in any case: the header line is read first, so a
-    file may hold more columns than the loan book uses.
+    file may hold more columns than the loan book uses. Whole numbers may be written with decimals
+    (`12.0`), as files exported from float columns do. Anything that does not parse stops the load.
     """
     require(spark, paths)
     out = {}
     for table, path in paths.items():
         declared = {f.name: f.dataType for f in schema(table)}
         header = spark.read.option("header", True).csv(path).schema.names
-        file_schema = T.StructType(
-            [T.StructField(h, declared.get(h.lower(), T.StringType())) for h in header]
-        )
+        as_text = {n for n, t in declared.items() if isinstance(t, T.IntegralType)}
+        file_schema = T.StructType([
+            T.StructField(h, T.StringType() if h.lower() in as_text else declared.get(h.lower(), T.StringType()))
+            for h in header])
         lost = sorted(set(declared) - {h.lower() for h in header})
         if lost:
             raise MissingInput(f"{table}: column(s) not in the file: {', '.join(lost)}")
-        df = spark.read.schema(file_schema).option("header", True).option("encoding", "UTF-8").csv(path)
-        out[table] = lower_names(df).select(*declared)
+        df = (spark.read.schema(file_schema).option("header", True).option("encoding", "UTF-8")
+              .option("mode", "FAILFAST").csv(path))
+        out[table] = lower_names(df).select(*[
+            F.col(n).cast("decimal(20,0)").cast(t).alias(n) if n in as_text else F.col(n)
+            for n, t in declared.items()])
     return out
 
 
@@ -100,6 +114,10 @@ def read_parquet(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFr
     return {t: lower_names(spark.read.parquet(p)).select(*schema(t).names) for t, p in paths.items()}
 
 
+def csv_folder(folder: str) -> dict[str, str]:
+    return {t: f"{folder.rstrip('/')}/{name}" for t, name in CSV_FILES.items()}
+
+
 def load_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows, columns and a key checksum of every loaded table."""
     def one(name: str, df: DataFrame) -> DataFrame:

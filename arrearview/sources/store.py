@@ -43,6 +43,7 @@ class LazyStore:
 class TableStore:
     """Writes every table in full (overwrite) into the databases raw, stg, core and mart.
 
+    The databases live under `folder`; their tables are managed, so dropping removes the files.
     `prefix` separates the databases of several books in one session. `buckets` is the number of
     contract buckets of the large tables and defaults to the session's shuffle partitions.
     """
@@ -71,9 +72,10 @@ class TableStore:
             )
         else:
             writer = df.write
-        writer.format("parquet").mode("overwrite").option("path", f"{self.folder}/{layer}/{name}").saveAsTable(target)
+        writer.format("parquet").mode("overwrite").saveAsTable(target)
         return self.spark.table(target)
 
     def drop(self) -> None:
+        """Remove the databases with their tables and files."""
         for layer in LAYERS:
             self.spark.sql(f"DROP DATABASE IF EXISTS `{self.prefix}{layer}` CASCADE")

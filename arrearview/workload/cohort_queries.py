@@ -101,26 +101,31 @@ join (select mob, scheme, definition, start, {add('n', 'k')} from ({strata(FOUR)
 query("product_ratio_crude", f"""
 select mob, definition, contract_type, k1, n1, k0, n0, {rr('k1', 'n1', 'k0', 'n0', 'rr')}
 from ({SIDES}) s where scheme = 'product_only'""", *rrs("rr"))(lambda b: c.product_ratio_crude(cells(b), b.d))
+_RATED = f"select *, {prop('k1', 'n1', 'group1')}, {prop('k0', 'n0', 'group0')} from ({{}}) s"
+query("product_ratio_strata", _RATED.format(f"select * from ({SIDES}) s where {CUTS}"), *props("group1", "group0"))(
+    lambda b: c.product_ratio_strata(cells(b), b.d))
 query("product_ratio_cohort_mh", mh(f"select * from ({SIDES}) s where {CUTS}",
                                     "mob, scheme, definition, contract_type"), *MH_ROUND)(
     lambda b: c.product_ratio_pooled(cells(b), b.d))
 _PAIR = f"""
-select a.mob, a.scheme, a.definition, a.contract_type, a.k k1, a.n n1, z.k k0, z.n n0
+select a.mob, a.scheme, a.definition, a.contract_type, a.start, a.k k1, a.n n1, z.k k0, z.n n0
 from ({strata(TWO, "channel_type = 'Stone'")}) a join ({strata(TWO, "channel_type = 'Country-wide'")}) z
   using (mob, scheme, definition, contract_type, start)"""
-query("channel_pair_cohort_mh", mh(f"""
+_PAIRS = f"""
 select * from ({_PAIR}) p union all select * replace ('consumer_and_card' as scheme) from ({_PAIR}) p
-where scheme = 'product_only' and contract_type in ('Consumer loans', 'Revolving loans')""",
-                                   "mob, scheme, definition"), *MH_ROUND)(
+where scheme = 'product_only' and contract_type in ('Consumer loans', 'Revolving loans')"""
+query("channel_pair_strata", _RATED.format(_PAIRS), *props("group1", "group0"))(
+    lambda b: c.channel_pair_strata(cells(b), b.d))
+query("channel_pair_cohort_mh", mh(_PAIRS, "mob, scheme, definition"), *MH_ROUND)(
     lambda b: c.channel_pair_pooled(cells(b), b.d))
 query("cards_by_cohort", f"""
 select p.*, cast(t.n {B}) n_channel, cast(t.k {B}) k_channel, {prop('p.k', 'p.n', 'primary')},
-  p.k / cast(nullif(t.k, 0) as double) share_of_cases
+  p.k / cast(nullif(t.k, 0) as double) share_of_cases, {prop('t.k', 't.n', 'total')}
 from (select mob, scheme, channel_type, start, label, {add('n', 'k')} from c_cut where scheme in ('cut12', 'cut3')
       and contract_type = 'Revolving loans'
       and channel_type in ('Contact center', 'Stone', 'Credit and cash offices', 'Country-wide') group by 1, 2, 3, 4, 5) p
 join (select mob, channel_type, sum(n) n, sum(k) k from c_coh where contract_type = 'Revolving loans' group by 1, 2) t
-  using (mob, channel_type)""", *props("primary"), "share_of_cases")(lambda b: c.cards_by_cohort(cells(b), b.d))
+  using (mob, channel_type)""", *props("primary", "total"), "share_of_cases")(lambda b: c.cards_by_cohort(cells(b), b.d))
 
 _LABEL = "origination_cohort_start || ' to ' || (origination_cohort_start + 11)"
 _CURVE = f"""
@@ -177,7 +182,8 @@ select {_dim}, mob, cast(sum(n_loans) {B}) n_loans, cast(sum(n_full) {B}) n_obse
 from m_vin where {_dim} <> '(unknown)' group by 1, 2 order by 1, 2""", "rate")(
         lambda b, dim=_dim: r.curves(b.vintage, dim, b.d))
 query("smr_ranked", f"""
-select channel_type, n, observed, expected, {oe('observed', 'expected')}, observed < 5 few_cases, observed < 10 thin_cases
+select channel_type, n, observed, expected, {oe('observed', 'expected')}, n < 30 flags_small_n,
+  observed < 5 flags_few_cases, observed < 10 flags_thin_cases
 from (select channel_type, cast(sum(n) {B}) n, cast(sum(k) {B}) observed, sum(e) expected from ({EXPECTED}) x
   where mob = 12 and scheme = 'cut12' and definition = 'primary' and channel_type <> '(unknown)' group by 1) g""",
       "expected", *oes())(lambda b: r.ranked_smr(cells(b), b.d))

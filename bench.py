@@ -52,6 +52,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "loan book: layers built and headline queries, total", "value": round(sum(times.values()), 3),
         "unit": "sec", "queries": times, "sf": SF_DIR.rstrip("/").rsplit("sf", 1)[-1]}))
+    b.store.drop()
     spark.stop()
 
 

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from arrearview import jobs
 from arrearview.book import LoanBook
 from arrearview.plans.findings import findings
 from arrearview.sources import exports, raw
@@ -20,12 +21,36 @@ def test_missing_inputs_are_all_named(spark, tmp_path):
 def test_csv_header_in_any_case_and_order(spark, tmp_path):
     path = tmp_path / "pos.csv"
     path.write_text("MONTHS_BALANCE,SK_ID_PREV,EXTRA,SK_ID_CURR,CNT_INSTALMENT,CNT_INSTALMENT_FUTURE,"
-                    "NAME_CONTRACT_STATUS,SK_DPD,SK_DPD_DEF\n-3,7,zz,9,12.0,,Active,5,0\n")
+                    "NAME_CONTRACT_STATUS,SK_DPD,SK_DPD_DEF\n-3.0,7,zz,9,12.0,,Active,5.0,0\n")
     df = raw.read_csv(spark, {"pos_cash_balance": str(path)})["pos_cash_balance"]
     assert df.schema == raw.schema("pos_cash_balance")
     assert tuple(df.first()) == (7, 9, -3, 12.0, None, "Active", 5, 0)
 
 
+def test_csv_that_does_not_parse_stops(spark, tmp_path):
+    path = tmp_path / "pos.csv"
+    head = ",".join(raw.schema("pos_cash_balance").names)
+    for bad in ("1,1,x,12,3,Active,0,0", "1,1,-3,twelve,3,Active,0,0"):
+        path.write_text(f"{head}\n{bad}\n")
+        with pytest.raises(Exception):
+            raw.read_csv(spark, {"pos_cash_balance": str(path)})["pos_cash_balance"].collect()
+
+
+def test_job_from_csv_to_exports(spark, book, tmp_path):
+    """The command line job, end to end."""
+    for table, name in raw.CSV_FILES.items():
+        df = book.raw[table]
+        df.toDF(*[c.upper() for c in df.columns]).write.option("header", True).csv(f"{tmp_path}/raw/{name}")
+    lines = []
+    jobs.run(spark, jobs.parse(["--csv", f"{tmp_path}/raw", "--out", f"{tmp_path}/out", "--prefix", "job_"]), lines.append)
+    assert sum("rows" in x for x in lines) == 5 and sum(x.split()[0] in ("pass", "warn") for x in lines) == 32
+    for mart in jobs.EXPORTED:
+        assert os.path.exists(f"{tmp_path}/out/mart_{mart}/_SUCCESS")
+    assert exports.read_findings(spark, f"{tmp_path}/out/findings").count() > 1000
+    vintage = exports.read_csv(spark, f"{tmp_path}/out/mart_vintage", book.vintage.schema)
+    assert vintage.exceptAll(book.vintage).count() == 0 and vintage.count() == book.vintage.count()
+
+
 def test_csv_without_a_needed_column(spark, tmp_path):
     path = tmp_path / "pos.csv"
     path.write_text("SK_ID_PREV\n1\n")
@@ -70,4 +95,5 @@ def test_store_layers_and_buckets(spark, book):
     b.store.keep("core", "dim_loan", book.dim_loan.limit(3))
     assert spark.table(store.table("core", "dim_loan")).count() == 3
     store.drop()
+    assert not os.path.exists(f"{store.folder.removeprefix('file:')}/core/dim_loan")
     assert "unit_core" not in {d.name for d in spark.catalog.listDatabases()}

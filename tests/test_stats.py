@@ -35,8 +35,8 @@ def test_wilson_edges(spark):
 
 
 def test_byar_published(spark):
-    x = one(spark, stats.byar("o", "e", D), o=48, e=29.1)
-    assert (round(x["lo"], 2), round(x["hi"], 2)) == (1.22, 2.19) or (round(x["lo"], 2), round(x["hi"], 2)) == (1.21, 2.18)
+    x = one(spark, stats.byar("o", "e", D), o=82, e=60.1)
+    assert math.isclose(x["lo"], 1.08, abs_tol=0.006) and math.isclose(x["hi"], 1.69, abs_tol=0.006)
 
 
 def test_byar_edges(spark):
@@ -103,6 +103,12 @@ def test_arm_size_relative(spark, p, change):
     assert one(spark, stats.arm_size_relative("p", change, D), p=p) == plain_arm(p, p * (1 + change))
 
 
+def test_published_sample(spark):
+    p = one(spark, stats.proportion("k", "n", D), k=1483, n=9274)
+    assert (round(p["lo"] * 100, 2), round(p["hi"] * 100, 2)) == (15.26, 16.75)
+    assert one(spark, stats.arm_size_relative("p", -0.2, D), p=p["rate"]) == 1890
+
+
 def test_arm_size_without_base(spark):
     assert one(spark, stats.arm_size_relative("p", -0.2, D), p=0.0) is None
 
