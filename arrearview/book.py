@@ -40,8 +40,9 @@ class LoanBook:
 
     @cached_property
     def int_loan_month(self) -> DataFrame:
-        panel = core.int_loan_month(self.stg("credit_card_balance"), self.stg("pos_cash_balance"), self.d,
-                                    getattr(self.store, "buckets", None))
+        card, pos = self.stg("credit_card_balance"), self.stg("pos_cash_balance")
+        self.store.fit(card, pos)
+        panel = core.int_loan_month(card, pos, self.d, self.store.buckets)
         return self.store.keep("core", "int_loan_month", panel, by_contract=True)
 
     @cached_property

@@ -33,9 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# A bucket of the panel is one task's work in every later join and window: about 200 MB in memory.
+ROWS_PER_BUCKET = 2_000_000
+
+
 class LazyStore:
     """Keeps nothing: every table stays a lazy plan over the raw tables."""
 
+    buckets = None
+
+    def fit(self, *panels: DataFrame) -> None:
+        """Nothing is written, so nothing needs sizing."""
+
     def keep(self, layer: str, name: str, df: DataFrame, by_contract: bool = False) -> DataFrame:
         return df
 
@@ -45,7 +54,7 @@ class TableStore:
 
     The databases live under `folder`; their tables are managed, so dropping removes the files.
     `prefix` separates the databases of several books in one session. `buckets` is the number of
-    contract buckets of the large tables and defaults to the session's shuffle partitions.
+    contract buckets of the large tables; left out, it follows from the rows of the panel.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, prefix: str = "",
@@ -53,10 +62,21 @@ class TableStore:
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark)}/book-{uuid.uuid4().hex[:12]}"
         self.prefix = prefix
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets
         for layer in LAYERS:
             spark.sql(f"CREATE DATABASE IF NOT EXISTS `{prefix}{layer}` LOCATION '{self.folder}/{layer}'")
 
+    def fit_rows(self, rows: int) -> None:
+        """At least one bucket per shuffle partition, more when the panel is larger."""
+        if self.buckets is None:
+            least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.buckets = max(least, -(-rows // ROWS_PER_BUCKET))
+
+    def fit(self, *panels: DataFrame) -> None:
+        """Size the buckets by counting; for parquet tables the count comes from the file footers."""
+        if self.buckets is None:
+            self.fit_rows(sum(p.count() for p in panels))
+
     def table(self, layer: str, name: str) -> str:
         return f"`{self.prefix}{layer}`.`{name}`"
 

@@ -19,6 +19,8 @@ from arrearview.workload.oracle_base import rounding, with_ctes
 # The reference sample of 1,000 would blank nearly every ratio at the small scale factors.
 WORKLOAD = Definitions(min_n=30)
 DIGITS = 6
+# Mean months of a derived contract, to size the buckets from the number of orders.
+MONTHS_PER_CONTRACT = 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -41,7 +43,9 @@ def book(spark: SparkSession, star_dir: str) -> LoanBook:
     key = (spark.sparkContext.applicationId, star_dir, _stamp(star_dir))
     if key not in _BOOKS:
         prefix = "book_" + hashlib.sha1(repr(key).encode()).hexdigest()[:10] + "_"
-        _BOOKS[key] = LoanBook(spark, lending_tables(spark, star_dir), WORKLOAD, TableStore(spark, prefix=prefix))
+        store = TableStore(spark, prefix=prefix)
+        store.fit_rows(spark.read.parquet(f"{star_dir}/orders.parquet").count() * MONTHS_PER_CONTRACT)
+        _BOOKS[key] = LoanBook(spark, lending_tables(spark, star_dir), WORKLOAD, store)
     return _BOOKS[key]
 
 

@@ -85,6 +85,16 @@ def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark) == (folder or shared_folder(spark))
 
 
+def test_buckets_follow_the_rows(spark):
+    store = TableStore(spark, prefix="sized_")
+    store.fit_rows(10)
+    assert store.buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store.buckets = None
+    store.fit_rows(2_000_000 * 500 + 1)
+    assert store.buckets == 501
+    store.drop()
+
+
 def test_store_layers_and_buckets(spark, book):
     store = TableStore(spark, prefix="unit_", buckets=4)
     b = LoanBook(spark, book.raw, book.d, store)
