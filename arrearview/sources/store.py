@@ -67,9 +67,10 @@ class TableStore:
             spark.sql(f"CREATE DATABASE IF NOT EXISTS `{prefix}{layer}` LOCATION '{self.folder}/{layer}'")
 
     def fit_rows(self, rows: int) -> None:
-        """At least one bucket per shuffle partition, more when the panel is larger."""
+        """Enough buckets to occupy every core, more when the panel is larger."""
         if self.buckets is None:
-            least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            least = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")),
+                        self.spark.sparkContext.defaultParallelism)
             self.buckets = max(least, -(-rows // ROWS_PER_BUCKET))
 
     def fit(self, *panels: DataFrame) -> None:

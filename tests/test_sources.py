@@ -88,7 +88,7 @@ def test_shared_folder_follows_the_session(spark):
 def test_buckets_follow_the_rows(spark):
     store = TableStore(spark, prefix="sized_")
     store.fit_rows(10)
-    assert store.buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert store.buckets == min(8, spark.sparkContext.defaultParallelism)
     store.buckets = None
     store.fit_rows(2_000_000 * 500 + 1)
     assert store.buckets == 501
