@@ -286,41 +286,41 @@ _ROLL_KEYS = ("definition", "source", "contract_type", "channel_type", "from_sta
 _SEGMENTS = ("contract_type", "channel_type", "client_type", "yield_group")
 
 CHECKS: tuple[RowCheck | QueryCheck, ...] = (
-    RowCheck("dim_loan__end_state_valid", ERROR, "dim_loan", _end_state),
-    RowCheck("dim_loan__missing_application", WARN, "dim_loan", lambda d: ~F.col("has_application")),
-    RowCheck("dim_loan__partial_history_flag", ERROR, "dim_loan", _partial_flag),
-    QueryCheck("dim_loan__unique", ERROR, _duplicates("dim_loan", "sk_id_prev")),
-    RowCheck("fct_loan_month__dpd_no_threshold_valid", WARN, "fct_loan_month",
+    RowCheck("dim_loan.end_state_valid", ERROR, "dim_loan", _end_state),
+    RowCheck("dim_loan.missing_application", WARN, "dim_loan", lambda d: ~F.col("has_application")),
+    RowCheck("dim_loan.partial_history_flag", ERROR, "dim_loan", _partial_flag),
+    QueryCheck("dim_loan.unique", ERROR, _duplicates("dim_loan", "sk_id_prev")),
+    RowCheck("fct_loan_month.dpd_no_threshold_valid", WARN, "fct_loan_month",
              lambda d: F.col("dpd") > F.col("dpd_no_threshold")),
-    RowCheck("fct_loan_month__dpd_valid", ERROR, "fct_loan_month", _delay_invalid),
-    RowCheck("fct_loan_month__flags_match_dpd", ERROR, "fct_loan_month", _flags_off),
-    RowCheck("fct_loan_month__mob_non_negative", ERROR, "fct_loan_month",
+    RowCheck("fct_loan_month.dpd_valid", ERROR, "fct_loan_month", _delay_invalid),
+    RowCheck("fct_loan_month.flags_match_dpd", ERROR, "fct_loan_month", _flags_off),
+    RowCheck("fct_loan_month.mob_non_negative", ERROR, "fct_loan_month",
              lambda d: F.col("mob").isNull() | (F.col("mob") < 0)),
-    QueryCheck("fct_loan_month__month_gaps", WARN, _month_gaps),
-    QueryCheck("fct_loan_month__unique_grain", ERROR, _duplicates("fct_loan_month", "sk_id_prev", "months_balance")),
-    QueryCheck("fpd_by_segment__approved_reconciles", ERROR, _approved_reconcile),
-    RowCheck("fpd_by_segment__rate_valid", ERROR, "fpd_by_segment", _fpd_rates),
-    QueryCheck("fpd_by_segment__reconciles_with_source", ERROR, _fpd_reconcile),
-    QueryCheck("fpd_by_segment__unique_grain", ERROR, _duplicates("fpd_by_segment", *_SEGMENTS)),
-    RowCheck("funnel_by_channel__rate_valid", ERROR, "funnel_by_channel", _funnel_rates),
-    QueryCheck("funnel_by_channel__reconciles_with_source", ERROR, _funnel_reconcile),
-    QueryCheck("funnel_by_channel__unique_grain", ERROR, _duplicates("funnel_by_channel", *_SEGMENTS)),
-    QueryCheck("int_loan_month__reconciles_with_sources", ERROR, _panel_reconcile),
-    QueryCheck("int_loan_month__unknown_status", WARN, _unknown_status),
-    RowCheck("portfolio_snapshot__counts_consistent", ERROR, "portfolio_snapshot", _snapshot_counts),
-    QueryCheck("portfolio_snapshot__reconciles_with_core", ERROR, _snapshot_reconcile),
-    QueryCheck("portfolio_snapshot__unique_grain", ERROR,
+    QueryCheck("fct_loan_month.month_gaps", WARN, _month_gaps),
+    QueryCheck("fct_loan_month.unique_grain", ERROR, _duplicates("fct_loan_month", "sk_id_prev", "months_balance")),
+    QueryCheck("fpd_by_segment.approved_reconciles", ERROR, _approved_reconcile),
+    RowCheck("fpd_by_segment.rate_valid", ERROR, "fpd_by_segment", _fpd_rates),
+    QueryCheck("fpd_by_segment.reconciles_with_source", ERROR, _fpd_reconcile),
+    QueryCheck("fpd_by_segment.unique_grain", ERROR, _duplicates("fpd_by_segment", *_SEGMENTS)),
+    RowCheck("funnel_by_channel.rate_valid", ERROR, "funnel_by_channel", _funnel_rates),
+    QueryCheck("funnel_by_channel.reconciles_with_source", ERROR, _funnel_reconcile),
+    QueryCheck("funnel_by_channel.unique_grain", ERROR, _duplicates("funnel_by_channel", *_SEGMENTS)),
+    QueryCheck("int_loan_month.reconciles_with_sources", ERROR, _panel_reconcile),
+    QueryCheck("int_loan_month.unknown_status", WARN, _unknown_status),
+    RowCheck("portfolio_snapshot.counts_consistent", ERROR, "portfolio_snapshot", _snapshot_counts),
+    QueryCheck("portfolio_snapshot.reconciles_with_core", ERROR, _snapshot_reconcile),
+    QueryCheck("portfolio_snapshot.unique_grain", ERROR,
                _duplicates("portfolio_snapshot", "contract_type", "channel_type", "dpd_bucket")),
-    RowCheck("roll_rate__counts_consistent", ERROR, "roll", _roll_counts),
-    QueryCheck("roll_rate__definitions_same_months", ERROR, _same_months),
-    QueryCheck("roll_rate__row_sums_to_one", ERROR, _row_sums),
-    QueryCheck("roll_rate__unique_grain", ERROR, _duplicates("roll", *_ROLL_KEYS)),
-    QueryCheck("sources__duplicate_months", WARN, _duplicate_months),
-    QueryCheck("sources__loan_in_both", WARN, _in_both),
-    QueryCheck("vintage__cohort_matches_core", ERROR, _cohorts_match),
-    RowCheck("vintage__counts_consistent", ERROR, "vintage", _vintage_counts),
-    QueryCheck("vintage__mob0_matches_core", ERROR, _base_matches),
-    QueryCheck("vintage__unique_grain", ERROR, _duplicates(
+    RowCheck("roll_rate.counts_consistent", ERROR, "roll", _roll_counts),
+    QueryCheck("roll_rate.definitions_same_months", ERROR, _same_months),
+    QueryCheck("roll_rate.row_sums_to_one", ERROR, _row_sums),
+    QueryCheck("roll_rate.unique_grain", ERROR, _duplicates("roll", *_ROLL_KEYS)),
+    QueryCheck("sources.duplicate_months", WARN, _duplicate_months),
+    QueryCheck("sources.loan_in_both", WARN, _in_both),
+    QueryCheck("vintage.cohort_matches_core", ERROR, _cohorts_match),
+    RowCheck("vintage.counts_consistent", ERROR, "vintage", _vintage_counts),
+    QueryCheck("vintage.mob0_matches_core", ERROR, _base_matches),
+    QueryCheck("vintage.unique_grain", ERROR, _duplicates(
         "vintage", "source", *_SEGMENTS, "tenor_group", "origination_cohort", "mob")),
 )
 

@@ -32,40 +32,40 @@ def test_sound_book(book):
 
 
 @pytest.mark.parametrize("table,change,check", [
-    ("dim_loan", lambda t: t.withColumn("end_state", F.lit("closed")), "dim_loan__end_state_valid"),
-    ("dim_loan", lambda t: t.withColumn("end_state", F.lit(None).cast("string")), "dim_loan__end_state_valid"),
+    ("dim_loan", lambda t: t.withColumn("end_state", F.lit("closed")), "dim_loan.end_state_valid"),
+    ("dim_loan", lambda t: t.withColumn("end_state", F.lit(None).cast("string")), "dim_loan.end_state_valid"),
     ("dim_loan", lambda t: t.withColumn("is_partial_history", ~F.col("is_partial_history")),
-     "dim_loan__partial_history_flag"),
-    ("dim_loan", lambda t: t.union(t.limit(1)), "dim_loan__unique"),
-    ("fct_loan_month", lambda t: t.withColumn("dpd", F.lit(None).cast("long")), "fct_loan_month__dpd_valid"),
+     "dim_loan.partial_history_flag"),
+    ("dim_loan", lambda t: t.union(t.limit(1)), "dim_loan.unique"),
+    ("fct_loan_month", lambda t: t.withColumn("dpd", F.lit(None).cast("long")), "fct_loan_month.dpd_valid"),
     ("fct_loan_month", lambda t: t.withColumn("is_30_plus", F.lit(None).cast("boolean")),
-     "fct_loan_month__flags_match_dpd"),
-    ("fct_loan_month", lambda t: t.withColumn("mob", F.lit(-1)), "fct_loan_month__mob_non_negative"),
-    ("fct_loan_month", lambda t: t.union(t.limit(1)), "fct_loan_month__unique_grain"),
-    ("fpd_by_segment", lambda t: t.withColumn("n_fpd30", F.col("n_loans") + 1), "fpd_by_segment__rate_valid"),
+     "fct_loan_month.flags_match_dpd"),
+    ("fct_loan_month", lambda t: t.withColumn("mob", F.lit(-1)), "fct_loan_month.mob_non_negative"),
+    ("fct_loan_month", lambda t: t.union(t.limit(1)), "fct_loan_month.unique_grain"),
+    ("fpd_by_segment", lambda t: t.withColumn("n_fpd30", F.col("n_loans") + 1), "fpd_by_segment.rate_valid"),
     ("fpd_by_segment", lambda t: t.withColumn("n_loans", F.col("n_loans") + 1),
-     "fpd_by_segment__reconciles_with_source"),
+     "fpd_by_segment.reconciles_with_source"),
     ("funnel_by_channel", lambda t: t.withColumn("n_applications", F.col("n_applications") + 1),
-     "funnel_by_channel__reconciles_with_source"),
-    ("int_loan_month", lambda t: t.union(t.limit(1)), "int_loan_month__reconciles_with_sources"),
+     "funnel_by_channel.reconciles_with_source"),
+    ("int_loan_month", lambda t: t.union(t.limit(1)), "int_loan_month.reconciles_with_sources"),
     ("int_loan_month", lambda t: t.withColumn("contract_status", F.lit(None).cast("string")),
-     "int_loan_month__unknown_status"),
+     "int_loan_month.unknown_status"),
     ("portfolio_snapshot", lambda t: t.withColumn("n_30_plus", F.col("n_loans") + 1),
-     "portfolio_snapshot__counts_consistent"),
-    ("portfolio_snapshot", lambda t: t.where("dpd_bucket_order > 0"), "portfolio_snapshot__reconciles_with_core"),
-    ("roll", lambda t: t.withColumn("n_month_gap", F.col("n_loans") + 1), "roll_rate__counts_consistent"),
+     "portfolio_snapshot.counts_consistent"),
+    ("portfolio_snapshot", lambda t: t.where("dpd_bucket_order > 0"), "portfolio_snapshot.reconciles_with_core"),
+    ("roll", lambda t: t.withColumn("n_month_gap", F.col("n_loans") + 1), "roll_rate.counts_consistent"),
     ("roll", lambda t: t.where("not (definition = 'primary' and from_order = 0)"),
-     "roll_rate__definitions_same_months"),
-    ("roll", lambda t: t.withColumn("roll_rate", F.col("roll_rate") * 1.01), "roll_rate__row_sums_to_one"),
-    ("vintage", lambda t: t.where("origination_cohort_start <> -96"), "vintage__cohort_matches_core"),
-    ("vintage", lambda t: t.withColumn("n_ever_30_plus", F.col("n_loans") + 1), "vintage__counts_consistent"),
-    ("vintage", lambda t: t.where("mob <> 0 or source <> 'pos_cash'"), "vintage__mob0_matches_core"),
-    ("vintage", lambda t: t.union(t.limit(1)), "vintage__unique_grain"),
+     "roll_rate.definitions_same_months"),
+    ("roll", lambda t: t.withColumn("roll_rate", F.col("roll_rate") * 1.01), "roll_rate.row_sums_to_one"),
+    ("vintage", lambda t: t.where("origination_cohort_start <> -96"), "vintage.cohort_matches_core"),
+    ("vintage", lambda t: t.withColumn("n_ever_30_plus", F.col("n_loans") + 1), "vintage.counts_consistent"),
+    ("vintage", lambda t: t.where("mob <> 0 or source <> 'pos_cash'"), "vintage.mob0_matches_core"),
+    ("vintage", lambda t: t.union(t.limit(1)), "vintage.unique_grain"),
 ])
 def test_broken_tables_are_noticed(book, table, change, check):
     assert failing(Broken(book, **{table: change(getattr(book, table))}), check) == {check}
 
 
 def test_enforce_raises_with_samples(book):
-    with pytest.raises(quality.QualityError, match="dim_loan__unique"):
+    with pytest.raises(quality.QualityError, match="dim_loan.unique"):
         quality.enforce(Broken(book, dim_loan=book.dim_loan.union(book.dim_loan.limit(1))))
