@@ -411,8 +411,9 @@ def with_ctes(body: str) -> str:
 
 
 def rounding(body: str, *columns: str) -> str:
-    """The body with the named double columns rounded as the Spark side does."""
+    """The body with the named double columns rounded as the Spark side does (see registry.flat)."""
     if not columns:
         return body
-    swaps = ", ".join(f"round({c}, 6) as {c}" for c in columns)
+    swaps = ", ".join(
+        f"case when abs({c}) < 1000 then round(round({c}, 12), 6) else round({c}, 6) end as {c}" for c in columns)
     return f"select * replace ({swaps}) from ({body.strip()}) rounded_rows"

@@ -6,7 +6,7 @@ import hashlib
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,15 +49,20 @@ def book(spark: SparkSession, star_dir: str) -> LoanBook:
     return _BOOKS[key]
 
 
+def _rounded(c: Column) -> Column:
+    """Six digits; a first step to twelve settles values that differ from a tie by the last bit only."""
+    return F.when(F.abs(c) < 1000, F.round(F.round(c, 12), DIGITS)).otherwise(F.round(c, DIGITS))
+
+
 def flat(df: DataFrame) -> DataFrame:
-    """Struct columns spread to `column_field`, doubles rounded, integers of counts left as they are."""
+    """Struct columns spread to `column_field`, doubles rounded, everything else left as it is."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StructType):
             out += [(F.col(f"`{f.name}`.`{g.name}`"), f"{f.name}_{g.name}", g.dataType) for g in f.dataType.fields]
         else:
             out.append((F.col(f"`{f.name}`"), f.name, f.dataType))
-    return df.select(*[(F.round(c, DIGITS) if isinstance(t, T.DoubleType) else c).alias(n) for c, n, t in out])
+    return df.select(*[(_rounded(c) if isinstance(t, T.DoubleType) else c).alias(n) for c, n, t in out])
 
 
 def query(name: str, sql: str | None = None, *rounded: str):
