@@ -111,7 +111,7 @@ _NORMAL = r"trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'))"
 
 CHECKS = {
     "op2_line_rules": rf"""
-with d as (select doc_id, coalesce(text, '') as text, coalesce(source, '') as host, {_WORDS} as w,
+with d as materialized (select doc_id, coalesce(text, '') as text, coalesce(source, '') as host, {_WORDS} as w,
                   row_number() over () as r from documents),
 l as (select r, host, text, line, {_NORMAL} as norm, generate_subscripts(string_split(text, chr(10)), 1) as at
       from (select r, host, text, unnest(string_split(text, chr(10))) as line, string_split(text, chr(10)) from d)),
