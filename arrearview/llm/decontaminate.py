@@ -87,7 +87,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, radius: int = 19
     items = written(items.filter(F.size("words") >= size).select(
         "item_id", F.size("words").alias("n"), weights(F.col("words"), size).alias("item"),
         shingle_hashes(F.col("words"), size).alias("hashes")).withColumn("item_fp", simhash(F.col("item"))))
-    seeds = written(items.select("n", F.posexplode("hashes").alias("q", "h")).distinct())
+    seeds = written(items.select("n", F.posexplode("hashes").alias("q", "h")))
     blocks = written(items.select("item_id", "n", "item_fp", F.explode(block_keys(F.col("item_fp"), radius))
                                   .alias("key")).select("item_id", "n", "item_fp", "key.*"))
 
