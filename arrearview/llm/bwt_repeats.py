@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from arrearview.llm.common import discard, mixed, pieces, runs, text_keys, written
 
-GRAM = 40
+GRAM = 80
 
 
 def byte_grams(data: np.ndarray, n: int) -> np.ndarray:
@@ -74,27 +74,35 @@ def slices_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.
     return h[place[first]], first, np.diff(np.r_[first, len(place)])
 
 
-def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all suffixes sorted by their first `depth` bytes, and where each row's predecessor stands."""
-    n, size = len(text), 7
+#: Bytes of a suffix that fit one sort key.
+FIRST = 7
+
+
+def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of all suffixes sorted by their first `depth` bytes, where each row's predecessor stands, and which rows
+    differ from the row above in their first FIRST bytes. Rows that no longer tie are not sorted again."""
+    n, size = len(text), FIRST
     padded = np.r_[text, np.zeros(size, np.int64)]
     key = np.zeros(n, np.int64)
     for i in range(size):
         key = (key << 9) | padded[i:n + i]
+    order = np.argsort(key)
+    new = np.r_[True, np.diff(key[order]) != 0]
+    early, rank, places = new.copy(), np.empty(n, np.int64), np.arange(n)
     while True:
-        order = np.argsort(key)
-        step = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        if size >= depth or step[-1] == n - 1:
+        rank[order] = np.maximum.accumulate(np.where(new, places, 0))
+        tied = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        if size >= depth or not len(tied):
             break
         add = min(size, depth - size)
-        after = np.zeros(n, np.int64)
-        after[:n - add] = rank[add:] + 1
-        key, size = rank * (n + 1) + after, size + add
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    return order, place[order - 1]
+        rows = order[tied]
+        after = np.where(rows + add < n, rank[np.minimum(rows + add, n - 1)] + 1, 0)
+        key = rank[rows] * (n + 1) + after
+        by = np.argsort(key)
+        order[tied], key, size = rows[by], key[by], size + add
+        new[tied] |= np.r_[True, np.diff(key) != 0]
+    rank[order] = places
+    return order, rank[order - 1], early
 
 
 def classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,39 +111,38 @@ def classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     Separators are 0; strings with a separator are not extended.
     """
     n = len(text)
-    order, back = transform(text, length)
+    order, back, early = transform(text, length)
     before = text[order - 1]
     before[order == 0] = 0  # nothing stands before the first byte
-    known = np.zeros(n + 1, bool)
-    known[0] = known[n] = True
-    # Strings of one byte: their intervals in the sorted rows.
-    first = text[order]
-    edge = np.flatnonzero(np.diff(first)) + 1
-    known[edge] = True
-    left, right = np.r_[0, edge], np.r_[edge, n]
-    keep = first[left] > 0
-    left, right = left[keep], right[keep]
-    for _ in range(1, length):
+    known = np.r_[early, True]
+    # The sort key knows the common prefixes below FIRST; the search goes on from all strings of that size.
+    left = np.flatnonzero(early)
+    right = np.r_[left[1:], n]
+    near = np.flatnonzero(text == 0)
+    room = near[np.searchsorted(near, order[left])] - order[left]  # the last separator ends the text
+    left, right = left[room >= FIRST], right[room >= FIRST]
+    for _ in range(FIRST, length):
         if not len(left):
             break
-        sizes = right - left
+        one = right - left == 1
+        single = left[one]
+        single = back[single[before[single] > 0]]
+        left, sizes = left[~one], (right - left)[~one]
         owner = np.repeat(np.arange(len(left)), sizes)
-        rows = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(left, sizes)
+        rows = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes - left, sizes)
         some = before[rows] > 0
         owner, rows = owner[some], rows[some]
         # Rows of one interval with one byte before them have neighbouring places.
-        place = back[rows]
-        by = np.lexsort((place, owner))
-        owner, place, byte = owner[by], place[by], before[rows[by]]
-        new = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(byte) != 0)]) if len(by) else by
-        if not len(new):
-            break
-        left, right = place[new], place[np.r_[new[1:], len(by)] - 1] + 1
-        fresh = ~known[right]
-        opens = ~known[left]
-        known[right[fresh]] = True
-        known[left[opens]] = True
-        fresh |= opens
+        key = owner * n + back[rows]
+        by = np.argsort(key, kind="stable")
+        key, byte = key[by], before[rows[by]]
+        owner = key // n
+        place = key - owner * n
+        new = np.r_[True, (np.diff(owner) != 0) | (np.diff(byte) != 0)] if len(by) else np.empty(0, bool)
+        left = np.r_[single, place[new]]
+        right = np.r_[single, place[np.r_[new[1:], True]] if len(by) else place] + 1
+        fresh = ~(known[left] & known[right])
+        known[left] = known[right] = True
         left, right = left[fresh], right[fresh]
     return order, known[:n]
 
@@ -214,9 +221,10 @@ def _search(slices: DataFrame, length: int, block: int) -> DataFrame:
         def done(rows):
             rows = rows.drop_duplicates(["mini", "same"])
             found = repeats_in_block(rows["bytes"].tolist(), rows["weight"].to_numpy(), length)
-            some = [len(f) > 0 for f in found]
+            some = np.array([len(f) > 0 for f in found], bool)
+            starts = pd.Series([f.astype(np.int32) for f in found if len(f)], dtype=object)
             return pd.DataFrame({"mini": rows["mini"].to_numpy()[some], "same": rows["same"].to_numpy()[some],
-                                 "starts": [f.astype(np.int32) for f in found if len(f)]})
+                                 "starts": starts})
 
         held, size = [], 0
         for frame in frames:
@@ -252,7 +260,7 @@ def _count_strings(slices: DataFrame, length: int) -> DataFrame:
     return rows.join(heavy, "string").groupBy("mini", "same").agg(F.collect_set("start").alias("starts"))
 
 
-def repeated(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int = 1 << 20,
+def repeated(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int = 1 << 18,
              hot: int = 10_000) -> DataFrame:
     """doc_id, ats: tagged first starts and numbers of starts of the repeated strings of each document that has any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter(
@@ -284,7 +292,8 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int =
 
     @F.pandas_udf("array<struct<start:int,n:int>>")
     def in_runs(starts: pd.Series) -> pd.Series:
-        return starts.map(lambda s: [{"start": int(a), "n": int(b - a)} for a, b in runs(np.sort(s), 1)])
+        return pd.Series([[{"start": int(a), "n": int(b - a)} for a, b in runs(np.sort(s), 1)] for s in starts],
+                         dtype=object)
 
     found = plain.unionByName(searched.select("mini", "same", in_runs("starts").alias("found")))
     places = met.join(found, ["mini", "same"]).select("doc_id", F.explode(F.transform(
