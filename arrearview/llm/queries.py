@@ -31,9 +31,10 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return seed_extend.without_repeats(docs).select(
-        "doc_id", "repeats.n_words", "repeats.n_removed",
-        F.sha2(seed_extend.kept_words(F.col("text")), 256).alias("kept_sha256"))
+    left = seed_extend.without_repeats(docs).withColumn(
+        "left", F.pandas_udf(seed_extend.word_digest, "n long, sha256 string")("text"))
+    return left.select("doc_id", (F.col("left.n") + F.col("repeats.n_removed")).alias("n_words"), "repeats.n_removed",
+                       F.col("left.sha256").alias("kept_sha256"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +114,8 @@ CHECKS = {
     "op2_line_rules": rf"""
 with d as materialized (select doc_id, coalesce(text, '') as text, coalesce(source, '') as host, {_WORDS} as w,
                   row_number() over () as r from documents),
-l as (select r, host, text, line, {_NORMAL} as norm, generate_subscripts(string_split(text, chr(10)), 1) as at
-      from (select r, host, text, unnest(string_split(text, chr(10))) as line, string_split(text, chr(10)) from d)),
+l as (select r, host, text, line, {_NORMAL} as norm
+      from (select r, host, text, unnest(string_split(text, chr(10))) as line from d)),
 counted as (select host, norm, count(distinct text) as n from l where norm <> '' group by all),
 hosts as (select host, count(distinct text) as texts from d group by host),
 bad as (select host, norm from counted join hosts using (host) where n > 5 and n > 0.05 * texts),

@@ -17,6 +17,8 @@ itself, and texts of the same doc_id do not remove from each other.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -41,10 +43,13 @@ def seeds(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
     """Positions of the winnowed grams of one text, as words."""
     if len(hashes) < window:
         return np.empty(0, np.int64)
-    found = grams(hashes, gram)
+    low = np.uint64(0xFFFFFFFF)  # positions below the upper half of the hash: the first of equal grams is the least
+    found = (grams(hashes, gram) & ~low) | np.arange(len(hashes) - gram + 1, dtype=np.uint64)
     width = window - gram + 1
-    least = np.lib.stride_tricks.sliding_window_view(found, width).argmin(axis=1) + np.arange(len(found) - width + 1)
-    return least[np.r_[True, np.diff(least) > 0]]
+    least = found[:len(found) - width + 1]
+    for i in range(1, width):
+        least = np.minimum(least, found[i:len(found) - width + 1 + i])
+    return (least[np.r_[True, least[1:] != least[:-1]]] & low).astype(np.int64)
 
 
 def around(positions: np.ndarray, n_words: int, window: int, gram: int) -> np.ndarray:
@@ -166,6 +171,8 @@ def without_repeats(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFra
     return joined.select(*columns, repeats.alias("repeats"))
 
 
-def kept_words(text) -> "F.Column":
-    """The words of a text joined by one space."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
+def word_digest(texts: pd.Series) -> pd.DataFrame:
+    """The number of words of each text, and the SHA-256 of the words joined by one space."""
+    found = [(t or "").encode().split() for t in texts]
+    return pd.DataFrame({"n": [len(w) for w in found],
+                         "sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for w in found]})
