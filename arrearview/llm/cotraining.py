@@ -99,7 +99,8 @@ def _summed(rows: DataFrame, work) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((2, TEXT)), np.zeros((2, META))
     for view in (0, 1):
         own = cells[cells["view"] == view]
-        out[view][own["good"], own["at"]] = own["n"]
+        if len(own):
+            out[view][own["good"], own["at"]] = own["n"]
     return out
 
 
@@ -153,7 +154,7 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.
         seen = known.filter("_fold = 0").mapInPandas(raw, "good int, raw array<double>").toPandas()
         if seen["good"].nunique() < 2:  # too few to keep apart
             seen = known.mapInPandas(raw, "good int, raw array<double>").toPandas()
-        x, y = np.array(seen["raw"].tolist()), seen["good"].to_numpy(float)
+        x, y = np.array(seen["raw"].tolist(), float).reshape(-1, 6), seen["good"].to_numpy(float)
         for view, m in enumerate(models):
             m.curve = logistic(x[:, 3 * view:3 * view + 3], y)
         return models, logistic(np.c_[models[0].logit(x[:, :3]), models[1].logit(x[:, 3:])], y)

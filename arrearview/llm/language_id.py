@@ -78,7 +78,8 @@ def learned(docs: DataFrame, max_languages: int) -> tuple[list[str], np.ndarray]
                 own[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
                 points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)[at]
                 own[BUCKETS:] += np.bincount(script[points], minlength=len(SCRIPTS) + 1)
-        yield pd.DataFrame({"lang": list(sums), "counts": list(sums.values())})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "counts": list(sums.values())})
 
     per_task = docs.select("text", "lang").mapInPandas(count, "lang string, counts array<long>")
     cells = (per_task.select("lang", F.posexplode("counts").alias("slot", "n")).filter("n > 0")
