@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MONEY = "decimal(20,4)"
+# Ten decimals and 28 digits before them: holds any amount, and totals far beyond 1e20.
+MONEY = "decimal(38,10)"
+
+
+def money_sum(amount: Column) -> Column:
+    """Sum of money as a decimal: does not depend on the order of the rows, and can be summed on without loss."""
+    return F.sum(amount.cast(MONEY))
 
 
 def exact_sum(amount: Column) -> Column:
-    """Sum of money that does not depend on the order of the rows."""
-    return F.sum(amount.cast(MONEY)).cast("double")
+    """`money_sum` for the last level of a result."""
+    return money_sum(amount).cast("double")
 
 
 def value_at_last(value: Column, order: Column) -> Column:
@@ -26,16 +32,19 @@ def value_at_first(value: Column, order: Column) -> Column:
 def grouped_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Exact interpolated median per group, without gathering a group in one task.
 
-    Rows are first folded into a histogram (combined on the map side). Coarse bins, monotone in the
-    value and limited in number by the range of a double, locate the one or two bins that hold the
-    middle ranks; only those bins are ordered value by value. `keys` must not be NULL.
+    Rows are first folded into a histogram (combined on the map side). Bins of equal relative width
+    (1024 to each power of two, over the whole range of a double) locate the one or two bins that
+    hold the middle ranks; only those bins are ordered value by value. NULL and NaN are no values
+    and are left out; infinities count. `keys` must not be NULL.
     """
-    v = F.col(value)
+    v = F.col(value).cast("double")
+    size = F.abs(F.col("_v"))
+    exponent = F.least(F.log2(F.nullif(size, F.lit(0.0))), F.lit(1025.0))  # above -1075 for any double
     hist = (
-        df.where(v.isNotNull())
-        .groupBy(*keys, v.cast("double").alias("_v"))
+        df.where(v.isNotNull() & ~F.isnan(v))
+        .groupBy(*keys, v.alias("_v"))
         .agg(F.count("*").alias("_c"))
-        .withColumn("_bin", (F.signum(F.col("_v")) * F.floor(F.log1p(F.abs(F.col("_v"))) * 1024)).cast("int"))
+        .withColumn("_bin", (F.signum("_v") * F.coalesce(F.floor((exponent + 1076) * 1024), F.lit(0))).cast("int"))
     )
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     middle = (

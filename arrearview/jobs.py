@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from arrearview.book import LoanBook
 from arrearview.params import Definitions
+from arrearview.plans.cohorts import reconcile
 from arrearview.plans import quality
 from arrearview.plans.findings import findings
 from arrearview.sources import exports, raw
@@ -28,8 +29,8 @@ def parse(argv: list[str]) -> argparse.Namespace:
     source.add_argument("--star", help="folder of star tables to derive the raw tables from")
     p.add_argument("--out", help="folder of the exported marts and findings; nothing is exported without it")
     p.add_argument("--warehouse", help="folder of the written tables (default: in spark.checkpoint.dir)")
-    p.add_argument("--prefix", default="", help="prefix of the databases raw, stg, core and mart")
-    p.add_argument("--buckets", type=int, help="contract buckets of the large tables (default: shuffle partitions)")
+    p.add_argument("--prefix", default="arrearview_", help="prefix of the databases raw, stg, core and mart")
+    p.add_argument("--buckets", type=int, help="contract buckets of the large tables (default: by rows)")
     p.add_argument("--min-n", type=int, default=Definitions.min_n, help="smallest group to interpret")
     return p.parse_args(argv)
 
@@ -42,6 +43,22 @@ def load(spark: SparkSession, args: argparse.Namespace):
     return lending_tables(spark, args.star)
 
 
+class ReconciliationFailed(ValueError):
+    """Two ways to the same numbers disagree."""
+
+
+class DuplicateApplications(ValueError):
+    """A contract has several applications; joined, each would multiply the contract's months."""
+
+
+def one_application_each(book: LoanBook) -> None:
+    """Stop before the fact is built: copies of a contract's application would multiply its months."""
+    copies = book.stg("previous_application").groupBy("sk_id_prev").count().where("count > 1")
+    found = copies.orderBy("sk_id_prev").limit(5).collect()
+    if found:
+        raise DuplicateApplications(f"contracts with several applications, among them {[r[0] for r in found]}")
+
+
 def run(spark: SparkSession, args: argparse.Namespace, say: Callable[[str], None] = print) -> LoanBook:
     """Load, build and check; export only a book without failed error-level checks."""
     store = TableStore(spark, args.warehouse, args.prefix, args.buckets)
@@ -51,10 +68,15 @@ def run(spark: SparkSession, args: argparse.Namespace, say: Callable[[str], None
     for row in raw.load_audit(tables).collect():
         say(f"raw.{row['table_name']} {row['n_rows']} rows")
     book = LoanBook(spark, tables, Definitions(min_n=args.min_n), store)
+    one_application_each(book)
     clock = time.perf_counter()
     book.build(lambda name: say(f"built {name} at {time.perf_counter() - clock:.1f}s"))
     for row in quality.enforce(book).orderBy("check_name").collect():
         say(f"{row['status']} {row['check_name']} {row['n_violations']}")
+    recount = reconcile(book.cohort_cells, book.vintage, book.d).first()
+    if recount["n_mismatch"]:
+        raise ReconciliationFailed(f"{recount['n_mismatch']} of {recount['n_cells_mart']} vintage cells differ from "
+                                   "the recount by first open month")
     if args.out:
         for name in EXPORTED:
             exports.write_csv(getattr(book, name), f"{args.out}/mart_{name}")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrearview.functions import labels
-from arrearview.functions.aggregates import exact_sum, grouped_median
+from arrearview.functions.aggregates import exact_sum, grouped_median, money_sum
 from arrearview.functions.stats import share
 from arrearview.params import Definitions
 from arrearview.plans import core
@@ -236,8 +236,8 @@ def transition_cells(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFra
         F.count("*").alias("n"),
         F.count_if("gap").alias("n_gap"),
         F.count_if(F.col("exposure_proxy").isNull()).alias("n_null"),
-        exact_sum(F.col("exposure_proxy")).alias("e_from"),
-        exact_sum(F.col("next_exposure")).alias("e_to"),
+        money_sum(F.col("exposure_proxy")).alias("e_from"),
+        money_sum(F.col("next_exposure")).alias("e_to"),
     )
     split = sums.select(
         *keys, "n", "n_gap", "n_null", "e_from", "e_to",
@@ -279,10 +279,13 @@ def of_definition(roll: DataFrame, definition: str) -> DataFrame:
 def snapshot_rows(fact: DataFrame, dim: DataFrame, d: Definitions, month: int | None = None) -> DataFrame:
     """Open contract-months of one relative month, with product and channel."""
     contract = dim.select(
-        "sk_id_prev", "source", "has_application",
+        "sk_id_prev", F.col("source").alias("contract_source"), "has_application",
         *labels.segment_columns(d, F.col("has_application"), ("contract_type", "channel_type")))
     at = d.last_month if month is None else month
-    return fact.where(F.col("is_open") & (F.col("months_balance") == at)).join(contract, ["sk_id_prev", "source"])
+    # Both tables lie by contract: joined on it alone, neither moves. An equality of the sources would become a second
+    # join key and move both, so it is written as a range.
+    open_rows = fact.where(F.col("is_open") & (F.col("months_balance") == at))
+    return open_rows.join(contract, "sk_id_prev").where("source between contract_source and contract_source").drop("contract_source")
 
 
 def portfolio_snapshot(fact: DataFrame, dim: DataFrame, d: Definitions, month: int | None = None) -> DataFrame:

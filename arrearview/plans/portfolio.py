@@ -126,10 +126,10 @@ def snapshot_levels(snapshot: DataFrame, d: Definitions) -> DataFrame:
         proportion("k", n, d).alias("primary"), proportion("k_nt", n, d).alias("no_threshold"))
 
 
-def snapshot_by_source(fact: DataFrame, dim: DataFrame, d: Definitions, month: int) -> DataFrame:
+def snapshot_by_source(fact: DataFrame, month: int) -> DataFrame:
     """Past-due share by count and by exposure for each source, at any month."""
     bad, amount = F.col("is_30_plus"), F.col("exposure_proxy")
-    return snapshot_rows(fact, dim, d, month).groupBy("source").agg(
+    return fact.where(F.col("is_open") & (F.col("months_balance") == month)).groupBy("source").agg(
         F.count("*").alias("n_open"), F.count_if(bad).alias("n_30_plus"),
         exact_sum(amount).alias("exposure"), exact_sum(F.when(bad, amount)).alias("exposure_30_plus"),
     ).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,12 +82,22 @@ def require(spark: SparkSession, paths: dict[str, str]) -> None:
         raise MissingInput("missing raw input: " + ", ".join(absent))
 
 
+def whole(name: str, kind: T.DataType) -> Column:
+    """Text of a whole number as that number; a fraction other than zeros stops the load."""
+    text = F.trim(F.col(name))
+    exact = text.cast("decimal(38,10)")
+    fits = (exact == F.floor(exact)) & (text.cast("double") == F.floor(text.cast("double")))
+    wrong = F.raise_error(F.concat(F.lit(f"{name} is not a whole number: "), F.col(name))).cast(kind)
+    return F.when(fits, exact.cast("decimal(28,0)").cast(kind)).when(text.isNotNull(), wrong).alias(name)
+
+
 def read_csv(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
     """CSV files with a header, typed by the declared schemas.
 
     Columns are matched to the header by name and in any case: the header line is read first, so a
     file may hold more columns than the loan book uses. Whole numbers may be written with decimals
-    (`12.0`), as files exported from float columns do. Anything that does not parse stops the load.
+    (`12.0`), as files exported from float columns do. Anything that does not parse, a whole number
+    with a fraction included, stops the load.
     """
     require(spark, paths)
     out = {}
@@ -104,7 +114,7 @@ def read_csv(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]
         df = (spark.read.schema(file_schema).option("header", True).option("encoding", "UTF-8")
               .option("mode", "FAILFAST").csv(path))
         out[table] = lower_names(df).select(*[
-            F.col(n).cast("decimal(20,0)").cast(t).alias(n) if n in as_text else F.col(n)
+            whole(n, t) if n in as_text else F.col(n)
             for n, t in declared.items()])
     return out
 

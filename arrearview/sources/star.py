@@ -187,12 +187,8 @@ def installments_payments(book: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Input in fewer splits than there are cores is dealt out evenly; larger input keeps its splits.
-
-    The rows about to be expanded are narrow and few, their months are not.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the rows about to be expanded over all partitions: they are narrow and few, their months are not."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def lending_tables(spark: SparkSession, star_dir: str) -> dict[str, DataFrame]:

@@ -7,9 +7,6 @@ tables are bucketed by contract, so the joins and windows that follow need no sh
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,20 +14,18 @@ from pyspark.sql import functions as F
 
 CONTRACT = "sk_id_prev"
 LAYERS = ("raw", "stg", "core", "mart")
+MARK = "written by a TableStore"
+
+
+class ForeignDatabase(ValueError):
+    """A database of that name exists, and no TableStore made it there."""
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only for a local test session."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder:
-        return folder
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="arrearview-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    sc.setCheckpointDir(folder)
-    return folder
+    """The folder named by spark.checkpoint.dir, else one in the session's warehouse. Both are shared by all executors
+    on a cluster; the session's settings stay as they are."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/arrearview"
 
 
 # A bucket of the panel is one task's work in every later join and window: about 200 MB in memory.
@@ -50,28 +45,46 @@ class LazyStore:
 
 
 class TableStore:
-    """Writes every table in full (overwrite) into the databases raw, stg, core and mart.
+    """Writes every table in full (overwrite) into the databases raw, stg, core and mart behind a prefix.
 
-    The databases live under `folder`; their tables are managed, so dropping removes the files.
-    `prefix` separates the databases of several books in one session. `buckets` is the number of
-    contract buckets of the large tables; left out, it follows from the rows of the panel.
+    The databases live under `folder`; their tables are managed, so dropping removes the files. A
+    database that exists already is used only if a store made it in the same folder; any other is
+    left alone, and the store refuses to start. `buckets` is the number of contract buckets of the
+    large tables; left out, it follows from the rows of the panel.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, prefix: str = "",
+    def __init__(self, spark: SparkSession, folder: str | None = None, prefix: str = "arrearview_",
                  buckets: int | None = None):
+        if not prefix:
+            raise ValueError("a prefix is needed, so that the layers' databases are the store's own")
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark)}/book-{uuid.uuid4().hex[:12]}"
         self.prefix = prefix
         self.buckets = buckets
-        for layer in LAYERS:
-            spark.sql(f"CREATE DATABASE IF NOT EXISTS `{prefix}{layer}` LOCATION '{self.folder}/{layer}'")
+        self.made: set[str] = set()
+        names = [f"{prefix}{layer}" for layer in LAYERS]
+        for layer, name in zip(LAYERS, names):
+            if spark.catalog.databaseExists(name) and not self._own(name, f"{self.folder}/{layer}"):
+                raise ForeignDatabase(f"database {name} exists and is not this store's")
+        for layer, name in zip(LAYERS, names):
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}` COMMENT '{MARK}' LOCATION '{self.folder}/{layer}'")
+
+    def _own(self, name: str, folder: str) -> bool:
+        found = self.spark.catalog.getDatabase(name)
+        bare = lambda path: path.split(":", 1)[-1].replace("//", "/").rstrip("/")
+        return found.description == MARK and bare(found.locationUri).endswith(bare(folder))
 
     def fit_rows(self, rows: int) -> None:
-        """Enough buckets to occupy every core, more when the panel is larger."""
+        """Enough buckets to occupy every core, more when the panel is larger, never more than the session allows.
+
+        Beyond that bound (2e11 rows at Spark's default) buckets hold more rows; the joins and
+        windows on them sort, and spill what exceeds memory.
+        """
         if self.buckets is None:
             least = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")),
                         self.spark.sparkContext.defaultParallelism)
-            self.buckets = max(least, -(-rows // ROWS_PER_BUCKET))
+            most = int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+            self.buckets = min(most, max(least, -(-rows // ROWS_PER_BUCKET)))
 
     def fit(self, *panels: DataFrame) -> None:
         """Size the buckets by counting; for parquet tables the count comes from the file footers."""
@@ -94,9 +107,15 @@ class TableStore:
         else:
             writer = df.write
         writer.format("parquet").mode("overwrite").saveAsTable(target)
+        self.made.add(target)
         return self.spark.table(target)
 
     def drop(self) -> None:
-        """Remove the databases with their tables and files."""
+        """Remove the tables this store wrote, with their files, and the databases that are empty then."""
+        for target in sorted(self.made):
+            self.spark.sql(f"DROP TABLE IF EXISTS {target}")
+        self.made.clear()
         for layer in LAYERS:
-            self.spark.sql(f"DROP DATABASE IF EXISTS `{self.prefix}{layer}` CASCADE")
+            name = f"{self.prefix}{layer}"
+            if self.spark.catalog.databaseExists(name) and not self.spark.catalog.listTables(name):
+                self.spark.sql(f"DROP DATABASE `{name}`")

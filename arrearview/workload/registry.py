@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
 from collections.abc import Callable
@@ -37,6 +38,17 @@ def _stamp(star_dir: str) -> tuple:
         return ()
 
 
+def drop_books() -> None:
+    """Remove the tables of all books, where their session still runs."""
+    while _BOOKS:
+        _, b = _BOOKS.popitem()
+        if b.spark.sparkContext._jsc is not None:
+            b.store.drop()
+
+
+atexit.register(drop_books)
+
+
 def book(spark: SparkSession, star_dir: str) -> LoanBook:
     """The loan book of one directory; its tables are written once per application."""
     star_dir = star_dir.rstrip("/")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arrearview.book import LoanBook
-from arrearview.functions.aggregates import grouped_median
+from arrearview.functions.aggregates import exact_sum, grouped_median
 from arrearview.params import Definitions
 from arrearview.plans import core, marts
 from arrearview.sources.raw import RAW_TABLES, schema
@@ -166,3 +166,18 @@ def test_shares_of_the_matrix(book):
     assert rows.count() == 0
     assert marts.of_definition(book.roll, "primary").agg(F.sum("n_loans")).first()[0] == \
         marts.of_definition(book.roll, "no_threshold").agg(F.sum("n_loans")).first()[0]
+
+
+def test_money_sums_neither_cut_nor_overflow(spark):
+    small = spark.createDataFrame([(0.00004,), (0.00004,)], "a double")
+    assert small.select(exact_sum(F.col("a"))).first()[0] == 0.00008
+    large = spark.createDataFrame([(6e16,), (6e16,), (1e20,)], "a double")
+    assert large.select(exact_sum(F.col("a"))).first()[0] == 1e20 + 1.2e17
+
+
+def test_median_of_tiny_values_uses_many_bins(spark):
+    rows = [("a", i * 1e-7) for i in range(1, 1001)] + [("b", float("nan")), ("b", 5.0), ("c", -2.0), ("c", 0.0),
+                                                       ("c", float("inf")), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["m"] for r in grouped_median(df, ["k"], "v", "m").collect()}
+    assert got["a"] == pytest.approx(500.5e-7) and got["b"] == 5.0 and got["c"] == 0.0 and "d" not in got

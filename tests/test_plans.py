@@ -75,3 +75,8 @@ def test_no_query_pairs_rows_by_brute_force(spark, star_dir):
     for name, q in entry.queries().items():
         text = plan(q(spark, star_dir)) if name not in ("load_audit", "findings") else ""
         assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython", text), name
+
+
+def test_snapshot_does_not_move_the_fact(book):
+    text = plan(marts.snapshot_rows(book.fct_loan_month, book.dim_loan, book.d))
+    assert "Exchange" not in text and "Bucketed: false" not in text

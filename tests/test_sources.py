@@ -3,12 +3,15 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arrearview import jobs
 from arrearview.book import LoanBook
 from arrearview.plans.findings import findings
 from arrearview.sources import exports, raw
-from arrearview.sources.store import TableStore, shared_folder
+from arrearview.sources.raw import whole
+from arrearview.sources.store import ForeignDatabase, TableStore, shared_folder
 
 
 def test_missing_inputs_are_all_named(spark, tmp_path):
@@ -107,3 +110,46 @@ def test_store_layers_and_buckets(spark, book):
     store.drop()
     assert not os.path.exists(f"{store.folder.removeprefix('file:')}/core/dim_loan")
     assert "unit_core" not in {d.name for d in spark.catalog.listDatabases()}
+
+
+def test_buckets_stay_within_the_session_limit(spark):
+    store = TableStore(spark, prefix="huge_")
+    store.fit_rows(300_000_000_000)
+    assert store.buckets == int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    store.drop()
+
+
+def test_a_foreign_database_is_left_alone(spark):
+    spark.sql("create database other_core")
+    spark.range(3).write.saveAsTable("other_core.own")
+    try:
+        with pytest.raises(ForeignDatabase):
+            TableStore(spark, prefix="other_")
+        assert spark.table("other_core.own").count() == 3 and not spark.catalog.databaseExists("other_raw")
+    finally:
+        spark.sql("drop table other_core.own")
+        spark.sql("drop database other_core")
+
+
+def test_drop_keeps_tables_the_store_did_not_write(spark):
+    store = TableStore(spark, prefix="mixed_", buckets=2)
+    store.keep("core", "t", spark.range(3))
+    spark.range(2).write.saveAsTable("mixed_core.own")
+    store.drop()
+    assert [t.name for t in spark.catalog.listTables("mixed_core")] == ["own"]
+    assert not spark.catalog.databaseExists("mixed_mart")
+    spark.sql("drop table mixed_core.own")
+    spark.sql("drop database mixed_core")
+
+
+@pytest.mark.parametrize("text,value", [("12", 12), ("12.0", 12), (" -3.00", -3), ("1e2", 100), ("", None), (None, None),
+                                        ("9007199254740993", 9007199254740993)])
+def test_whole_numbers_in_text(spark, text, value):
+    df = spark.createDataFrame([(text,)], "n string").select(F.nullif("n", F.lit("")).alias("n"))
+    assert df.select(whole("n", T.LongType())).first()[0] == value
+
+
+@pytest.mark.parametrize("text", ["12.7", "1e-3", "9007199254740993.5", "x"])
+def test_a_fraction_stops_the_load(spark, text):
+    with pytest.raises(Exception):
+        spark.createDataFrame([(text,)], "n string").select(whole("n", T.LongType())).collect()
