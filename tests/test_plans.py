@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from arrearview.book import LoanBook
 from arrearview.plans import core, marts
 from arrearview.sources.raw import RAW_TABLES, schema
+from arrearview.workload import QUERIES
 
 
 def plan(df):
@@ -72,7 +72,7 @@ def test_vintage_spreads_groups_not_contracts(book):
 
 
 def test_no_query_pairs_rows_by_brute_force(spark, star_dir):
-    for name, q in entry.queries().items():
+    for name, q in QUERIES.items():
         text = plan(q(spark, star_dir)) if name not in ("load_audit", "findings") else ""
         assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython", text), name
 

@@ -4,8 +4,12 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from arrearview.workload import CHECKS, QUERIES
+
+
+def test_the_entry_point_has_every_query_and_check():
+    assert QUERIES.items() <= entry.queries().items() and CHECKS.items() <= entry.oracle_sql().items()
 
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
