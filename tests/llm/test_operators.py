@@ -332,3 +332,12 @@ def test_registered_queries_run(spark):
 def test_digest():
     out = seed_extend.word_digest(__import__("pandas").Series([None, " a\tb "]))
     assert out["n"].tolist() == [0, 2] and out["sha256"][1] == hashlib.sha256(b"a b").hexdigest()
+
+
+@pytest.mark.parametrize("name", ["op2_line_rules", "op3_seed_extend", "op8_chat_format"])
+def test_queries_against_sql(spark, star_dir, name):
+    from compare import compare, connect
+
+    from arrearview.llm.queries import CHECKS, QUERIES
+
+    assert compare(QUERIES[name](spark, star_dir), connect(star_dir), CHECKS[name]) is None
