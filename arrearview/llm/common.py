@@ -58,7 +58,7 @@ def text_keys(text: Column) -> list[Column]:
 class Words(dict):
     """Numbers words as they come; `hashes` has a stable 64-bit hash of each."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 17
 
     def __init__(self) -> None:
         super().__init__()

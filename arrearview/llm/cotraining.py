@@ -35,7 +35,7 @@ class Buckets(dict):
     """Word to its bucket; words with symbols share one."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 17:
             self.clear()
         plain = word.lower().strip(b".,;:!?\"'()")
         out = 0 if SYMBOLS & set(word) else 2 + xxhash.xxh64_intdigest(plain) % (TEXT - 2)

@@ -24,7 +24,7 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 class Lengths(dict):
     """Pre-token to its number of tokens: the broadcast table first, then what this worker has encoded."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __init__(self, path: str, frequent: dict[str, int]) -> None:
         super().__init__(frequent)
