@@ -105,7 +105,10 @@ def later_copies(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
-    """doc_id, ats: the tagged starts of the repeated windows of each document that has any."""
+    """doc_id, ats: the tagged starts of the repeated windows of each document that has any.
+
+    Each step is written, so that the shuffle files and tables of the one before are gone when the next one runs.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter(
         "doc_id is not null and text is not null")
     copies = written(later_copies(docs))
@@ -113,15 +116,19 @@ def repeated(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
     shared = (rows.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
               .filter("first < last").select("seed"))
     copied = copies.select("doc_id", F.shiftright("at", SHIFT).alias("tag"))
-    placed = (rows.join(shared, "seed").groupBy("doc_id", F.shiftright("at", SHIFT).alias("tag"))
-              .agg(F.collect_set("at").alias("ats")).join(copied, ["doc_id", "tag"], "left_anti")
-              .groupBy("doc_id").agg(F.flatten(F.collect_list("ats")).alias("ats")))
-    windows = written(_window_rows(docs.join(placed, "doc_id"), window, gram))
+    placed = written(
+        rows.join(shared, "seed").groupBy("doc_id", F.shiftright("at", SHIFT).alias("tag"))
+        .agg(F.collect_set("at").alias("ats")).join(copied, ["doc_id", "tag"], "left_anti")
+        .groupBy("doc_id").agg(F.flatten(F.collect_list("ats")).alias("ats")))
     discard(rows)
+    windows = written(_window_rows(docs.join(placed, "doc_id"), window, gram))
     first = (windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
              .filter("first < last").select("h1", "h2", "first"))
     paired = windows.join(first, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "at")
-    return paired.union(copies).groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
+    found = written(paired.union(copies).groupBy("doc_id").agg(F.collect_set("at").alias("ats")))
+    for done in (placed, windows, copies):
+        discard(done)
+    return found
 
 
 CUT = "text string, n_words long, n_removed long, spans array<struct<first:int,last:int>>"
