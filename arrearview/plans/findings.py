@@ -70,10 +70,10 @@ SECTIONS: dict[str, tuple[Callable[[LoanBook], DataFrame], tuple[str, ...]]] = {
     "early_split": (lambda b: x.early_split(b.loan_outcome, b.d), ()),
     "card_channel_sample": (lambda b: x.card_channel_sample(b.loan_outcome, b.d), ()),
     "denominator_rules": (lambda b: x.denominator_rules(b.loan_outcome, b.d), ("contract_type", "rule")),
-    "stop_profile": (lambda b: x.stop_profile(b.dim_loan), ("end_state", "source", "stop_group")),
+    "stop_profile": (lambda b: x.stop_profile(b.dim_loan), ("end_state", "source", "stopped_late")),
     "stopped_between": (lambda b: x.stopped_between(b.dim_loan), ()),
     "unknown_in_vintage": (lambda b: x.unknown_in_vintage(b.loan_outcome, b.d), ()),
-    "late_timing_grouping_sets": (lambda b: x.late_timing(b.fct_loan_month, b.loan_outcome, b.d), ("is_cash_office",)),
+    "late_timing_grouping_sets": (lambda b: x.late_timing(b.fct_loan_month, b.loan_outcome, b.d), ("at_offices",)),
     "inferred_closed_cases": (lambda b: x.inferred_closed_cases(b.loan_outcome), ()),
     "cohort_reconcile": (lambda b: c.reconcile(b.cohort_cells, b.vintage, b.d), ()),
     "cohort_sizes": (lambda b: c.cohort_sizes(b.vintage), ("origination_cohort",)),

@@ -65,8 +65,33 @@ def _differ(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
-def _outside_unit(name: str) -> Column:
-    return (F.col(name) < 0) | (F.col(name) > 1)
+# ---- invariants: each gives the condition under which a row breaks it ------------------------
+
+def _money(name: str) -> Column:
+    """An amount that is NULL where nothing was summed counts as zero."""
+    return F.coalesce(F.col(name), F.lit(0.0))
+
+
+def rising(*names: str) -> Column:
+    """Counts where each is part of the next one."""
+    return _any(*[F.col(a) > F.col(b) for a, b in zip(names, names[1:])])
+
+
+def shares(*names: str) -> Column:
+    return _any(*[~F.col(n).between(0, 1) for n in names])
+
+
+def no_less_than(bound: int, *names: str) -> Column:
+    return _any(*[F.col(n) < bound for n in names])
+
+
+def within_total(total: str, *parts: str) -> Column:
+    """Amounts that do not exceed the total, up to a cent."""
+    return _any(*[_money(p) - _money(total) > 0.01 for p in parts])
+
+
+def equal_where(condition: Column, left: Column, right: Column) -> Column:
+    return condition & _differ(left, right)
 
 
 # ---- predicates ------------------------------------------------------------------------------
@@ -109,40 +134,41 @@ def _flags_off(d: Definitions) -> Column:
     return _any(*of(""), *of("_no_threshold"))
 
 
-def _fpd_rates(d: Definitions) -> Column:
-    return _any(F.col("n_fpd30") > F.col("n_loans"), F.col("n_fpd30_late_rule") > F.col("n_loans"),
-                _outside_unit("fpd30_rate"), _outside_unit("fpd30_late_rule_rate"))
+def _first_payment(d: Definitions) -> Column:
+    return _any(rising("n_fpd30", "n_loans"), rising("n_fpd30_late_rule", "n_loans"),
+                shares("fpd30_rate", "fpd30_late_rule_rate"))
 
 
-def _funnel_rates(d: Definitions) -> Column:
-    return _any(F.col("n_approved") + F.col("n_unused_offer") > F.col("n_decided"),
-                F.col("n_approved") > F.col("n_offered"), _outside_unit("approval_rate"), _outside_unit("take_up_rate"))
+def _funnel(d: Definitions) -> Column:
+    return _any(rising("n_approved", "n_offered"), shares("approval_rate", "take_up_rate"),
+                F.col("n_unused_offer") > F.col("n_decided") - F.col("n_approved"))
 
 
-def _snapshot_counts(d: Definitions) -> Column:
-    n, bad, order = F.col("n_loans"), F.col("n_30_plus"), F.col("dpd_bucket_order")
-    known, bad_known, bad_nt = (F.col(c) for c in (
-        "n_loans_exposure_known", "n_30_plus_exposure_known", "n_30_plus_no_threshold"))
-    money, late, late_nt = (F.coalesce(c, F.lit(0.0)) for c in (
-        "exposure", "exposure_30_plus", "exposure_30_plus_no_threshold"))
-    return _any(n <= 0, bad < 0, bad > n, money < 0, late < 0, late - money > 0.01,
-                (order <= 1) & (bad != 0), (order >= 2) & (bad != n), known > n, bad_known > bad,
-                bad_known > known, bad_nt > n, bad_nt < bad, late_nt - money > 0.01)
+def _snapshot(d: Definitions) -> Column:
+    """Past due by count follows from the bucket; strict counts are part of those without a threshold."""
+    by_bucket = F.when(F.col("dpd_bucket_order") >= 2, F.col("n_loans")).otherwise(0)
+    return _any(rising("n_30_plus", "n_30_plus_no_threshold", "n_loans"),
+                rising("n_30_plus_exposure_known", "n_loans_exposure_known", "n_loans"),
+                rising("n_30_plus_exposure_known", "n_30_plus"), _differ(F.col("n_30_plus"), by_bucket),
+                no_less_than(1, "n_loans"), no_less_than(0, "n_30_plus", "exposure", "exposure_30_plus"),
+                within_total("exposure", "exposure_30_plus", "exposure_30_plus_no_threshold"))
 
 
-def _roll_counts(d: Definitions) -> Column:
-    n, gap, rate = F.col("n_loans"), F.col("n_month_gap"), F.coalesce("exposure_roll_rate", F.lit(0.0))
-    return _any(_outside_unit("roll_rate"), n > F.col("n_from"), gap > n, F.col("n_exposure_null") > n,
-                (gap > 0) & (F.col("to_state") != d.exit_states[2]), rate < 0, rate > 1, F.col("exposure_from") < 0)
+def _transition(d: Definitions) -> Column:
+    gaps_elsewhere = F.when(F.col("to_state") != d.exit_states[2], F.col("n_month_gap"))
+    return _any(rising("n_month_gap", "n_loans", "n_from"), rising("n_exposure_null", "n_loans"), gaps_elsewhere > 0,
+                shares("roll_rate", "exposure_roll_rate"), no_less_than(0, "exposure_from"))
 
 
-def _vintage_counts(d: Definitions) -> Column:
-    n, full, k, nt, due = (F.col(c) for c in (
-        "n_loans", "n_observed_full", "n_ever_30_plus", "n_ever_30_plus_no_threshold", "n_ever_30_plus_due_only"))
+def _vintage(d: Definitions) -> Column:
+    late, late_nt, due = "n_ever_30_plus", "n_ever_30_plus_no_threshold", "n_ever_30_plus_due_only"
     source = F.col("source")
-    return _any(k > n, nt > n, k > nt, full > n, full + F.col("n_closed_early") != n,
-                _outside_unit("ever_30_plus_rate"), _outside_unit("ever_30_plus_rate_no_threshold"), due > n,
-                (source == d.card_source) & (due != k), (source == d.instalment_source) & (due > nt), n <= 0)
+    return _any(rising(late, late_nt, "n_loans"), rising(due, "n_loans"), no_less_than(1, "n_loans"),
+                _differ(F.col("n_loans") - F.col("n_observed_full"), F.col("n_closed_early")),
+                no_less_than(0, "n_closed_early"),
+                shares("ever_30_plus_rate", "ever_30_plus_rate_no_threshold"),
+                equal_where(source == d.card_source, F.col(due), F.col(late)),
+                equal_where(source == d.instalment_source, F.greatest(due, late_nt), F.col(late_nt)))
 
 
 # ---- queries ---------------------------------------------------------------------------------
@@ -285,43 +311,57 @@ def _base_matches(book: LoanBook) -> DataFrame:
 _ROLL_KEYS = ("definition", "source", "contract_type", "channel_type", "from_state", "to_state")
 _SEGMENTS = ("contract_type", "channel_type", "client_type", "yield_group")
 
+def _grain(name: str, table: str, *keys: str) -> QueryCheck:
+    return QueryCheck(f"grain_{name}", ERROR, _duplicates(table, *keys))
+
+
+def _range(name: str, table: str, broken: Callable[[Definitions], Column]) -> RowCheck:
+    return RowCheck(f"range_{name}", ERROR, table, broken)
+
+
+def _flag(name: str, table: str, broken: Callable[[Definitions], Column]) -> RowCheck:
+    return RowCheck(f"flag_{name}", ERROR, table, broken)
+
+
+def _balance(name: str, rows: Callable[[LoanBook], DataFrame]) -> QueryCheck:
+    return QueryCheck(f"balance_{name}", ERROR, rows)
+
+
+#: By kind. grain: no key twice; range: values that a row may hold; flag: labels follow from what they are made of;
+#: balance: a table agrees with its sources; known: facts of the data that are reported and stop nothing.
 CHECKS: tuple[RowCheck | QueryCheck, ...] = (
-    RowCheck("dim_loan.end_state_valid", ERROR, "dim_loan", _end_state),
-    RowCheck("dim_loan.missing_application", WARN, "dim_loan", lambda d: ~F.col("has_application")),
-    RowCheck("dim_loan.partial_history_flag", ERROR, "dim_loan", _partial_flag),
-    QueryCheck("dim_loan.unique", ERROR, _duplicates("dim_loan", "sk_id_prev")),
-    RowCheck("fct_loan_month.dpd_no_threshold_valid", WARN, "fct_loan_month",
-             lambda d: F.col("dpd") > F.col("dpd_no_threshold")),
-    RowCheck("fct_loan_month.dpd_valid", ERROR, "fct_loan_month", _delay_invalid),
-    RowCheck("fct_loan_month.flags_match_dpd", ERROR, "fct_loan_month", _flags_off),
-    RowCheck("fct_loan_month.mob_non_negative", ERROR, "fct_loan_month",
-             lambda d: F.col("mob").isNull() | (F.col("mob") < 0)),
-    QueryCheck("fct_loan_month.month_gaps", WARN, _month_gaps),
-    QueryCheck("fct_loan_month.unique_grain", ERROR, _duplicates("fct_loan_month", "sk_id_prev", "months_balance")),
-    QueryCheck("fpd_by_segment.approved_reconciles", ERROR, _approved_reconcile),
-    RowCheck("fpd_by_segment.rate_valid", ERROR, "fpd_by_segment", _fpd_rates),
-    QueryCheck("fpd_by_segment.reconciles_with_source", ERROR, _fpd_reconcile),
-    QueryCheck("fpd_by_segment.unique_grain", ERROR, _duplicates("fpd_by_segment", *_SEGMENTS)),
-    RowCheck("funnel_by_channel.rate_valid", ERROR, "funnel_by_channel", _funnel_rates),
-    QueryCheck("funnel_by_channel.reconciles_with_source", ERROR, _funnel_reconcile),
-    QueryCheck("funnel_by_channel.unique_grain", ERROR, _duplicates("funnel_by_channel", *_SEGMENTS)),
-    QueryCheck("int_loan_month.reconciles_with_sources", ERROR, _panel_reconcile),
-    QueryCheck("int_loan_month.unknown_status", WARN, _unknown_status),
-    RowCheck("portfolio_snapshot.counts_consistent", ERROR, "portfolio_snapshot", _snapshot_counts),
-    QueryCheck("portfolio_snapshot.reconciles_with_core", ERROR, _snapshot_reconcile),
-    QueryCheck("portfolio_snapshot.unique_grain", ERROR,
-               _duplicates("portfolio_snapshot", "contract_type", "channel_type", "dpd_bucket")),
-    RowCheck("roll_rate.counts_consistent", ERROR, "roll", _roll_counts),
-    QueryCheck("roll_rate.definitions_same_months", ERROR, _same_months),
-    QueryCheck("roll_rate.row_sums_to_one", ERROR, _row_sums),
-    QueryCheck("roll_rate.unique_grain", ERROR, _duplicates("roll", *_ROLL_KEYS)),
-    QueryCheck("sources.duplicate_months", WARN, _duplicate_months),
-    QueryCheck("sources.loan_in_both", WARN, _in_both),
-    QueryCheck("vintage.cohort_matches_core", ERROR, _cohorts_match),
-    RowCheck("vintage.counts_consistent", ERROR, "vintage", _vintage_counts),
-    QueryCheck("vintage.mob0_matches_core", ERROR, _base_matches),
-    QueryCheck("vintage.unique_grain", ERROR, _duplicates(
-        "vintage", "source", *_SEGMENTS, "tenor_group", "origination_cohort", "mob")),
+    _grain("contract", "dim_loan", "sk_id_prev"),
+    _grain("contract_month", "fct_loan_month", "sk_id_prev", "months_balance"),
+    _grain("vintage", "vintage", "source", *_SEGMENTS, "tenor_group", "origination_cohort", "mob"),
+    _grain("transition", "roll", *_ROLL_KEYS),
+    _grain("snapshot", "portfolio_snapshot", "contract_type", "channel_type", "dpd_bucket"),
+    _grain("funnel", "funnel_by_channel", *_SEGMENTS),
+    _grain("first_payment", "fpd_by_segment", *_SEGMENTS),
+    _range("age", "fct_loan_month", lambda d: F.coalesce(F.col("mob"), F.lit(-1)) < 0),
+    _range("delay", "fct_loan_month", _delay_invalid),
+    _range("vintage", "vintage", _vintage),
+    _range("transition", "roll", _transition),
+    _range("snapshot", "portfolio_snapshot", _snapshot),
+    _range("funnel", "funnel_by_channel", _funnel),
+    _range("first_payment", "fpd_by_segment", _first_payment),
+    _flag("delay_class", "fct_loan_month", _flags_off),
+    _flag("partial_history", "dim_loan", _partial_flag),
+    _flag("end_state", "dim_loan", _end_state),
+    _balance("panel", _panel_reconcile),
+    _balance("vintage_base", _base_matches),
+    _balance("vintage_cohorts", _cohorts_match),
+    _balance("transition_rows", _row_sums),
+    _balance("transition_definitions", _same_months),
+    _balance("snapshot", _snapshot_reconcile),
+    _balance("funnel", _funnel_reconcile),
+    _balance("first_payment", _fpd_reconcile),
+    _balance("idle_approvals", _approved_reconcile),
+    QueryCheck("known_month_gaps", WARN, _month_gaps),
+    QueryCheck("known_repeated_months", WARN, _duplicate_months),
+    QueryCheck("known_two_sources", WARN, _in_both),
+    QueryCheck("known_unlisted_status", WARN, _unknown_status),
+    RowCheck("known_no_application", WARN, "dim_loan", lambda d: ~F.col("has_application")),
+    RowCheck("known_tolerant_above_raw", WARN, "fct_loan_month", lambda d: F.col("dpd") > F.col("dpd_no_threshold")),
 )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from arrearview.plans import experiments as x
 from arrearview.plans import origination as o
 from arrearview.plans import transitions as t
+from arrearview.workload.oracle_base import CTES
 from arrearview.workload.registry import query
 from arrearview.workload.sqlstats import MH_ROUND, arm, arm_rel, mh, prop, props, rr, rrs
 
@@ -152,11 +153,14 @@ _SEG = """case when not has_application then false when product <> 'Consumer loa
     then false end else false end
   when client not in ('New', 'Unknown') or yield not in ('high', 'Unknown') then false
   when client = 'Unknown' or yield = 'Unknown' then null else true end"""
-_EARLY = f"""
-select g.mob, product contract_type, {_SEG} is_seg, count(*) n, count(case when m1 <= g.mob then 1 end) k_1_plus,
-  count(case when m30 <= g.mob then 1 end) k_30_plus
-from c_out l join (select cast(unnest([3, 6, 12]) as int) mob) g on l.ended or l.max_mob >= g.mob
-where in_base group by all"""
+# One row per product, segment, last age at which the outcome is known, and first ages of delay.
+CTES["c_early"] = f"""
+select product, {_SEG} is_seg, case when ended then 99 else max_mob end known_to, m1, m30, count(*) w
+from c_out where in_base group by all"""
+_EARLY = " union all ".join(f"""
+select cast({age} as int) mob, product contract_type, is_seg, cast(sum(w) {B}) n,
+  cast(ifnull(sum(w) filter (m1 <= {age}), 0) {B}) k_1_plus, cast(ifnull(sum(w) filter (m30 <= {age}), 0) {B}) k_30_plus
+from c_early where known_to >= {age} group by product, is_seg""" for age in (3, 6, 12))
 query("early_cells", _EARLY)(lambda b: x.early_cells(b.loan_outcome, b.d))
 _POP = "select 'consumer_loans_all' population, * from ({0}) e where contract_type = 'Consumer loans' " \
        "union all select 'segment_consumer_new_high', * from ({0}) e where is_seg"
@@ -181,16 +185,17 @@ from (select count(case when m1 <= 6 and m30 <= 12 then 1 end) k1, count(case wh
     count(case when m30 <= 12 then 1 end) - count(case when m1 <= 6 and m30 <= 12 then 1 end) k0,
     count(*) - count(case when m1 <= 6 then 1 end) n0 from c_out where {_CONSUMER12}) q""",
       *props("if_early", "if_not"), *rrs("rr"), "share_preceded")(lambda b: x.early_validation(b.loan_outcome, b.d))
+CTES["c_cross"] = f"""
+select case when m1 <= 6 then 'early' else 'calm' end || case when m30 <= 6 then '_by_6' when m30 <= 12 then '_by_12'
+  else '_never' end cell, count(*) w from c_out where {_CONSUMER12} group by 1"""
 query("early_split", f"""
-select *, {prop('k_7_12_early', 'k_7_12', 'preceded')}, {prop('k_7_12_early', 'n_early_not30_by6', 'if_early')},
-  {prop('k_7_12_not_early', 'n_not_early', 'if_not')},
-  {rr('k_7_12_early', 'n_early_not30_by6', 'k_7_12_not_early', 'n_not_early', 'rr')}
-from (select count(*) filter (m30 <= 12) k_all, count(*) filter (m30 <= 6) k_by6,
-    count(*) filter (m30 > 6 and m30 <= 12) k_7_12, count(*) filter (m30 > 6 and m30 <= 12 and m1 <= 6) k_7_12_early,
-    count(*) filter (m1 <= 6 and (m30 is null or m30 > 6)) n_early_not30_by6,
-    count(*) filter (m1 is null or m1 > 6) n_not_early,
-    count(*) filter ((m1 is null or m1 > 6) and m30 > 6 and m30 <= 12) k_7_12_not_early
-  from c_out where {_CONSUMER12}) q""", *props("preceded", "if_early", "if_not"), *rrs("rr"))(
+select *, {prop('early_by_12', 'turned_late', 'preceded')}, {prop('early_by_12', 'at_risk_early', 'if_early')},
+  {prop('calm_by_12', 'at_risk_calm', 'if_not')},
+  {rr('early_by_12', 'at_risk_early', 'calm_by_12', 'at_risk_calm', 'rr')}
+from (select *, early_by_12 + calm_by_12 turned_late, early_by_12 + early_never at_risk_early,
+        calm_by_12 + calm_never at_risk_calm
+      from (select {", ".join(f"cast(ifnull(sum(w) filter (cell = '{c}'), 0) {B}) {c}" for c in x.CROSSED)}
+            from c_cross) p) q""", *props("preceded", "if_early", "if_not"), *rrs("rr"))(
     lambda b: x.early_split(b.loan_outcome, b.d))
 query("card_channel_sample", f"""
 select *, {prop('k6', 'n6', 'ever_1_plus')}, {prop('k12', 'n12', 'ever_30_plus')},
@@ -206,51 +211,83 @@ from (select count(*) population, count(*) filter (ended or max_mob >= 6) n6,
 
 # ---- sensitivity -----------------------------------------------------------------------------
 
-_RULE = """
-select r.rule, g.mob, {} contract_type, count(*) n, count(case when m30 <= g.mob then 1 end) k,
-  count(case when m30_nt <= g.mob then 1 end) k_nt
-from c_out l cross join (select cast(unnest([6, 12, 24]) as int) mob) g
-cross join (select unnest(['main', 'legacy', 'legacy_plus_rem0']) as rule) r
-where in_base and (max_mob >= g.mob or end_state = 'closed' or (r.rule = 'main' and end_state = 'closed_inferred')
-  or (r.rule = 'legacy_plus_rem0' and end_state in ('closed_inferred', 'unknown')
-      and installments_remaining_at_last = 0))
-group by all"""
+# Which endings each rule admits at ages that a contract did not live to see.
+_ADMITS = """(values ('main', 'closed'), ('main', 'closed, paid'), ('main', 'closed_inferred'),
+  ('main', 'closed_inferred, paid'), ('legacy', 'closed'), ('legacy', 'closed, paid'), ('legacy_plus_rem0', 'closed'),
+  ('legacy_plus_rem0', 'closed, paid'), ('legacy_plus_rem0', 'closed_inferred, paid'),
+  ('legacy_plus_rem0', 'unknown, paid')) as a(rule, ending)"""
+CTES["c_endings"] = """
+select product, end_state || case when installments_remaining_at_last = 0 then ', paid' else '' end ending, max_mob,
+  m30, m30_nt, count(*) w
+from c_out where in_base group by all"""
+_AGES = "(select cast(unnest([6, 12, 24]) as int) mob) g"
 query("denominator_rules", f"""
-select *, {prop('k', 'n', 'primary')}, {prop('k_nt', 'n', 'no_threshold')}
-from ({_RULE.format('product')} union all {_RULE.format('null')}) u""", *props("primary", "no_threshold"))(
+select *, {prop('k', 'n', 'primary')}, {prop('k_nt', 'n', 'no_threshold')} from (
+  select rule, mob, product contract_type, cast(sum(w) {B}) n, cast(ifnull(sum(w) filter (m30 <= mob), 0) {B}) k,
+    cast(ifnull(sum(w) filter (m30_nt <= mob), 0) {B}) k_nt
+  from (select rule, mob, product, m30, m30_nt, w from c_endings join {_AGES} on max_mob >= mob,
+          (select distinct rule from {_ADMITS}) r
+        union all
+        select rule, mob, product, m30, m30_nt, w from c_endings join {_ADMITS} using (ending)
+          join {_AGES} on max_mob < mob) u
+  group by grouping sets ((rule, mob), (rule, mob, product))) s""", *props("primary", "no_threshold"))(
     lambda b: x.denominator_rules(b.loan_outcome, b.d))
-query("stop_profile", """
-select case when last_observed_month >= -4 then 'stop_-2_to_-4' else 'stop_-17_or_earlier' end stop_group, source,
-  end_state, count(*) n, count(case when installments_remaining_at_last = 0 then 1 end) n_rem0,
-  median(installments_remaining_at_last) median_rem
-from c_dim where end_state in ('closed_inferred', 'unknown') group by 1, 2, 3""", "median_rem")(
-    lambda b: x.stop_profile(b.dim_loan))
+# Medians from counts: the first value that half of the rows do not exceed, and that more than half do not exceed.
+CTES["c_stops"] = """
+select last_observed_month >= -4 stopped_late, source, end_state, installments_remaining_at_last rem, count(*) w
+from c_dim where end_state in ('closed_inferred', 'unknown') group by all"""
+query("stop_profile", f"""
+select stopped_late, source, end_state, cast(sum(w) {B}) n_contracts,
+  cast(ifnull(sum(w) filter (rem = 0), 0) {B}) n_nothing_left,
+  (min(rem) filter (2 * upto >= known) + min(rem) filter (2 * upto > known)) / 2.0e0 median_left
+from (select *, case when rem is not null then sum(w) over (partition by stopped_late, source, end_state order by rem
+          nulls last) end upto, sum(case when rem is not null then w end) over (partition by stopped_late, source,
+          end_state) known from c_stops) c
+group by 1, 2, 3""", "median_left")(lambda b: x.stop_profile(b.dim_loan))
 query("stopped_between", "select count(*) n_stop_between_5_16 from c_dim where last_observed_month >= -16 and "
                          "last_observed_month <= -5 and end_state in ('closed_inferred', 'unknown')")(
     lambda b: x.stopped_between(b.dim_loan))
+CTES["c_lone"] = """
+select in_base, is_partial_history partial, first_open_month is null never_open, m30 <= 12 bad, case
+    when max_mob >= 12 then 'seen' when ended then 'ended' when end_state = 'unknown' then 'lost' else 'open' end verdict,
+  count(*) w
+from c_out where not has_application group by all"""
+_SETS = "(values " + ", ".join(f"('{n}', '{v}')" for n, vs in x.VERDICTS.items() for v in vs) + ") as v(name, verdict)"
 query("unknown_in_vintage", f"""
-select *, {prop('n_partial', 'n_group', 'partial')}, {prop('k_current', 'n_current', 'current')},
-  {prop('k_if_unknown_closed', 'n_if_unknown_closed', 'if_closed')}
-from (select count(*) n_group, count(*) filter (is_partial_history) n_partial,
-    count(*) filter (first_open_month is null) n_never_open, count(*) filter (in_base) n_vintage_base,
-    count(*) filter (in_base and end_state = 'unknown' and max_mob < 12) n_unknown_excluded_mob12,
-    count(*) filter (in_base and end_state = 'unknown' and max_mob < 12 and m30 <= 12) k_unknown_excluded_mob12,
-    count(*) filter (in_base and (max_mob >= 12 or ended)) n_current,
-    count(*) filter (in_base and (max_mob >= 12 or ended) and m30 <= 12) k_current,
-    count(*) filter (in_base and (max_mob >= 12 or end_state <> 'censored')) n_if_unknown_closed,
-    count(*) filter (in_base and (max_mob >= 12 or end_state <> 'censored') and m30 <= 12) k_if_unknown_closed
-  from c_out where not has_application) q""", *props("partial", "current", "if_closed"))(
+select *, {prop('n_partial', 'n_contracts', 'partial')}, {prop('k_counted', 'n_counted', 'counted')},
+  {prop('k_if_counted', 'n_if_counted', 'if_counted')}
+from (select cast(ifnull(sum(w), 0) {B}) n_contracts, cast(ifnull(sum(w) filter (partial), 0) {B}) n_partial,
+        cast(ifnull(sum(w) filter (never_open), 0) {B}) n_never_open,
+        cast(ifnull(sum(w) filter (in_base), 0) {B}) n_base from c_lone) a,
+     (select {", ".join(f"cast(ifnull(sum(w) filter (name = '{n}'), 0) {B}) n_{n}, "
+                        f"cast(ifnull(sum(w) filter (name = '{n}' and bad), 0) {B}) k_{n}" for n in x.VERDICTS)}
+      from c_lone join {_SETS} using (verdict) where in_base) s""", *props("partial", "counted", "if_counted"))(
     lambda b: x.unknown_in_vintage(b.loan_outcome, b.d))
-_LATE = """
-select {0} is_cash_office, count(*) n, quantile_disc(f.mob, 0.5)::int median_mob_now, min(f.mob) min_mob_now,
-  max(f.mob) max_mob_now, quantile_disc(l.m30, 0.5)::int median_first_30_plus_mob,
-  count(case when l.m30 > 12 then 1 end) n_after12, count(case when l.is_partial_history then 1 end) n_partial_history
+# Cash contracts past due today: age now and age when first past due, as counts.
+CTES["c_today"] = """
+select l.channel = 'Credit and cash offices' at_offices, f.mob age, l.m30 first_age, l.is_partial_history partial, count(*) w
 from c_fct f join c_out l using (sk_id_prev)
-where f.is_open and f.months_balance = -1 and f.is_30_plus and l.has_application and l.product = 'Cash loans' {1}"""
+where f.months_balance = -1 and f.is_open and f.dpd > 30 and l.has_application and l.product = 'Cash loans' group by all"""
+
+
+def _half(value: str) -> str:
+    """Flag and value of the first row that half of the rows of its flag do not exceed."""
+    return f"""(select at_offices, min({value}) at_half from (
+      select at_offices, {value}, sum(w) over (partition by at_offices order by {value}) upto,
+        sum(w) over (partition by at_offices) total
+      from (select * from c_today union all select * replace (null as at_offices) from c_today) u) o
+    where 2 * upto >= total group by 1)"""
+
+
 query("late_timing_grouping_sets", f"""
-select *, {prop('n_after12', 'n', 'after12')} from (
-  {_LATE.format('null::boolean', '')}
-  union all {_LATE.format("l.channel = 'Credit and cash offices'", 'group by 1')}) u""", *props("after12"))(
+select s.*, cast(a.at_half as int) median_age, cast(b.at_half as int) median_first_age,
+  {prop('n_first_after_12', 'n_contracts', 'after_12')}
+from (select at_offices, cast(sum(w) {B}) n_contracts, min(age) youngest, max(age) oldest,
+        cast(ifnull(sum(w) filter (first_age > 12), 0) {B}) n_first_after_12,
+        cast(ifnull(sum(w) filter (partial), 0) {B}) n_partial
+      from c_today group by grouping sets ((), (at_offices))) s
+join {_half('age')} a on a.at_offices is not distinct from s.at_offices
+join {_half('first_age')} b on b.at_offices is not distinct from s.at_offices""", *props("after_12"))(
     lambda b: x.late_timing(b.fct_loan_month, b.loan_outcome, b.d))
 query("inferred_closed_cases", """
 select count(*) n_cases, count(case when z.is_30_plus then 1 end) n_last_month_30_plus

@@ -32,40 +32,47 @@ def test_sound_book(book):
 
 
 @pytest.mark.parametrize("table,change,check", [
-    ("dim_loan", lambda t: t.withColumn("end_state", F.lit("closed")), "dim_loan.end_state_valid"),
-    ("dim_loan", lambda t: t.withColumn("end_state", F.lit(None).cast("string")), "dim_loan.end_state_valid"),
+    ("dim_loan", lambda t: t.withColumn("end_state", F.lit("closed")), "flag_end_state"),
+    ("dim_loan", lambda t: t.withColumn("end_state", F.lit(None).cast("string")), "flag_end_state"),
     ("dim_loan", lambda t: t.withColumn("is_partial_history", ~F.col("is_partial_history")),
-     "dim_loan.partial_history_flag"),
-    ("dim_loan", lambda t: t.union(t.limit(1)), "dim_loan.unique"),
-    ("fct_loan_month", lambda t: t.withColumn("dpd", F.lit(None).cast("long")), "fct_loan_month.dpd_valid"),
+     "flag_partial_history"),
+    ("dim_loan", lambda t: t.union(t.limit(1)), "grain_contract"),
+    ("fct_loan_month", lambda t: t.withColumn("dpd", F.lit(None).cast("long")), "range_delay"),
     ("fct_loan_month", lambda t: t.withColumn("is_30_plus", F.lit(None).cast("boolean")),
-     "fct_loan_month.flags_match_dpd"),
-    ("fct_loan_month", lambda t: t.withColumn("mob", F.lit(-1)), "fct_loan_month.mob_non_negative"),
-    ("fct_loan_month", lambda t: t.union(t.limit(1)), "fct_loan_month.unique_grain"),
-    ("fpd_by_segment", lambda t: t.withColumn("n_fpd30", F.col("n_loans") + 1), "fpd_by_segment.rate_valid"),
+     "flag_delay_class"),
+    ("fct_loan_month", lambda t: t.withColumn("mob", F.lit(-1)), "range_age"),
+    ("fct_loan_month", lambda t: t.union(t.limit(1)), "grain_contract_month"),
+    ("fpd_by_segment", lambda t: t.withColumn("n_fpd30", F.col("n_loans") + 1), "range_first_payment"),
     ("fpd_by_segment", lambda t: t.withColumn("n_loans", F.col("n_loans") + 1),
-     "fpd_by_segment.reconciles_with_source"),
+     "balance_first_payment"),
     ("funnel_by_channel", lambda t: t.withColumn("n_applications", F.col("n_applications") + 1),
-     "funnel_by_channel.reconciles_with_source"),
-    ("int_loan_month", lambda t: t.union(t.limit(1)), "int_loan_month.reconciles_with_sources"),
+     "balance_funnel"),
+    ("int_loan_month", lambda t: t.union(t.limit(1)), "balance_panel"),
     ("int_loan_month", lambda t: t.withColumn("contract_status", F.lit(None).cast("string")),
-     "int_loan_month.unknown_status"),
+     "known_unlisted_status"),
     ("portfolio_snapshot", lambda t: t.withColumn("n_30_plus", F.col("n_loans") + 1),
-     "portfolio_snapshot.counts_consistent"),
-    ("portfolio_snapshot", lambda t: t.where("dpd_bucket_order > 0"), "portfolio_snapshot.reconciles_with_core"),
-    ("roll", lambda t: t.withColumn("n_month_gap", F.col("n_loans") + 1), "roll_rate.counts_consistent"),
+     "range_snapshot"),
+    ("portfolio_snapshot", lambda t: t.where("dpd_bucket_order > 0"), "balance_snapshot"),
+    ("roll", lambda t: t.withColumn("n_month_gap", F.col("n_loans") + 1), "range_transition"),
     ("roll", lambda t: t.where("not (definition = 'primary' and from_order = 0)"),
-     "roll_rate.definitions_same_months"),
-    ("roll", lambda t: t.withColumn("roll_rate", F.col("roll_rate") * 1.01), "roll_rate.row_sums_to_one"),
-    ("vintage", lambda t: t.where("origination_cohort_start <> -96"), "vintage.cohort_matches_core"),
-    ("vintage", lambda t: t.withColumn("n_ever_30_plus", F.col("n_loans") + 1), "vintage.counts_consistent"),
-    ("vintage", lambda t: t.where("mob <> 0 or source <> 'pos_cash'"), "vintage.mob0_matches_core"),
-    ("vintage", lambda t: t.union(t.limit(1)), "vintage.unique_grain"),
+     "balance_transition_definitions"),
+    ("roll", lambda t: t.withColumn("roll_rate", F.col("roll_rate") * 1.01), "balance_transition_rows"),
+    ("vintage", lambda t: t.where("origination_cohort_start <> -96"), "balance_vintage_cohorts"),
+    ("vintage", lambda t: t.withColumn("n_ever_30_plus", F.col("n_loans") + 1), "range_vintage"),
+    ("vintage", lambda t: t.where("mob <> 0 or source <> 'pos_cash'"), "balance_vintage_base"),
+    ("vintage", lambda t: t.union(t.limit(1)), "grain_vintage"),
+    ("fpd_by_segment", lambda t: t.withColumn("n_approved_not_activated", F.col("n_approved_not_activated") + 1),
+     "balance_idle_approvals"),
+    ("fpd_by_segment", lambda t: t.union(t.limit(1)), "grain_first_payment"),
+    ("funnel_by_channel", lambda t: t.withColumn("n_unused_offer", F.col("n_decided") + 1), "range_funnel"),
+    ("funnel_by_channel", lambda t: t.union(t.limit(1)), "grain_funnel"),
+    ("portfolio_snapshot", lambda t: t.union(t.limit(1)), "grain_snapshot"),
+    ("roll", lambda t: t.union(t.limit(1)), "grain_transition"),
 ])
 def test_broken_tables_are_noticed(book, table, change, check):
     assert failing(Broken(book, **{table: change(getattr(book, table))}), check) == {check}
 
 
 def test_enforce_raises_with_samples(book):
-    with pytest.raises(quality.QualityError, match="dim_loan.unique"):
+    with pytest.raises(quality.QualityError, match="grain_contract"):
         quality.enforce(Broken(book, dim_loan=book.dim_loan.union(book.dim_loan.limit(1))))
