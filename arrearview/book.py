@@ -64,10 +64,15 @@ class LoanBook:
     def cohort_cells(self) -> DataFrame:
         return self.store.keep("mart", "cohort_cells", cohorts.cohort_cells(self.loan_outcome, self.d))
 
+    @cached_property
+    def application_amounts(self) -> DataFrame:
+        """Applications by segment, status and amount: one scan of them for the whole funnel."""
+        return self.store.keep("core", "application_amounts",
+                               marts.application_amounts(self.stg("previous_application"), self.d))
+
     @cached_property
     def funnel_by_channel(self) -> DataFrame:
-        return self.store.keep("mart", "funnel_by_channel",
-                               marts.funnel_by_channel(self.stg("previous_application"), self.d))
+        return self.store.keep("mart", "funnel_by_channel", marts.funnel_by_channel(self.application_amounts))
 
     @cached_property
     def fpd_by_segment(self) -> DataFrame:

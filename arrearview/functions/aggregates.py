@@ -29,13 +29,13 @@ def value_at_first(value: Column, order: Column) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), order))
 
 
-def grouped_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+def grouped_median(df: DataFrame, keys: list[str], value: str, name: str, weight: Column | None = None) -> DataFrame:
     """Exact interpolated median per group, without gathering a group in one task.
 
     Rows are first folded into a histogram (combined on the map side). Bins of equal relative width
     (1024 to each power of two, over the whole range of a double) locate the one or two bins that
     hold the middle ranks; only those bins are ordered value by value. NULL and NaN are no values
-    and are left out; infinities count. `keys` must not be NULL.
+    and are left out; infinities count. `keys` must not be NULL. A row counts `weight` times, if given.
     """
     v = F.col(value).cast("double")
     size = F.abs(F.col("_v"))
@@ -43,7 +43,7 @@ def grouped_median(df: DataFrame, keys: list[str], value: str, name: str) -> Dat
     hist = (
         df.where(v.isNotNull() & ~F.isnan(v))
         .groupBy(*keys, v.alias("_v"))
-        .agg(F.count("*").alias("_c"))
+        .agg((F.count("*") if weight is None else F.sum(weight)).alias("_c"))
         .withColumn("_bin", (F.signum("_v") * F.coalesce(F.floor((exponent + 1076) * 1024), F.lit(0))).cast("int"))
     )
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -60,7 +60,7 @@ def one_application_each(book: LoanBook) -> None:
 
 
 def run(spark: SparkSession, args: argparse.Namespace, say: Callable[[str], None] = print) -> LoanBook:
-    """Load, build and check; export only a book without failed error-level checks."""
+    """Load, build and check, with sample rows of what was found; export only a book without failed error-level checks."""
     store = TableStore(spark, args.warehouse, args.prefix, args.buckets)
     tables = load(spark, args)
     if args.csv:  # text is parsed once, everything later reads columns
@@ -73,6 +73,9 @@ def run(spark: SparkSession, args: argparse.Namespace, say: Callable[[str], None
     book.build(lambda name: say(f"built {name} at {time.perf_counter() - clock:.1f}s"))
     for row in quality.enforce(book).orderBy("check_name").collect():
         say(f"{row['status']} {row['check_name']} {row['n_violations']}")
+        if row["status"] == "warn":
+            for sample in quality.samples(book, row["check_name"]).collect():
+                say(f"  {row['check_name']}: {sample.asDict()}")
     recount = reconcile(book.cohort_cells, book.vintage, book.d).first()
     if recount["n_mismatch"]:
         raise ReconciliationFailed(f"{recount['n_mismatch']} of {recount['n_cells_mart']} vintage cells differ from "

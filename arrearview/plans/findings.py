@@ -50,6 +50,7 @@ SECTIONS: dict[str, tuple[Callable[[LoanBook], DataFrame], tuple[str, ...]]] = {
     "segment_grid": (lambda b: v.segment_grid(b.vintage, ["client_type", "yield_group"], b.d),
                      ("client_type", "definition", "yield_group")),
     "segment_bonferroni": (lambda b: v.segment_bonferroni(b.vintage, b.d), ()),
+    "segment_bonferroni_counts": (lambda b: v.segment_bonferroni_counts(b.vintage, b.d), ("tests",)),
     "yield_grid": (lambda b: v.segment_grid(b.vintage, ["yield_group"], b.d), ("definition", "yield_group")),
     "segment_by_tenor": (lambda b: v.segment_by_tenor(b.vintage, b.d), ("definition", "tenor_group")),
     "former_segment": (lambda b: v.former_segment(b.vintage, b.d), ("definition",)),
@@ -60,6 +61,7 @@ SECTIONS: dict[str, tuple[Callable[[LoanBook], DataFrame], tuple[str, ...]]] = {
     "cure_by_cohort": (lambda b: t.cure_by_cohort(b.fct_loan_month, b.dim_loan, b.d), ("origination_cohort",)),
     "cure_by_cohort_mh": (lambda b: t.cure_by_cohort_pooled(b.fct_loan_month, b.dim_loan, b.d), ()),
     "first_b1_cure": (lambda b: t.first_b1_cure(b.fct_loan_month, b.d), ()),
+    "first_b1_sample": (lambda b: t.first_b1_sample(b.fct_loan_month, b.d), ("points",)),
     "collections_experiment": (lambda b: t.collections_experiment(b.roll, b.d), ()),
     "approval_levels": (lambda b: o.approval_levels(b.funnel_by_channel, b.d), ("channel_type", "contract_type")),
     "approval_standardised": (lambda b: o.approval_standardised(b.funnel_by_channel, b.d), ("channel_type",)),

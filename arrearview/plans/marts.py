@@ -12,33 +12,43 @@ from arrearview.params import Definitions
 from arrearview.plans import core
 
 SEGMENTS = ["contract_type", "channel_type", "client_type", "yield_group"]
+FUNNEL_KEYS = ["channel_type", "contract_type", "client_type", "yield_group"]
 
 
 def deduplicated(application: DataFrame) -> DataFrame:
     return application.where(F.col("is_last_appl_per_contract") & F.col("is_last_appl_in_day"))
 
 
-def funnel_by_channel(application: DataFrame, d: Definitions) -> DataFrame:
-    keys = ["channel_type", "contract_type", "client_type", "yield_group"]
-    apps = deduplicated(application).select(
-        *labels.segment_columns(d, names=keys), F.col("application_status").alias("status"), "credit_amount")
+def application_amounts(application: DataFrame, d: Definitions) -> DataFrame:
+    """The deduplicated applications as a histogram: segment, status and amount, with how many there are.
 
+    `credit_total` is the decimal sum of the approved amounts, the same as amount times number.
+    """
+    approved = F.col("status") == "Approved"
+    return deduplicated(application).select(
+        *labels.segment_columns(d, names=FUNNEL_KEYS), F.col("application_status").alias("status"), "credit_amount"
+    ).groupBy(*FUNNEL_KEYS, "status", "credit_amount").agg(
+        F.count("*").alias("n"), money_sum(F.when(approved, F.col("credit_amount"))).alias("credit_total"))
+
+
+def funnel_by_channel(amounts: DataFrame) -> DataFrame:
+    """Counts, sums and medians, all from the histogram of `application_amounts`."""
     def having(status: str) -> Column:
-        return F.count_if(F.col("status") == status)
+        return F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n"))), F.lit(0).cast("long"))
 
-    approved = F.col("status") == "Approved"
-    counts = apps.groupBy(*keys).agg(
-        F.count("*").alias("n_applications"),
+    counts = amounts.groupBy(*FUNNEL_KEYS).agg(
+        F.sum("n").alias("n_applications"),
         having("Approved").alias("n_approved"),
         having("Unused offer").alias("n_unused_offer"),
         having("Refused").alias("n_refused"),
         having("Canceled").alias("n_canceled"),
-        exact_sum(F.when(approved, F.col("credit_amount"))).alias("credit_amount_approved_total"),
+        exact_sum(F.col("credit_total")).alias("credit_amount_approved_total"),
     )
-    medians = grouped_median(apps.where(approved), keys, "credit_amount", "credit_amount_approved_median")
+    medians = grouped_median(amounts.where("status = 'Approved'"), FUNNEL_KEYS, "credit_amount",
+                             "credit_amount_approved_median", F.col("n"))
     offered = F.col("n_approved") + F.col("n_unused_offer")
     decided = offered + F.col("n_refused")
-    return counts.join(medians, keys, "left").select(
+    return counts.join(medians, FUNNEL_KEYS, "left").select(
         *counts.columns, "credit_amount_approved_median",
         offered.alias("n_offered"),
         decided.alias("n_decided"),
@@ -47,71 +57,64 @@ def funnel_by_channel(application: DataFrame, d: Definitions) -> DataFrame:
     )
 
 
-def first_instalment(payments: DataFrame, d: Definitions) -> DataFrame:
-    """First instalment of the original schedule, one row per contract.
+def started(payments: DataFrame, d: Definitions) -> DataFrame:
+    """Contracts with a first instalment; `first` is that of the original schedule, NULL where there is none.
 
     Payments fold to one row per contract and schedule version on the map side before anything is
-    shuffled; the lowest version is then picked among these.
+    shuffled; the lowest version above zero is then picked among these.
     """
     per_version = (
-        payments.where((F.col("installment_number") == 1) & (F.col("installment_version") > 0))
+        payments.where(F.col("installment_number") == 1)
         .groupBy("sk_id_prev", "installment_version")
         .agg(
             F.min("days_due").alias("days_due"),
             F.max("installment_amount").alias("installment_amount"),
-            exact_sum(F.when(F.col("days_late") <= d.grace_days, F.col("payment_amount"))).alias("paid"),
+            F.coalesce(exact_sum(F.when(F.col("days_late") <= d.grace_days, F.col("payment_amount"))),
+                       F.lit(0.0)).alias("paid_in_grace"),
             F.max("days_late").alias("max_days_late"),
         )
     )
-    fields = ["days_due", "installment_amount", "paid", "max_days_late"]
-    return (
-        per_version.groupBy("sk_id_prev")
-        .agg(F.min_by(F.struct(*fields), "installment_version").alias("v"))
-        .select("sk_id_prev", "v.days_due", "v.installment_amount",
-                F.coalesce("v.paid", F.lit(0.0)).alias("paid_in_grace"), "v.max_days_late")
-    )
+    version = F.col("installment_version")
+    fields = F.struct("days_due", "installment_amount", "paid_in_grace", "max_days_late")
+    return per_version.groupBy("sk_id_prev").agg(F.min_by(fields, F.when(version > 0, version)).alias("first"))
 
 
-def fpd_loans(payments: DataFrame, application: DataFrame, d: Definitions) -> DataFrame:
-    """Contracts whose first instalment has been due long enough, with both default rules."""
-    attributes = application.select("sk_id_prev", *SEGMENTS, F.lit(True).alias("_found"))
-    due = first_instalment(payments, d).where(
-        (F.col("days_due") <= -d.grace_days) & (F.col("installment_amount") > 0))
-    return due.join(attributes, "sk_id_prev", "left").select(
-        "sk_id_prev",
-        *labels.segment_columns(d, F.col("_found").isNotNull()),
-        (F.col("paid_in_grace") < F.col("installment_amount") * d.paid_tolerance).alias("is_fpd30"),
-        F.coalesce(F.col("max_days_late") > d.grace_days, F.lit(False)).alias("is_fpd30_late_rule"),
-    )
+def first_instalment(payments: DataFrame, d: Definitions) -> DataFrame:
+    """First instalment of the original schedule, one row per contract."""
+    return started(payments, d).where("first is not null").select("sk_id_prev", "first.*")
 
 
 def approved_without_instalment(payments: DataFrame, application: DataFrame) -> DataFrame:
-    started = payments.where(F.col("installment_number") == 1).select("sk_id_prev").distinct()
+    seen = payments.where(F.col("installment_number") == 1).select("sk_id_prev").distinct()
     approved = deduplicated(application).where(F.col("application_status") == "Approved")
-    return approved.join(started, "sk_id_prev", "left_anti")
+    return approved.join(seen, "sk_id_prev", "left_anti")
 
 
 def fpd_by_segment(payments: DataFrame, application: DataFrame, d: Definitions) -> DataFrame:
-    due = fpd_loans(payments, application, d).groupBy(*SEGMENTS).agg(
-        F.count("*").alias("n_loans"),
-        F.count_if("is_fpd30").alias("n_fpd30"),
-        F.count_if("is_fpd30_late_rule").alias("n_fpd30_late_rule"),
-    )
-    scheduled = F.col("days_first_due").isNotNull()
-    idle = (
-        approved_without_instalment(payments, application)
-        .select(*labels.segment_columns(d), scheduled.alias("scheduled"))
-        .groupBy(*SEGMENTS)
-        .agg(F.count_if(~F.col("scheduled")).alias("n_approved_not_activated"),
-             F.count_if("scheduled").alias("n_approved_scheduled_no_installment"))
-    )
+    """First-payment default and idle approvals: payments folded once, joined once with the applications.
 
-    def count(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0)).alias(name)
-
-    merged = due.join(idle, SEGMENTS, "full").select(
-        *SEGMENTS, *[count(c) for c in due.columns[4:] + idle.columns[4:]])
-    return merged.select(
+    A row of the join is due (its first instalment has been due long enough), or idle (approved, and
+    without any first instalment), or neither.
+    """
+    contracts = application.select(
+        "sk_id_prev", *SEGMENTS, F.lit(True).alias("_found"), F.col("days_first_due").isNotNull().alias("_scheduled"),
+        (F.col("is_last_appl_per_contract") & F.col("is_last_appl_in_day")
+         & (F.col("application_status") == "Approved")).alias("_approved"))
+    rows = started(payments, d).withColumn("_started", F.lit(True)).join(contracts, "sk_id_prev", "full")
+    due = F.coalesce((F.col("first.days_due") <= -d.grace_days) & (F.col("first.installment_amount") > 0), F.lit(False))
+    idle = F.col("_started").isNull() & F.coalesce("_approved", F.lit(False))
+    unpaid = F.col("first.paid_in_grace") < F.col("first.installment_amount") * d.paid_tolerance
+    labelled = rows.select(
+        *labels.segment_columns(d, F.col("_found").isNotNull()), due.alias("due"), idle.alias("idle"), "_scheduled",
+        unpaid.alias("unpaid"), (F.col("first.max_days_late") > d.grace_days).alias("late"))
+    cells = labelled.where("due or idle").groupBy(*SEGMENTS).agg(
+        F.count_if("due").alias("n_loans"),
+        F.count_if(F.col("due") & F.col("unpaid")).alias("n_fpd30"),
+        F.count_if(F.col("due") & F.col("late")).alias("n_fpd30_late_rule"),
+        F.count_if(F.col("idle") & ~F.col("_scheduled")).alias("n_approved_not_activated"),
+        F.count_if(F.col("idle") & F.col("_scheduled")).alias("n_approved_scheduled_no_installment"),
+    )
+    return cells.select(
         *SEGMENTS, "n_loans", "n_fpd30",
         share(F.col("n_fpd30"), F.col("n_loans")).alias("fpd30_rate"),
         "n_fpd30_late_rule",

@@ -12,7 +12,7 @@ from arrearview.workload.registry import BODIES, query
 _WITH_MOB = {
     "vintage_levels", "product_ratios", "reference_rates", "channel_smr", "channel_product_mix", "channel_pairs",
     "channel_pairs_pooled", "key_pairs", "key_pairs_pooled", "crude_pair", "segment_totals", "segment_grid",
-    "segment_bonferroni", "yield_grid", "approval_experiment", "denominator_rules", "cohort_vintage",
+    "segment_bonferroni", "segment_bonferroni_counts", "yield_grid", "approval_experiment", "denominator_rules", "cohort_vintage",
     "cohort_old_new", "cohort_mix", "smr_schemes", "smr_excess", "product_ratio_crude", "product_ratio_cohort_mh",
     "channel_pair_cohort_mh", "cards_by_cohort", "cohort_curve", "product_ratio_strata", "channel_pair_strata"}
 

@@ -80,3 +80,20 @@ def test_no_query_pairs_rows_by_brute_force(spark, star_dir):
 def test_snapshot_does_not_move_the_fact(book):
     text = plan(marts.snapshot_rows(book.fct_loan_month, book.dim_loan, book.d))
     assert "Exchange" not in text and "Bucketed: false" not in text
+
+
+def scans(df, table):
+    return len(re.findall(rf"FileScan parquet [^\n]*{table}", plan(df)))
+
+
+def test_funnel_and_first_payments_read_their_sources_once(spark, tmp_path):
+    raw = {}
+    for t in RAW_TABLES:
+        spark.createDataFrame([], schema(t)).write.parquet(str(tmp_path / f"raw_{t}"))
+        raw[t] = spark.read.parquet(str(tmp_path / f"raw_{t}"))
+    b = LoanBook(spark, raw)
+    assert scans(b.application_amounts, "raw_previous_application") == 1
+    payments, applications = b.stg("installments_payments"), b.stg("previous_application")
+    fpd = marts.fpd_by_segment(payments, applications, b.d)
+    assert scans(fpd, "raw_installments_payments") == scans(fpd, "raw_previous_application") == 1
+    assert sum("sk_id_prev" in m for m in shuffles(fpd)) == 3  # payments by version, by contract; applications

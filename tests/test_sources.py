@@ -46,7 +46,11 @@ def test_job_from_csv_to_exports(spark, book, tmp_path):
         df.toDF(*[c.upper() for c in df.columns]).write.option("header", True).csv(f"{tmp_path}/raw/{name}")
     lines = []
     jobs.run(spark, jobs.parse(["--csv", f"{tmp_path}/raw", "--out", f"{tmp_path}/out", "--prefix", "job_"]), lines.append)
-    assert sum("rows" in x for x in lines) == 5 and sum(x.split()[0] in ("pass", "warn") for x in lines) == 32
+    assert sum(x.startswith("raw.") and x.endswith(" rows") for x in lines) == 5
+    status = {x.split()[1]: x.split()[0] for x in lines if x.split()[0] in ("pass", "warn")}
+    assert len(status) == 32
+    shown = [x.split()[0].rstrip(":") for x in lines if x.startswith("  known_")]
+    assert set(shown) == {c for c, s in status.items() if s == "warn"} and all(shown.count(c) <= 5 for c in shown)
     for mart in jobs.EXPORTED:
         assert os.path.exists(f"{tmp_path}/out/mart_{mart}/_SUCCESS")
     assert exports.read_findings(spark, f"{tmp_path}/out/findings").count() > 1000
