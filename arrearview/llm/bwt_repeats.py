@@ -256,7 +256,7 @@ def _count_strings(slices: DataFrame, length: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["mini", "same", "weight", "start", "string"])
 
     rows = slices.mapInPandas(made, "mini long, same long, weight long, start int, string binary")
-    heavy = rows.groupBy("string").agg(F.sum("weight").alias("total")).filter("total >= 2").select("string")
+    heavy = written(rows.groupBy("string").agg(F.sum("weight").alias("total")).filter("total >= 2").select("string"))
     return rows.join(heavy, "string").groupBy("mini", "same").agg(F.collect_set("start").alias("starts"))
 
 
@@ -268,20 +268,21 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int =
     tag = F.shiftleft(F.xxhash64("text").bitwiseAND(0x7FFF), SHIFT)
     keys = docs.select("doc_id", tag.alias("tag"), (F.octet_length("text") >= length).alias("long"),
                        *text_keys(F.col("text")))
-    many = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter(
-        "copies > 1")
+    # A counted key is written before it is joined: only a join of two plain exchanges has its hot keys split.
+    many = written(keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter(
+        "copies > 1"))
     copies = written(keys.join(many, ["k1", "k2"]).filter("long").select(
         "doc_id", "tag", (F.col("doc_id") > F.col("first")).alias("later")).distinct())
 
     rows = written(_slice_rows(docs, length, gram))
-    shared = rows.groupBy("mini").agg(F.count("*").alias("times")).filter("times > 1").select("mini")
+    shared = written(rows.groupBy("mini").agg(F.count("*").alias("times")).filter("times > 1").select("mini"))
     met = written(rows.join(shared, "mini"))
     discard(rows)
     # Of copied texts one is enough to look at, with the weight of all.
     kinds = met.groupBy("mini", "same").agg(F.sum(F.lit(1).cast("long")).alias("weight"), F.min(
         F.struct("doc_id", "at", "n")).alias("one"))
     kinds = written(kinds.select("mini", "same", "weight", "one.*"))
-    sizes = kinds.groupBy("mini").agg(F.count("*").alias("kinds"))
+    sizes = written(kinds.groupBy("mini").agg(F.count("*").alias("kinds")))
     sized = kinds.join(sizes, "mini")
     plain = sized.filter("kinds = 1 and weight > 1").select(
         "mini", "same", F.array(F.struct(F.lit(0).alias("start"), "n")).alias("found"))
