@@ -81,7 +81,8 @@ def links(fps: DataFrame, radius: int = 2, segments: int = 9, hot: int = 256) ->
     keys = [F.struct(F.lit(i).alias("start"), F.col("fp").bitwiseAND(F.lit(_mask(ring[:equal], parts))).alias("bits"))
             for i, ring in enumerate(chain)]
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.start", "key.bits")
-    sizes = rows.groupBy("start", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    # A counted key is written before it is joined: only a join of two plain exchanges has its hot keys split.
+    sizes = written(rows.groupBy("start", "bits").agg(F.count("*").alias("n")).filter("n > 1"))
     dense = rows.join(sizes, ["start", "bits"])
     cool, burning = dense.filter(F.col("n") <= hot), dense.filter(F.col("n") > hot)
 
@@ -104,7 +105,8 @@ def links(fps: DataFrame, radius: int = 2, segments: int = 9, hot: int = 256) ->
                                .alias("bit"))
         masked = masked.select("fp", F.concat_ws(",", "which", "bit").alias("which"),
                                F.expr("rest & ~shiftleft(1L, bit)").alias("rest"), "bit")
-    least = masked.groupBy("which", "rest").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    least = written(masked.groupBy("which", "rest").agg(F.min("fp").alias("least"), F.count("*").alias("n"))
+                    .filter("n > 1"))
     stars = masked.join(least, ["which", "rest"]).filter("fp <> least").select(F.col("least").alias("a"), "fp")
     return pairs.union(stars.toDF("a", "b")).distinct()
 
