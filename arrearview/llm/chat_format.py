@@ -10,7 +10,11 @@ with or without input or system. The canonical turns are written with a template
 and every control string inside a role or text gets one more backslash after its first character; removing one gives
 the text back, whatever it holds. The loss mask lists start and length, in code points, of each assistant text.
 
-Only DataFrame functions are used. A record that is no JSON, or of a layout without a mapping, comes out with null
+The JSON reader of variants takes strings of up to 20,000,000 characters, and a variant holds 128 MiB. Longer records
+that it refuses are read as maps of strings without these limits, and their mapping follows from their keys; if no
+mapping reads such a record, the query fails rather than lose it. What is left is Spark's limit of 2 GB a value.
+
+Only DataFrame functions are used. A shorter record that is no JSON, or of a layout without a mapping, comes out with null
 turns and its fingerprint, never dropped. Null roles and texts are empty. A record with no turns is an empty string.
 """
 
@@ -23,6 +27,9 @@ from pyspark.sql import functions as F
 
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, CLOSE, END = "<s>[INST]", "[/INST]", "</s>"
+#: A record of fewer characters reaches no limit of the variant reader on strings or size.
+LONG = 20_000_000
+WIDE = {"maxStringLen": str((1 << 31) - 1), "mode": "PERMISSIVE"}
 _CONTROL = r"(/?(?:s>|INST\]))"
 
 
@@ -90,6 +97,34 @@ def _turns(m: Mapping, record: Column) -> Column:
     return F.array(*one).cast(TURNS)
 
 
+def _wide_turns(m: Mapping, record: Column) -> Column:
+    """The turns of a record that has the keys of the mapping, read without a variant; else null."""
+    own = F.from_json(record, "map<string,string>", WIDE)
+    keys = lambda names: F.array(*[F.lit(x) for x in sorted(names)])
+    top = F.array_sort(F.map_keys(own))
+    if m.many:
+        field, role, text = m.many
+        found = F.from_json(record, f"struct<`{field}`:array<map<string,string>>>", WIDE)[field]
+        inner = F.array_sort(F.array_distinct(F.flatten(F.transform(found, F.map_keys))))
+        turns = F.transform(found, lambda x: F.struct(F.coalesce(x[role], F.lit("")).alias("role"),
+                                                      F.coalesce(x[text], F.lit("")).alias("text"))).cast(TURNS)
+        return F.when((top == keys([field])) & (inner == keys([role, text])), turns)
+    if not m.turns:
+        return F.lit(None).cast(TURNS)
+    turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(own[path], F.lit("")).alias("text"))
+                      for role, path in m.turns]).cast(TURNS)
+    return F.when(top == keys([path for _, path in m.turns]), turns)
+
+
+def _wide(record: Column, mappings: tuple[Mapping, ...]) -> Column:
+    """Layout and turns of a long record; an error if no mapping reads it."""
+    each = [F.struct(F.xxhash64(F.lit(m.paths)).alias("print"), _wide_turns(m, record).alias("turns"))
+            for m in mappings if m.turns or m.many]
+    first = F.filter(F.array(*each), lambda x: x["turns"].isNotNull())
+    return F.when(F.size(first) > 0, first[0]).otherwise(F.raise_error(F.concat(
+        F.lit("no mapping reads a chat record of "), F.char_length(record).cast("string"), F.lit(" characters"))))
+
+
 def formatted(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """All columns but `record`, and layout (fingerprint), turns, formatted and loss_mask (start, length)."""
     rows = records.withColumn("_v", F.try_parse_json(F.col(record)))
@@ -97,7 +132,10 @@ def formatted(records: DataFrame, record: str = "record", mappings: tuple[Mappin
     turns = F.lit(None).cast(TURNS)
     for m in mappings:
         turns = F.when(F.col("_print") == F.xxhash64(F.lit(m.paths)), _turns(m, F.col("_v"))).otherwise(turns)
-    rows = rows.withColumn("_turns", turns)
+    long = F.col("_v").isNull() & (F.char_length(record) > LONG)
+    rows = rows.withColumn("_wide", F.when(long, _wide(F.col(record), mappings)))
+    rows = rows.withColumns({"_turns": F.when(long, F.col("_wide.turns")).otherwise(turns),
+                             "_print": F.when(long, F.col("_wide.print")).otherwise(F.col("_print"))})
     escaped = F.transform("_turns", lambda t: F.struct(
         (t["role"] == "assistant").alias("learn"), F.concat(F.lit(OPEN), escape(t["role"]), F.lit(CLOSE)).alias("head"),
         escape(t["text"]).alias("body")))
