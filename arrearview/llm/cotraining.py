@@ -7,7 +7,8 @@ view is sure about is given, with that view's label, to the training set of the
 are calibrated by logistic regression on labelled rows kept out of training; the last step combines the calibrated
 views in the same way and scores all documents.
 
-A document is good if it is labelled of quality and not toxic. At most `max_labels` labelled documents are used, those
+A document is good if it is labelled of quality and not toxic; a toxic one is bad whether or not its quality is known,
+and any other label without a quality says nothing. At most `max_labels` labelled documents are used, those
 with the least hash of their id; a fifth of them calibrates. These rows (their ids and labels) and the count vectors are
 all that is collected; both are bounded. With labels of one kind only, or none, every score is the share of good labels
 (one half without any).
@@ -111,7 +112,7 @@ def _vectors(sums: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
 def label_sample(labels: DataFrame, max_labels: int) -> DataFrame:
     """_id, _good, _fold of at most `max_labels` labelled documents; fold 0 calibrates."""
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    each = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id"))
+    each = labels.filter(F.col("doc_id").isNotNull() & good.isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id"))
     order = F.xxhash64(F.lit(5), F.col("_id"))
     return (each.agg(F.min(good.cast("int")).alias("_good")).orderBy(order, "_id").limit(max_labels)
             .withColumn("_fold", F.pmod(order, F.lit(5)).cast("int")))
