@@ -1,9 +1,10 @@
 """Token counts by two-tier lookup on the map side.
 
 Tier one is a compact table of frequent pre-tokens and how many tokens they make, sent once to every task. Its size is
-bounded: at most `table_size` entries of at most 64 characters, counted on at most `sample_rows` documents in one small
-task; the sample only decides what is fast, never a count. Tier two is each worker's own cache, filled by encoding the
-pre-tokens that tier one lacks. No pre-token is ever shuffled, and no row moves: the job is one map over the documents.
+bounded: at most `table_size` entries of at most 64 characters. They are counted over all documents: each task keeps a
+bounded counter and emits its `table_size` most frequent, which are summed; the table only decides what is fast, never
+a count. Tier two is each worker's own cache, filled by encoding the pre-tokens that tier one lacks. No stream of
+pre-tokens is shuffled, and no row moves: the counts are one map over the documents.
 
 Null texts count as empty. Rows keep their order of columns doc_id, n_bytes, n_tokens, over_limit; other columns of the
 input are ignored, repeated rows and null ids come out as they went in.
@@ -43,21 +44,26 @@ class Lengths(dict):
         return len(self.encoder.whole(text))
 
 
-def frequent_lengths(docs: DataFrame, path: str, table_size: int = 20_000, sample_rows: int = 2_000) -> dict[str, int]:
-    """The most frequent pre-tokens of a bounded sample with their token counts."""
+def frequent_lengths(docs: DataFrame, path: str, table_size: int = 20_000) -> dict[str, int]:
+    """The most frequent pre-tokens of all documents with their token counts."""
     def count(frames):
-        lengths, seen = Lengths(path, {}), Counter()
-        for frame in frames:
-            for text in frame["text"]:
-                if lengths.encoder.ordinary(text):
-                    seen.update(x for x in lengths.encoder.pretokens(text) if len(x) <= 64)
         import pandas as pd
 
-        top = [x for x, _ in seen.most_common(table_size)]
-        yield pd.DataFrame({"pretoken": top, "n": [lengths[x] for x in top]})
-
-    sample = docs.select(F.col("text")).filter("text is not null").limit(sample_rows)
-    return {r["pretoken"]: r["n"] for r in sample.mapInPandas(count, "pretoken string, n int").collect()}
+        encoder, seen = Encoder(path), Counter()
+        for frame in frames:
+            for text in frame["text"]:
+                if encoder.ordinary(text):
+                    seen.update(x for x in encoder.pretokens(text) if len(x) <= 64)
+                if len(seen) > Lengths.LIMIT:  # a worker's memory stays bounded
+                    seen = Counter(dict(seen.most_common(Lengths.LIMIT // 2)))
+        top = seen.most_common(table_size)
+        yield pd.DataFrame({"pretoken": [x for x, _ in top], "seen": [n for _, n in top]})
+
+    per_task = docs.select("text").filter("text is not null").mapInPandas(count, "pretoken string, seen long")
+    top = (per_task.groupBy("pretoken").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "pretoken")
+           .limit(table_size).select("pretoken").collect())
+    lengths = Lengths(path, {})
+    return {r["pretoken"]: lengths[r["pretoken"]] for r in top}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, table_size: int = 20_000) -> DataFrame:
