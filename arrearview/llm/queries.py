@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+import zlib
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrearview.llm import (
-    bwt_repeats, chat_format, cotraining, decontaminate, language_id, line_rules, packing, seed_extend, simhash,
-    token_counts,
+    bwt_repeats, chat_format, cotraining, decontaminate, language_id, line_rules, packing, periodic_runs, seed_extend,
+    simhash, token_counts,
 )
 from arrearview.llm.common import read
 
@@ -84,6 +86,37 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces_of(read(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def with_repetition(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    """The texts, those of every tenth CRC-32 of an id repeating a stretch of its words up to the end."""
+    out = []
+    for doc, text in zip(ids, texts):
+        g, rest = divmod(zlib.crc32(doc.encode()), 10) if doc is not None else (0, 1)
+        words = text.encode().split() if rest == 0 and text else []
+        if words:
+            n, a = len(words), g % len(words)
+            period = 1 + (n - a) // (3 + g % 8)
+            unit = words[a:a + period]
+            text = b" ".join(words[:a] + (unit * -(-(n - a) // period))[:n - a]).decode()
+        out.append(text)
+    return pd.Series(out, dtype=object)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", F.pandas_udf(with_repetition, "string")(F.col("doc_id").cast("string"), "text").alias("text"))
+    runs = F.col("periodic.runs")
+    best = F.array_max(F.transform(runs, lambda r: F.struct(
+        (r["length"] / r["period"]).alias("exponent"), (-r["start"]).alias("start"), (-r["period"]).alias("period"),
+        r["length"].alias("length"))))
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return periodic_runs.with_runs(docs).withColumn("best", best).select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length",
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic.text"), 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +138,7 @@ def _reachable(query):
 
 QUERIES = {q.__name__: _reachable(q) for q in (
     op1_cotraining, op2_line_rules, op3_seed_extend, op4_simhash, op5_decontamination, op6_bwt_repeats,
-    op7_language_id, op8_chat_format, op9_token_counts, op10_packing, pipeline)}
+    op7_language_id, op8_chat_format, op9_token_counts, op10_packing, op13_periodic_runs, pipeline)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _NORMAL = r"trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'))"
@@ -162,4 +195,33 @@ select conv_id, count(*)::bigint as n_turns,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        sum(length(safe_role) + length(safe_text) + 20)::bigint as formatted_chars
 from e group by conv_id""",
+    "op13_periodic_runs": r"""
+with w0 as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+       xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(doc_id::varchar) + 1),
+                            lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))),
+           4294967295) as h,
+       row_number() over () as r from documents),
+w1 as (select r, doc_id, w, len(w) as n, h, h // 10 as g,
+              case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from w0),
+d as (select r, doc_id, n, case when a is null then w else
+             list_transform(range(0, n), lambda i: w[1 + case when i < a then i
+                            else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) end as w from w1),
+win as (select r, i, hash(array_to_string(w[i + 1:i + 12], ' ')) as k
+        from (select r, w, unnest(range(0, n - 11)) as i from d)),
+lag as materialized (select distinct x.r, y.i - x.i as q from win x join win y on x.r = y.r and x.k = y.k and x.i < y.i),
+eq as (select r, q, n, w, unnest(range(0, n - q)) as i from lag join d using (r) where 3 * q <= n and n >= 24),
+hit as (select r, q, i, i - row_number() over (partition by r, q order by i) as part from eq where w[i + 1] = w[i + q + 1]),
+st as (select r, q, min(i) as s, count(*) + q as len from hit group by r, q, part having count(*) + q >= greatest(24, 3 * q)),
+run as materialized (select * from st a where not exists (select 1 from st b where b.r = a.r and b.q < a.q and a.q % b.q = 0
+                     and b.s <= a.s and b.s + b.len >= a.s + a.len)),
+gone as (select distinct r, unnest(range(s + q, s + len)) as i from run),
+kept as (select r, string_agg(x, ' ' order by i) as text from
+         (select r, unnest(w) as x, unnest(range(0, n)) as i from d) anti join gone using (r, i) group by r),
+agg as (select r, count(*) as n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as t from run group by r),
+best as (select r, s, len, q from run qualify row_number() over (partition by r order by len::double / q desc, s, q) = 1)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, s::bigint as start, len::bigint as length, q::bigint as period,
+       (1000 * len // q)::bigint as exponent_milli, sha256(coalesce(t, '')) as runs_sha256,
+       sha256(coalesce(kept.text, '')) as collapsed_sha256
+from d left join agg using (r) left join best using (r) left join kept using (r)""",
 }

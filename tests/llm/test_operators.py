@@ -326,7 +326,7 @@ def test_pipeline(spark, odd, tmp_path):
 def test_registered_queries_run(spark):
     from arrearview.llm.queries import QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 def test_digest():
@@ -334,7 +334,7 @@ def test_digest():
     assert out["n"].tolist() == [0, 2] and out["sha256"][1] == hashlib.sha256(b"a b").hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op2_line_rules", "op3_seed_extend", "op8_chat_format"])
+@pytest.mark.parametrize("name", ["op2_line_rules", "op3_seed_extend", "op8_chat_format", "op13_periodic_runs"])
 def test_queries_against_sql(spark, star_dir, name):
     from compare import compare, connect
 
