@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrearview.llm import (
-    bwt_repeats, chat_format, cotraining, decontaminate, language_id, line_rules, packing, periodic_runs, seed_extend,
-    simhash, token_counts,
+    bwt_repeats, chat_format, cotraining, decontaminate, hard_negatives, language_id, line_rules, packing, periodic_runs,
+    seed_extend, simhash, token_counts,
 )
 from arrearview.llm.common import read
 
@@ -86,6 +86,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces_of(read(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mined(rows, F.col("id") % 100 == 0)
+
+
 def with_repetition(ids: pd.Series, texts: pd.Series) -> pd.Series:
     """The texts, those of every tenth CRC-32 of an id repeating a stretch of its words up to the end."""
     out = []
@@ -138,7 +144,8 @@ def _reachable(query):
 
 QUERIES = {q.__name__: _reachable(q) for q in (
     op1_cotraining, op2_line_rules, op3_seed_extend, op4_simhash, op5_decontamination, op6_bwt_repeats,
-    op7_language_id, op8_chat_format, op9_token_counts, op10_packing, op13_periodic_runs, pipeline)}
+    op7_language_id, op8_chat_format, op9_token_counts, op10_packing, op12_hard_negatives,
+    op13_periodic_runs, pipeline)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _NORMAL = r"trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'))"
@@ -195,6 +202,23 @@ select conv_id, count(*)::bigint as n_turns,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        sum(length(safe_role) + length(safe_text) + 20)::bigint as formatted_chars
 from e group by conv_id""",
+    "op12_hard_negatives": """
+with e as materialized (
+    select distinct vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (
+    select a.id as anchor_id, a.label = e.label as same, e.id, list_inner_product(a.v, e.v)::bigint as score
+    from e a join e on a.id <> e.id where a.id % 100 = 0),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id)::int as rank,
+       id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10""",
     "op13_periodic_runs": r"""
 with w0 as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
        xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(doc_id::varchar) + 1),
