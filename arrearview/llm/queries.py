@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrearview.llm import (
-    bwt_repeats, chat_format, cotraining, decontaminate, hard_negatives, language_id, line_rules, packing, periodic_runs,
-    seed_extend, simhash, token_counts,
+    bwt_repeats, chat_format, cotraining, decontaminate, hard_negatives, html_template, language_id, line_rules, packing,
+    periodic_runs, seed_extend, simhash, token_counts,
 )
 from arrearview.llm.common import read
 
@@ -86,6 +86,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces_of(read(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op11_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.with_main_text(read(spark, sf_dir, "pages")).select(
+        "page_id", "url", "main.text", F.char_length("main.text").cast("long").alias("n_chars"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = read(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
@@ -144,8 +149,8 @@ def _reachable(query):
 
 QUERIES = {q.__name__: _reachable(q) for q in (
     op1_cotraining, op2_line_rules, op3_seed_extend, op4_simhash, op5_decontamination, op6_bwt_repeats,
-    op7_language_id, op8_chat_format, op9_token_counts, op10_packing, op12_hard_negatives,
-    op13_periodic_runs, pipeline)}
+    op7_language_id, op8_chat_format, op9_token_counts, op10_packing, op11_html_template,
+    op12_hard_negatives, op13_periodic_runs, pipeline)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _NORMAL = r"trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'))"
