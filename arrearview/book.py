@@ -47,7 +47,7 @@ class LoanBook:
 
     @cached_property
     def dim_loan(self) -> DataFrame:
-        dim = core.dim_loan(self.int_loan_month, self.stg("previous_application"), self.d)
+        dim = core.dim_loan(self.int_loan_month, self.stg("previous_application"), self.d, self.store.buckets)
         return self.store.keep("core", "dim_loan", dim, by_contract=True)
 
     @cached_property
@@ -60,6 +60,12 @@ class LoanBook:
         outcome = core.loan_outcome(self.fct_loan_month, self.dim_loan, self.d)
         return self.store.keep("core", "loan_outcome", outcome, by_contract=True)
 
+    @cached_property
+    def open_months(self) -> DataFrame:
+        """Open contract-months, in one partition per month."""
+        months = core.open_months(self.fct_loan_month, self.loan_outcome, self.d)
+        return self.store.keep("core", "open_months", months, by="months_balance")
+
     @cached_property
     def cohort_cells(self) -> DataFrame:
         return self.store.keep("mart", "cohort_cells", cohorts.cohort_cells(self.loan_outcome, self.d))
@@ -83,10 +89,16 @@ class LoanBook:
     def vintage(self) -> DataFrame:
         return self.store.keep("mart", "vintage", marts.vintage(self.loan_outcome, self.d))
 
+    @cached_property
+    def transition_base(self) -> DataFrame:
+        """Additive cells of successive months; the matrices and cures are sums over them."""
+        return self.store.keep("mart", "transition_base",
+                               marts.transition_base(self.fct_loan_month, self.dim_loan, self.d))
+
     @cached_property
     def roll(self) -> DataFrame:
         """Transition matrix of both delay definitions."""
-        return self.store.keep("mart", "roll", marts.roll_matrix(self.fct_loan_month, self.dim_loan, self.d))
+        return self.store.keep("mart", "roll", marts.roll_matrix(self.transition_base, self.d))
 
     @property
     def roll_rate(self) -> DataFrame:
@@ -99,7 +111,7 @@ class LoanBook:
     @cached_property
     def portfolio_snapshot(self) -> DataFrame:
         return self.store.keep("mart", "portfolio_snapshot",
-                               marts.portfolio_snapshot(self.fct_loan_month, self.dim_loan, self.d))
+                               marts.portfolio_snapshot(self.open_months, self.d))
 
     @property
     def marts(self) -> dict[str, DataFrame]:
@@ -122,7 +134,7 @@ class LoanBook:
     def build(self, progress: Callable[[str], None] | None = None) -> dict[str, DataFrame]:
         """All core and mart tables in dependency order."""
         out = {}
-        for name in ("int_loan_month", "dim_loan", "fct_loan_month", "loan_outcome"):
+        for name in ("int_loan_month", "dim_loan", "fct_loan_month", "loan_outcome", "open_months"):
             out[name] = getattr(self, name)
             if progress:
                 progress(name)

@@ -1,4 +1,7 @@
-"""The batch job: load, build, check, export. `python -m arrearview.jobs --csv DIR --out DIR`."""
+"""The batch job: load, build, check, publish, export. `python -m arrearview.jobs --csv DIR --out DIR`.
+
+`--checks-only` runs the checks on the published build of `--warehouse` and writes nothing.
+"""
 
 from __future__ import annotations
 
@@ -32,7 +35,11 @@ def parse(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--prefix", default="arrearview_", help="prefix of the databases raw, stg, core and mart")
     p.add_argument("--buckets", type=int, help="contract buckets of the large tables (default: by rows)")
     p.add_argument("--min-n", type=int, default=Definitions.min_n, help="smallest group to interpret")
-    return p.parse_args(argv)
+    p.add_argument("--checks-only", action="store_true", help="check the published build of --warehouse, without writes")
+    args = p.parse_args(argv)
+    if args.checks_only and (args.out or not args.warehouse):
+        p.error("--checks-only needs --warehouse and exports nothing")
+    return args
 
 
 def load(spark: SparkSession, args: argparse.Namespace):
@@ -47,30 +54,8 @@ class ReconciliationFailed(ValueError):
     """Two ways to the same numbers disagree."""
 
 
-class DuplicateApplications(ValueError):
-    """A contract has several applications; joined, each would multiply the contract's months."""
-
-
-def one_application_each(book: LoanBook) -> None:
-    """Stop before the fact is built: copies of a contract's application would multiply its months."""
-    copies = book.stg("previous_application").groupBy("sk_id_prev").count().where("count > 1")
-    found = copies.orderBy("sk_id_prev").limit(5).collect()
-    if found:
-        raise DuplicateApplications(f"contracts with several applications, among them {[r[0] for r in found]}")
-
-
-def run(spark: SparkSession, args: argparse.Namespace, say: Callable[[str], None] = print) -> LoanBook:
-    """Load, build and check, with sample rows of what was found; export only a book without failed error-level checks."""
-    store = TableStore(spark, args.warehouse, args.prefix, args.buckets)
-    tables = load(spark, args)
-    if args.csv:  # text is parsed once, everything later reads columns
-        tables = {t: store.keep("raw", t, df) for t, df in tables.items()}
-    for row in raw.load_audit(tables).collect():
-        say(f"raw.{row['table_name']} {row['n_rows']} rows")
-    book = LoanBook(spark, tables, Definitions(min_n=args.min_n), store)
-    one_application_each(book)
-    clock = time.perf_counter()
-    book.build(lambda name: say(f"built {name} at {time.perf_counter() - clock:.1f}s"))
+def check(book: LoanBook, say: Callable[[str], None]) -> None:
+    """All checks, with sample rows of the warnings; raises where an error-level one fails or a recount differs."""
     for row in quality.enforce(book).orderBy("check_name").collect():
         say(f"{row['status']} {row['check_name']} {row['n_violations']}")
         if row["status"] == "warn":
@@ -80,10 +65,47 @@ def run(spark: SparkSession, args: argparse.Namespace, say: Callable[[str], None
     if recount["n_mismatch"]:
         raise ReconciliationFailed(f"{recount['n_mismatch']} of {recount['n_cells_mart']} vintage cells differ from "
                                    "the recount by first open month")
+
+
+def run(spark: SparkSession, args: argparse.Namespace, say: Callable[[str], None] = print) -> LoanBook:
+    """Load, build and check, with sample rows of what was found; publish and export only a book that passed.
+
+    A build that fails leaves the published one as it was, and its own tables are removed.
+    """
+    if args.checks_only:
+        return checked(spark, args, say)
+    store = TableStore(spark, args.warehouse, args.prefix, args.buckets)
+    try:
+        tables = load(spark, args)
+        if args.csv:  # text is parsed once, everything later reads columns
+            tables = {t: store.keep("raw", t, df) for t, df in tables.items()}
+        audit = [row.asDict() for row in raw.load_audit(tables).collect()]
+        for row in audit:
+            say(f"raw.{row['table_name']} {row['n_rows']} rows")
+        book = LoanBook(spark, tables, Definitions(min_n=args.min_n), store)
+        clock = time.perf_counter()
+        book.build(lambda name: say(f"built {name} at {time.perf_counter() - clock:.1f}s"))
+        check(book, say)
+        document = findings(book) if args.out else None
+    except Exception:
+        store.drop()
+        raise
+    say(f"published {store.publish(book.d, audit)['version']}")
     if args.out:
         for name in EXPORTED:
             exports.write_csv(getattr(book, name), f"{args.out}/mart_{name}")
-        exports.write_findings(findings(book), f"{args.out}/findings")
+        exports.write_findings(document, f"{args.out}/findings")
+    return book
+
+
+def checked(spark: SparkSession, args: argparse.Namespace, say: Callable[[str], None]) -> LoanBook:
+    """The checks on the published build, as it is; raw tables that were parsed from text come from the build, too."""
+    store = TableStore.open(spark, args.warehouse, args.prefix)
+    for layer, name, n in store.rows():
+        say(f"{layer}.{name} {n} rows")
+    tables = {t: store.keep("raw", t, None) for t in raw.RAW_TABLES} if args.csv else load(spark, args)
+    book = LoanBook(spark, tables, store.definitions, store)
+    check(book, say)
     return book
 
 

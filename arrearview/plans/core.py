@@ -53,7 +53,25 @@ def earliest_month(panel: DataFrame) -> Column:
     return panel.agg(F.min("months_balance")).scalar()
 
 
-def dim_loan(panel: DataFrame, application: DataFrame, d: Definitions) -> DataFrame:
+def unique(df: DataFrame, key: str, what: str, buckets: int | None = None) -> DataFrame:
+    """The rows by their key; a key with several rows stops the query that reads them.
+
+    The count rides on the exchange that a join by the key needs anyway, so the constraint costs no shuffle of its own.
+    `buckets` is the number of partitions that the other side of that join lies in. Rows without a key are not held
+    together by it and are left out, as no join finds them.
+    """
+    keyed = df.where(F.col(key).isNotNull())
+    if buckets:
+        keyed = keyed.repartition(buckets, key)
+    one = keyed.groupBy(key).agg(F.count("*").alias("_n"), F.any_value(
+        F.struct(*[c for c in df.columns if c != key])).alias("_row"))
+    message = F.concat(F.lit(f"{what}: several rows of {key} "), F.col(key).cast("string"))
+    alone = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(message).cast("boolean"))
+    return one.where(alone).select(key, "_row.*")
+
+
+def dim_loan(panel: DataFrame, application: DataFrame, d: Definitions, buckets: int | None = None) -> DataFrame:
+    """One row per contract of the panel, with its application, of which there must not be several."""
     month = F.col("months_balance")
     open_month = F.when(labels.is_open(F.col("contract_status"), d), month)
     paid = F.col("installments_total") - F.col("installments_remaining")
@@ -68,12 +86,12 @@ def dim_loan(panel: DataFrame, application: DataFrame, d: Definitions) -> DataFr
         F.count("*").alias("n_months_observed"),
         value_at_first(paid, open_month).alias("installments_paid_at_open"),
     )
-    attributes = application.select(
+    attributes = unique(application.select(
         "sk_id_prev", "contract_type", "portfolio", "product_type", "channel_type", "client_type", "yield_group",
         "product_combination", "goods_category", "seller_industry", "credit_amount", "annuity_amount",
         "down_payment_amount", "tenor_months", "days_decision", "days_termination",
         F.lit(True).alias("_found"),
-    )
+    ), "sk_id_prev", "applications", buckets)
     cut_left = F.col("is_left_truncated")
     end_state = (
         F.when(F.col("first_open_month").isNull(), "never_open")
@@ -168,6 +186,20 @@ def loan_outcome(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFrame:
     return dim.join(firsts, "sk_id_prev", "left")
 
 
+def open_months(fact: DataFrame, outcome: DataFrame, d: Definitions) -> DataFrame:
+    """Open contract-months with the labels of their contract: what the portfolio at a month is made of.
+
+    Kept by month, so that a month's portfolio is one partition, however long the book. Both tables lie by contract and
+    are joined where they are.
+    """
+    contract = outcome.select(
+        "sk_id_prev", "has_application", "is_partial_history", "first_30_plus_mob",
+        *labels.segment_columns(d, F.col("has_application"), ("contract_type", "channel_type")))
+    delays = [f"{c}{s}" for s in ("", "_no_threshold") for c in ("dpd_bucket", "dpd_bucket_order", "is_30_plus")]
+    return fact.where("is_open").select(
+        "sk_id_prev", "source", "months_balance", "mob", *delays, "exposure_proxy").join(contract, "sk_id_prev")
+
+
 def vintage_base(outcome: DataFrame) -> DataFrame:
     """Contracts whose age on book can be trusted."""
     return outcome.where((F.col("end_state") != "never_open") & ~F.col("is_partial_history"))

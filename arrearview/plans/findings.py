@@ -1,7 +1,8 @@
 """The findings: every published number as one row of a tidy table.
 
 A row is addressed by section, age, dimensions and measure. Fields of an interval or a test are
-measures with a dotted name (`primary.rate`, `primary.lo`); flags are 0 or 1.
+measures with a dotted name (`primary.rate`, `primary.lo`); flags are 0 or 1. The section `meta` says
+by what rules the numbers were made; its measures have a value or a text.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +31,12 @@ SECTIONS: dict[str, tuple[Callable[[LoanBook], DataFrame], tuple[str, ...]]] = {
     "end_state_mix": (lambda b: p.end_state_mix(b.dim_loan), ("end_state",)),
     "product_mix": (lambda b: p.product_mix(b.dim_loan, b.d), ("contract_type",)),
     "vintage_base": (lambda b: p.vintage_base_counts(b.dim_loan), ()),
-    "snapshot_buckets": (lambda b: p.snapshot_buckets(b.portfolio_snapshot, b.fct_loan_month, b.dim_loan, b.d),
+    "snapshot_buckets": (lambda b: p.snapshot_buckets(b.portfolio_snapshot, b.open_months, b.d),
                          ("definition", "dpd_bucket")),
     "kpi_same_set": (lambda b: p.kpi_same_set(b.portfolio_snapshot, b.d), ("scope",)),
     "unknown_share": (lambda b: p.unknown_share(b.portfolio_snapshot, b.d), ()),
     "snapshot_levels": (lambda b: p.snapshot_levels(b.portfolio_snapshot, b.d), ("channel_type", "contract_type")),
-    "exposure_missing": (lambda b: p.exposure_missing(b.fct_loan_month, b.dim_loan, b.d), ()),
+    "exposure_missing": (lambda b: p.exposure_missing(b.open_months, b.d), ()),
     "vintage_levels": (lambda b: v.levels(b.vintage, b.d), ("channel_type", "contract_type", "scope")),
     "product_ratios": (lambda b: v.product_ratios(b.vintage, b.d), ("contract_type", "definition")),
     "reference_rates": (lambda b: v.reference_rates(b.vintage, b.d), ("contract_type", "definition")),
@@ -58,10 +59,10 @@ SECTIONS: dict[str, tuple[Callable[[LoanBook], DataFrame], tuple[str, ...]]] = {
     "roll_cure_summary": (lambda b: t.roll_cure_summary(b.roll, b.d), ("definition", "from_state", "scope")),
     "roll_to_counts": (lambda b: t.to_counts(b.roll, b.d), ("definition", "from_state", "scope")),
     "roll_totals": (lambda b: t.roll_totals(b.roll, b.d), ()),
-    "cure_by_cohort": (lambda b: t.cure_by_cohort(b.fct_loan_month, b.dim_loan, b.d), ("origination_cohort",)),
-    "cure_by_cohort_mh": (lambda b: t.cure_by_cohort_pooled(b.fct_loan_month, b.dim_loan, b.d), ()),
-    "first_b1_cure": (lambda b: t.first_b1_cure(b.fct_loan_month, b.d), ()),
-    "first_b1_sample": (lambda b: t.first_b1_sample(b.fct_loan_month, b.d), ("points",)),
+    "cure_by_cohort": (lambda b: t.cure_by_cohort(b.transition_base, b.d), ("origination_cohort",)),
+    "cure_by_cohort_mh": (lambda b: t.cure_by_cohort_pooled(b.transition_base, b.d), ()),
+    "first_b1_cure": (lambda b: t.first_b1_cure(b.transition_base, b.d), ()),
+    "first_b1_sample": (lambda b: t.first_b1_sample(b.transition_base, b.d), ("points",)),
     "collections_experiment": (lambda b: t.collections_experiment(b.roll, b.d), ()),
     "approval_levels": (lambda b: o.approval_levels(b.funnel_by_channel, b.d), ("channel_type", "contract_type")),
     "approval_standardised": (lambda b: o.approval_standardised(b.funnel_by_channel, b.d), ("channel_type",)),
@@ -75,7 +76,7 @@ SECTIONS: dict[str, tuple[Callable[[LoanBook], DataFrame], tuple[str, ...]]] = {
     "stop_profile": (lambda b: x.stop_profile(b.dim_loan), ("end_state", "source", "stopped_late")),
     "stopped_between": (lambda b: x.stopped_between(b.dim_loan), ()),
     "unknown_in_vintage": (lambda b: x.unknown_in_vintage(b.loan_outcome, b.d), ()),
-    "late_timing_grouping_sets": (lambda b: x.late_timing(b.fct_loan_month, b.loan_outcome, b.d), ("at_offices",)),
+    "late_timing_grouping_sets": (lambda b: x.late_timing(b.open_months, b.d), ("at_offices",)),
     "inferred_closed_cases": (lambda b: x.inferred_closed_cases(b.loan_outcome), ()),
     "cohort_reconcile": (lambda b: c.reconcile(b.cohort_cells, b.vintage, b.d), ()),
     "cohort_sizes": (lambda b: c.cohort_sizes(b.vintage), ("origination_cohort",)),
@@ -100,7 +101,7 @@ SECTIONS: dict[str, tuple[Callable[[LoanBook], DataFrame], tuple[str, ...]]] = {
 
 
 def tidy(section: str, df: DataFrame, dims: tuple[str, ...], d: Definitions) -> DataFrame:
-    """Rows (section, mob, dims, measure, value): one per number of the analysis."""
+    """Rows (section, mob, dims, measure, value, text): one per number of the analysis, without text."""
     numbers = []
     for f in df.schema.fields:
         if f.name in dims or f.name == "mob":
@@ -117,7 +118,37 @@ def tidy(section: str, df: DataFrame, dims: tuple[str, ...], d: Definitions) ->
         for name, value in numbers]))
     mob = F.col("mob").cast("int") if "mob" in df.columns else F.lit(None).cast("int")
     return df.select(F.lit(section).alias("section"), mob.alias("mob"), entry.alias("dims"), rows.alias("r")).select(
-        "section", "mob", "dims", "r.measure", "r.value")
+        "section", "mob", "dims", "r.measure", "r.value", F.lit(None).cast("string").alias("text"))
+
+
+def meta(spark: SparkSession, d: Definitions) -> DataFrame:
+    """What a reader needs to interpret the numbers: measure, value, text."""
+    level = f"{100 * d.confidence:g} %"
+    buckets = "; ".join(d.bucket_labels)
+    rows = [
+        ("z", round(d.z, d.digits), None),
+        ("z_power", round(d.z_power, d.digits), None),
+        ("min_n", float(d.min_n), None),
+        ("past_due_days", float(d.past_due_days), None),
+        ("severe_days", float(d.severe_days), None),
+        ("grace_days", float(d.grace_days), None),
+        ("paid_tolerance", d.paid_tolerance, None),
+        ("first_month", float(d.window_start), None),
+        ("last_month", float(d.last_month), None),
+        ("max_mob", float(d.max_mob), None),
+        ("definition.primary", None, f"past due over {d.past_due_days} days by the delay with tolerance for small debts"),
+        ("definition.no_threshold", None, f"past due over {d.past_due_days} days by the plain delay"),
+        ("definition.buckets", None, buckets),
+        ("interval.rate", None, f"Wilson, {level}"),
+        ("interval.ratio", None, f"Katz on the log scale, {level}, one half added where a cell is empty"),
+        ("interval.standardised_ratio", None, f"Byar, {level}"),
+        ("interval.pooled", None, f"Mantel-Haenszel, {level}"),
+        ("significant", None, f"the {level} interval of a ratio leaves out 1"),
+        ("enough_n", None, f"groups of at least {d.min_n} are interpreted"),
+    ]
+    found = spark.createDataFrame(rows, "measure string, value double, text string")
+    return found.select(F.lit("meta").alias("section"), F.lit(None).cast("int").alias("mob"),
+                        F.create_map().cast("map<string,string>").alias("dims"), "measure", "value", "text")
 
 
 def findings(book: LoanBook, parallel: int = 8) -> DataFrame:
@@ -134,4 +165,4 @@ def findings(book: LoanBook, parallel: int = 8) -> DataFrame:
     book.build()
     _ = book.cohort_cells
     with ThreadPoolExecutor(parallel) as pool:
-        return reduce(DataFrame.unionByName, pool.map(part, SECTIONS.items()))
+        return reduce(DataFrame.unionByName, pool.map(part, SECTIONS.items()), meta(book.spark, book.d))

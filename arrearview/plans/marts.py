@@ -174,40 +174,26 @@ def vintage(outcome: DataFrame, d: Definitions) -> DataFrame:
     )
 
 
-def with_next_month(fact: DataFrame) -> DataFrame:
-    """Fact columns of the transition plans plus `next`, the contract's next observed row."""
-    nxt = F.lead(F.struct(
-        "months_balance", "is_open", "is_closed", "dpd_bucket", "dpd_bucket_order",
-        "dpd_bucket_no_threshold", "exposure_proxy",
-    )).over(Window.partitionBy("sk_id_prev").orderBy("months_balance"))
-    return fact.select(
-        "sk_id_prev", "source", "months_balance", "is_open", "is_closed", "dpd_bucket", "dpd_bucket_order",
-        "dpd_bucket_no_threshold", "dpd_bucket_order_no_threshold", "exposure_proxy",
-        nxt.alias("next"),
-    )
-
-
-def origins(months: DataFrame, d: Definitions) -> DataFrame:
-    """Open months that could have a successor. Filtered after the window, so "next" stays true."""
-    return months.where(F.col("is_open") & (F.col("months_balance") < d.last_month))
-
-
 def next_is_adjacent() -> Column:
     return F.col("next.months_balance") == F.col("months_balance") + 1
 
 
-def cured() -> Column:
-    """The very next month is open and without delay (NULL when nothing can be said)."""
-    return next_is_adjacent() & F.col("next.is_open") & (F.col("next.dpd_bucket_order") == 0)
-
-
-def transition_cells(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFrame:
-    """Transition counts of both delay definitions in one pass over the fact.
+def transition_base(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFrame:
+    """Everything that is counted over pairs of a contract's successive months, in one sorted pass over the fact.
 
-    The fact is grouped by the states of both definitions together; the few resulting cells are
-    then split by definition and summed again.
+    Origins are open months that could have a successor; they are filtered after the window, so "next" stays true. Cells
+    hold the states of both delay definitions, the cohort, whether the very next month is open and without delay
+    (`cured`), and whether the origin is the contract's first one in the first past-due bucket (`first_b1`). All counts
+    and sums add up, so the transition matrices, the cures by cohort and the first cures are sums over these cells.
     """
     closed, other, missing = d.exit_states
+    in_order = Window.partitionBy("sk_id_prev").orderBy("months_balance")
+    nxt = F.lead(F.struct(
+        "months_balance", "is_open", "is_closed", "dpd_bucket", "dpd_bucket_order", "dpd_bucket_no_threshold",
+        "exposure_proxy")).over(in_order)
+    origin = F.col("is_open") & (F.col("months_balance") < d.last_month)
+    b1 = origin & (F.col("dpd_bucket_order") == 1)
+    b1_so_far = F.count_if(b1).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     adjacent = F.coalesce(next_is_adjacent(), F.lit(False))
 
     def target(bucket: str) -> Column:
@@ -219,30 +205,35 @@ def transition_cells(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFra
         )
 
     contract = dim.select(
-        "sk_id_prev", *labels.segment_columns(d, F.col("has_application"), ("contract_type", "channel_type")))
-    keys = ["source", "contract_type", "channel_type"]
-    both = ["b", "o", "t", "b_nt", "o_nt", "t_nt"]
-    rows = (
-        origins(with_next_month(fact), d)
-        .join(contract, "sk_id_prev")
-        .select(
-            *keys,
-            F.col("dpd_bucket").alias("b"), F.col("dpd_bucket_order").alias("o"), target("dpd_bucket").alias("t"),
-            F.col("dpd_bucket_no_threshold").alias("b_nt"), F.col("dpd_bucket_order_no_threshold").alias("o_nt"),
-            target("dpd_bucket_no_threshold").alias("t_nt"),
-            F.coalesce(F.col("next.months_balance") > F.col("months_balance") + 1, F.lit(False)).alias("gap"),
-            "exposure_proxy",
-            F.when(adjacent, F.col("next.exposure_proxy")).alias("next_exposure"),
-        )
-    )
-    sums = rows.groupBy(*keys, *both).agg(
+        "sk_id_prev", labels.cohort_start(F.col("first_open_month"), d).alias("cohort_start"),
+        *labels.segment_columns(d, F.col("has_application"), ("contract_type", "channel_type")))
+    months = fact.select(
+        "sk_id_prev", "source", "months_balance", "dpd_bucket", "dpd_bucket_order", "dpd_bucket_no_threshold",
+        "dpd_bucket_order_no_threshold", "exposure_proxy", origin.alias("is_origin"),
+        F.coalesce(b1, F.lit(False)).alias("is_b1"), b1_so_far.alias("b1_so_far"), nxt.alias("next"))
+    rows = months.where("is_origin").join(contract, "sk_id_prev").select(
+        "source", "contract_type", "channel_type", "cohort_start",
+        F.col("dpd_bucket").alias("b"), F.col("dpd_bucket_order").alias("o"), target("dpd_bucket").alias("t"),
+        F.col("dpd_bucket_no_threshold").alias("b_nt"), F.col("dpd_bucket_order_no_threshold").alias("o_nt"),
+        target("dpd_bucket_no_threshold").alias("t_nt"),
+        F.coalesce(adjacent & F.col("next.is_open") & (F.col("next.dpd_bucket_order") == 0), F.lit(False)).alias("cured"),
+        (F.col("is_b1") & (F.col("b1_so_far") == 1)).alias("first_b1"),
+        F.coalesce(F.col("next.months_balance") > F.col("months_balance") + 1, F.lit(False)).alias("gap"),
+        "exposure_proxy", F.when(adjacent, F.col("next.exposure_proxy")).alias("next_exposure"))
+    keys = rows.columns[:rows.columns.index("gap")]
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.count_if("gap").alias("n_gap"),
         F.count_if(F.col("exposure_proxy").isNull()).alias("n_null"),
         money_sum(F.col("exposure_proxy")).alias("e_from"),
         money_sum(F.col("next_exposure")).alias("e_to"),
     )
-    split = sums.select(
+
+
+def transition_cells(base: DataFrame) -> DataFrame:
+    """Transition counts of both delay definitions: the cells split by definition and summed again."""
+    keys = ["source", "contract_type", "channel_type"]
+    split = base.select(
         *keys, "n", "n_gap", "n_null", "e_from", "e_to",
         F.expr("stack(2, 'primary', b, o, t, 'no_threshold', b_nt, o_nt, t_nt) "
                "as (definition, from_state, from_order, to_state)"),
@@ -256,11 +247,11 @@ def transition_cells(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFra
     )
 
 
-def roll_matrix(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFrame:
+def roll_matrix(base: DataFrame, d: Definitions) -> DataFrame:
     """Monthly transition matrix with row totals and shares; column `definition` tells the two apart."""
     row = Window.partitionBy("definition", "source", "contract_type", "channel_type", "from_state")
     n_from, e_from = F.sum("n_loans").over(row), F.sum("exposure_from").over(row)
-    return transition_cells(fact, dim, d).select(
+    return transition_cells(base).select(
         "definition", "source", "contract_type", "channel_type", "from_state", "from_order", "to_state",
         labels.state_order(F.col("to_state"), d).alias("to_order"),
         "n_loans",
@@ -279,21 +270,14 @@ def of_definition(roll: DataFrame, definition: str) -> DataFrame:
     return roll.where(F.col("definition") == definition).drop("definition")
 
 
-def snapshot_rows(fact: DataFrame, dim: DataFrame, d: Definitions, month: int | None = None) -> DataFrame:
-    """Open contract-months of one relative month, with product and channel."""
-    contract = dim.select(
-        "sk_id_prev", F.col("source").alias("contract_source"), "has_application",
-        *labels.segment_columns(d, F.col("has_application"), ("contract_type", "channel_type")))
-    at = d.last_month if month is None else month
-    # Both tables lie by contract: joined on it alone, neither moves. An equality of the sources would become a second
-    # join key and move both, so it is written as a range.
-    open_rows = fact.where(F.col("is_open") & (F.col("months_balance") == at))
-    return open_rows.join(contract, "sk_id_prev").where("source between contract_source and contract_source").drop("contract_source")
+def at_month(open_months: DataFrame, d: Definitions, month: int | None = None) -> DataFrame:
+    """The open portfolio of one relative month; of the kept table, one partition."""
+    return open_months.where(F.col("months_balance") == (d.last_month if month is None else month))
 
 
-def portfolio_snapshot(fact: DataFrame, dim: DataFrame, d: Definitions, month: int | None = None) -> DataFrame:
+def portfolio_snapshot(open_months: DataFrame, d: Definitions, month: int | None = None) -> DataFrame:
     bad, bad_nt, amount = F.col("is_30_plus"), F.col("is_30_plus_no_threshold"), F.col("exposure_proxy")
-    return snapshot_rows(fact, dim, d, month).groupBy(
+    return at_month(open_months, d, month).groupBy(
         "contract_type", "channel_type", "dpd_bucket", "dpd_bucket_order"
     ).agg(
         F.count("*").alias("n_loans"),

@@ -10,7 +10,7 @@ from arrearview.functions.aggregates import exact_sum
 from arrearview.functions.stats import proportion, share
 from arrearview.operators.rollup import rollup, rollup_levels
 from arrearview.params import Definitions
-from arrearview.plans.marts import deduplicated, snapshot_rows
+from arrearview.plans.marts import at_month, deduplicated
 
 SNAPSHOT_SUMS = {c: c for c in (
     "n_loans", "exposure", "n_30_plus", "exposure_30_plus", "n_loans_exposure_known", "n_30_plus_exposure_known",
@@ -61,11 +61,11 @@ def vintage_base_counts(dim: DataFrame) -> DataFrame:
         F.count_if(~never & ~F.col("is_partial_history")).alias("n_vintage_base"))
 
 
-def snapshot_buckets(snapshot: DataFrame, fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFrame:
+def snapshot_buckets(snapshot: DataFrame, open_months: DataFrame, d: Definitions) -> DataFrame:
     """Bucket mix of the open portfolio by both delay definitions, as shares of one open total."""
     primary = rollup(snapshot, ["dpd_bucket", "dpd_bucket_order"], {"n_loans": "n_loans", "exposure": "exposure"})
     bare = (
-        fact.where(F.col("is_open") & (F.col("months_balance") == d.last_month))
+        at_month(open_months, d)
         .groupBy(F.col("dpd_bucket_no_threshold").alias("dpd_bucket"),
                  F.col("dpd_bucket_order_no_threshold").alias("dpd_bucket_order"))
         .agg(F.count("*").alias("n_loans"), exact_sum(F.col("exposure_proxy")).alias("exposure"))
@@ -126,10 +126,10 @@ def snapshot_levels(snapshot: DataFrame, d: Definitions) -> DataFrame:
         proportion("k", n, d).alias("primary"), proportion("k_nt", n, d).alias("no_threshold"))
 
 
-def snapshot_by_source(fact: DataFrame, month: int) -> DataFrame:
+def snapshot_by_source(open_months: DataFrame, d: Definitions, month: int) -> DataFrame:
     """Past-due share by count and by exposure for each source, at any month."""
     bad, amount = F.col("is_30_plus"), F.col("exposure_proxy")
-    return fact.where(F.col("is_open") & (F.col("months_balance") == month)).groupBy("source").agg(
+    return at_month(open_months, d, month).groupBy("source").agg(
         F.count("*").alias("n_open"), F.count_if(bad).alias("n_30_plus"),
         exact_sum(amount).alias("exposure"), exact_sum(F.when(bad, amount)).alias("exposure_30_plus"),
     ).select(
@@ -138,10 +138,10 @@ def snapshot_by_source(fact: DataFrame, month: int) -> DataFrame:
         share(F.coalesce("exposure_30_plus", F.lit(0.0)), F.col("exposure")).alias("exposure_rate"))
 
 
-def exposure_missing(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFrame:
+def exposure_missing(open_months: DataFrame, d: Definitions) -> DataFrame:
     """Open contracts whose exposure is not known."""
     bad, unknown = F.col("is_30_plus"), ~F.col("has_application")
-    return snapshot_rows(fact, dim, d).where(F.col("exposure_proxy").isNull()).agg(
+    return at_month(open_months, d).where(F.col("exposure_proxy").isNull()).agg(
         F.count("*").alias("n_contracts"), F.count_if(bad).alias("n_30_plus"),
         F.count_if(unknown).alias("n_contracts_unknown_group"),
         F.count_if(bad & unknown).alias("n_30_plus_unknown_group"))

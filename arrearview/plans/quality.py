@@ -19,7 +19,7 @@ from arrearview.book import LoanBook
 from arrearview.functions import labels
 from arrearview.functions.aggregates import exact_sum
 from arrearview.params import Definitions
-from arrearview.plans.marts import approved_without_instalment, deduplicated
+from arrearview.plans.marts import approved_without_instalment, at_month, deduplicated
 
 ERROR, WARN = "error", "warn"
 
@@ -246,7 +246,7 @@ def _snapshot_reconcile(book: LoanBook) -> DataFrame:
     def sums(df: DataFrame, *columns: str) -> DataFrame:
         return df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
 
-    open_now = book.fct_loan_month.where(F.col("is_open") & (F.col("months_balance") == book.d.last_month)).agg(
+    open_now = at_month(book.open_months, book.d).agg(
         F.count("*").alias("n_loans"), F.count_if("is_30_plus").alias("n_30_plus"),
         F.count_if("is_30_plus_no_threshold").alias("n_30_plus_no_threshold"),
         F.count("exposure_proxy").alias("n_loans_exposure_known"))

@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrearview.functions import labels
-from arrearview.functions.aggregates import value_at_first
 from arrearview.functions.stats import arm_size_absolute, arm_size_relative, proportion, share
 from arrearview.operators import pairs
 from arrearview.operators.rollup import densify
 from arrearview.params import Definitions
-from arrearview.plans.marts import cured, origins, with_next_month
 
 
 def cure_rate(roll: DataFrame, d: Definitions) -> DataFrame:
@@ -88,21 +86,16 @@ def collections_experiment(roll: DataFrame, d: Definitions) -> DataFrame:
         F.round(F.col("cure.rate") * 0.20 * 100, d.digits).alias("relative_change_in_points"))
 
 
-def _cohort_cure_cells(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFrame:
-    contract = dim.select("sk_id_prev", labels.cohort_start(F.col("first_open_month"), d).alias("cohort_start"))
+def _cohort_cure_cells(base: DataFrame) -> DataFrame:
     return (
-        origins(with_next_month(fact), d)
-        .where(F.col("dpd_bucket_order").isin(1, 2))
-        .select("sk_id_prev", "dpd_bucket_order", cured().alias("cured"))
-        .join(contract, "sk_id_prev")
-        .groupBy("cohort_start", F.col("dpd_bucket_order").alias("bucket"))
-        .agg(F.count("*").alias("n"), F.count_if("cured").alias("k")))
+        base.where(F.col("o").isin(1, 2)).groupBy("cohort_start", F.col("o").alias("bucket"))
+        .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("cured"), F.col("n")).otherwise(0)).alias("k")))
 
 
-def cure_by_cohort(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFrame:
+def cure_by_cohort(base: DataFrame, d: Definitions) -> DataFrame:
     """Cure of the first two past-due buckets side by side per origination cohort."""
     return (
-        pairs.two_groups(_cohort_cure_cells(fact, dim, d), ["cohort_start"], F.col("bucket") == 1)
+        pairs.two_groups(_cohort_cure_cells(base), ["cohort_start"], F.col("bucket") == 1)
         .where(F.col("n1").isNotNull())
         .withColumns({
             "origination_cohort": labels.cohort_label(F.col("cohort_start"), d),
@@ -110,29 +103,26 @@ def cure_by_cohort(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFrame
             "cure_b2": F.when(F.col("n0").isNotNull(), proportion("k0", "n0", d))}))
 
 
-def cure_by_cohort_pooled(fact: DataFrame, dim: DataFrame, d: Definitions) -> DataFrame:
-    two = pairs.two_groups(_cohort_cure_cells(fact, dim, d), ["cohort_start"], F.col("bucket") == 1)
+def cure_by_cohort_pooled(base: DataFrame, d: Definitions) -> DataFrame:
+    two = pairs.two_groups(_cohort_cure_cells(base), ["cohort_start"], F.col("bucket") == 1)
     return pairs.pooled(two.where(F.col("n1").isNotNull() & F.col("n0").isNotNull()), [], d)
 
 
-def first_b1_cure(fact: DataFrame, d: Definitions) -> DataFrame:
-    """Per contract: the first month in the first past-due bucket, and whether the next one is current."""
-    recovered = F.when(cured(), 1).otherwise(0)
-    first = (
-        origins(with_next_month(fact), d).where(F.col("dpd_bucket_order") == 1)
-        .groupBy("sk_id_prev").agg(value_at_first(recovered, F.col("months_balance")).alias("cured")))
-    return first.agg(F.count("*").alias("n"), F.sum("cured").alias("k")).withColumn(
-        "cure", proportion("k", "n", d))
+def first_b1_cure(base: DataFrame, d: Definitions) -> DataFrame:
+    """Contracts by their first month in the first past-due bucket, and those without delay the month after."""
+    return base.where("first_b1").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.when(F.col("cured"), F.col("n")).otherwise(0)).alias("k")
+    ).withColumn("cure", proportion("k", "n", d))
 
 
-def first_b1_sample(fact: DataFrame, d: Definitions, points=(0.03, 0.05, 0.10)) -> DataFrame:
+def first_b1_sample(base: DataFrame, d: Definitions, points=(0.03, 0.05, 0.10)) -> DataFrame:
     """Contracts per arm to see an absolute rise of the first-bucket cure."""
-    base = "cure.rate"
+    rate = "cure.rate"
     return (
-        first_b1_cure(fact, d).withColumn("change", F.explode(F.array(*[F.lit(p) for p in points])))
+        first_b1_cure(base, d).withColumn("change", F.explode(F.array(*[F.lit(p) for p in points])))
         .select("n", "k", (F.col("change") * 100).alias("points"),
-                (F.round(base, d.digits) + F.col("change")).alias("target_rate"),
-                arm_size_absolute(base, "change", d).alias("n_per_arm")))
+                (F.round(rate, d.digits) + F.col("change")).alias("target_rate"),
+                arm_size_absolute(rate, "change", d).alias("n_per_arm")))
 
 
 def roll_grid(roll: DataFrame, d: Definitions) -> DataFrame:

@@ -28,7 +28,7 @@ def write_findings(findings: DataFrame, path: str) -> None:
     findings.orderBy(*keys).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-FINDINGS_SCHEMA = "section STRING, mob INT, dims MAP<STRING, STRING>, measure STRING, value DOUBLE"
+FINDINGS_SCHEMA = "section STRING, mob INT, dims MAP<STRING, STRING>, measure STRING, value DOUBLE, text STRING"
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:

@@ -70,9 +70,9 @@ left join (select * from ({_COHORT_CURE}) c where bucket = 2) z using (cohort_st
 query("cure_by_cohort", f"""
 select *, cohort_start || ' to ' || (cohort_start + 11) origination_cohort, {prop('k1', 'n1', 'cure_b1')},
   {prop('k0', 'n0', 'cure_b2')} from ({_SIDES}) s""", *props("cure_b1", "cure_b2"))(
-    lambda b: t.cure_by_cohort(b.fct_loan_month, b.dim_loan, b.d))
+    lambda b: t.cure_by_cohort(b.transition_base, b.d))
 query("cure_by_cohort_mh", mh(f"select * from ({_SIDES}) s where n0 is not null", ""), *MH_ROUND)(
-    lambda b: t.cure_by_cohort_pooled(b.fct_loan_month, b.dim_loan, b.d))
+    lambda b: t.cure_by_cohort_pooled(b.transition_base, b.d))
 
 _FIRST = f"""
 select count(*) n, cast(sum(case when nm = months_balance + 1 and n_open and nbo = 0 then 1 else 0 end) {B}) k
@@ -80,12 +80,12 @@ from c_next f where is_open and months_balance < -1 and dpd_bucket_order = 1 and
   (select min(g.months_balance) from c_fct g where g.sk_id_prev = f.sk_id_prev and g.is_open
    and g.months_balance < -1 and g.dpd_bucket_order = 1)"""
 query("first_b1_cure", f"select *, {prop('k', 'n', 'cure')} from ({_FIRST}) q", *props("cure"))(
-    lambda b: t.first_b1_cure(b.fct_loan_month, b.d))
+    lambda b: t.first_b1_cure(b.transition_base, b.d))
 _P = "round(k / cast(n as double), 10)"
 query("first_b1_sample", f"""
 select n, k, c * 100 points, {_P} + c target_rate, {arm(_P, f'{_P} + c', 'c')} n_per_arm
 from ({_FIRST}) q, (select unnest([0.03e0, 0.05e0, 0.1e0]) c) z""", "points", "target_rate")(
-    lambda b: t.first_b1_sample(b.fct_loan_month, b.d))
+    lambda b: t.first_b1_sample(b.transition_base, b.d))
 
 _CELLS = "select from_state, to_state, sum(n_loans) n, sum(exposure_from) e from m_roll " \
          "where definition = 'primary' group by 1, 2"
@@ -288,7 +288,7 @@ from (select at_offices, cast(sum(w) {B}) n_contracts, min(age) youngest, max(ag
       from c_today group by grouping sets ((), (at_offices))) s
 join {_half('age')} a on a.at_offices is not distinct from s.at_offices
 join {_half('first_age')} b on b.at_offices is not distinct from s.at_offices""", *props("after_12"))(
-    lambda b: x.late_timing(b.fct_loan_month, b.loan_outcome, b.d))
+    lambda b: x.late_timing(b.open_months, b.d))
 query("inferred_closed_cases", """
 select count(*) n_cases, count(case when z.is_30_plus then 1 end) n_last_month_30_plus
 from c_out l join (select sk_id_prev, is_30_plus from c_fct f where months_balance =

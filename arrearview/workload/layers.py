@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arrearview.plans import portfolio, profile
 from arrearview.sources import exports, raw
+from arrearview.workload.oracle_base import CTES
 from arrearview.workload.registry import query
 from arrearview.workload.sqlstats import prop, props, total
 
@@ -123,7 +124,7 @@ select f.source, count(*) n_open, count(case when is_30_plus then 1 end) n_30_pl
   ifnull(sum(case when is_30_plus then exposure_proxy end), 0) / nullif(sum(exposure_proxy), 0) exposure_rate
 from c_fct f where is_open and months_balance = {_month} group by f.source""",
           "rate", "exposure", "exposure_30_plus", "exposure_rate")(
-        lambda b, m=_month: portfolio.snapshot_by_source(b.fct_loan_month, m))
+        lambda b, m=_month: portfolio.snapshot_by_source(b.open_months, b.d, m))
 
 # ---- portfolio -------------------------------------------------------------------------------
 
@@ -156,7 +157,7 @@ from (
   from c_fct where is_open and months_balance = -1 group by all) u,
   (select count(*) n_open from c_fct where is_open and months_balance = -1) t""",
       "exposure", *props("share"))(
-    lambda b: portfolio.snapshot_buckets(b.portfolio_snapshot, b.fct_loan_month, b.dim_loan, b.d).select(
+    lambda b: portfolio.snapshot_buckets(b.portfolio_snapshot, b.open_months, b.d).select(
         "definition", "dpd_bucket", "dpd_bucket_order", "n_loans", "exposure", "n_open", "share"))
 
 _KPI = """
@@ -213,36 +214,72 @@ select count(*) n_contracts, count(case when is_30_plus then 1 end) n_30_plus,
   count(case when not has_application then 1 end) n_contracts_unknown_group,
   count(case when is_30_plus and not has_application then 1 end) n_30_plus_unknown_group
 from c_fct f join c_out x using (sk_id_prev) where is_open and months_balance = -1 and exposure_proxy is null""")(
-    lambda b: portfolio.exposure_missing(b.fct_loan_month, b.dim_loan, b.d))
+    lambda b: portfolio.exposure_missing(b.open_months, b.d))
 
 # ---- profiles --------------------------------------------------------------------------------
 
 query("status_distribution", "select source, contract_status, count(*) n_rows from c_int group by all "
                              "order by source, n_rows desc")(lambda b: profile.status_distribution(b.int_loan_month))
-query("dpd_compare", """
-select source, count(*) n_rows, sum((dpd_raw > 0)::bigint)::bigint n_dpd_raw_positive,
-  sum((dpd_def > 0)::bigint)::bigint n_dpd_def_positive, sum((dpd_raw > 30)::bigint)::bigint n_dpd_raw_30_plus,
-  sum((dpd_def > 30)::bigint)::bigint n_dpd_def_30_plus,
-  sum((dpd_raw > 30 and dpd_def <= 30)::bigint)::bigint n_30_plus_only_in_raw
-from c_int group by source""")(lambda b: profile.dpd_compare(b.int_loan_month, b.d))
+# Contract-months by both delays, and contracts by how they ended: what the profiles are summed from.
+CTES["p_delays"] = "select source src, dpd_raw plain, dpd_def tolerant, count(*) w from c_int group by all"
+CTES["p_ends"] = """
+select source src, end_state fate, last_observed_month stop, max_mob age, is_left_truncated cut,
+  min(first_open_month) earliest, count(*) w
+from c_dim group by all"""
+_DELAY_MEASURES = {"n_rows": "true", "n_dpd_raw_positive": "plain > 0", "n_dpd_def_positive": "tolerant > 0",
+                   "n_dpd_raw_30_plus": "plain > 30", "n_dpd_def_30_plus": "tolerant > 30",
+                   "n_30_plus_only_in_raw": "plain > 30 and tolerant <= 30"}
+_DELAY_TAGS = ", ".join(f"case when {rule} then '{name}' end" for name, rule in _DELAY_MEASURES.items())
+query("dpd_compare", f"""
+select src source, {", ".join(f"cast(ifnull({n}, 0) as bigint) {n}" for n in _DELAY_MEASURES)}
+from (select src, w, unnest([{_DELAY_TAGS}]) tag from p_delays) t
+pivot (sum(w) for tag in ({", ".join(f"'{n}'" for n in _DELAY_MEASURES)})) p""")(
+    lambda b: profile.dpd_compare(b.int_loan_month, b.d))
 query("bucket_share", """
 select source, dpd_bucket, n_rows, round(100.0e0 * n_rows / t, 2) pct
 from (select source, dpd_bucket, count(*) n_rows from c_fct where is_open group by all) a
 join (select source, count(*) t from c_fct where is_open group by all) b using (source)
 order by source, dpd_bucket""")(lambda b: profile.bucket_share(b.fct_loan_month))
+# The median of weighted ages: the two middle contracts are found by running weights.
 query("end_state_profile", """
-select source, end_state, count(*) n_loans, count(case when is_left_truncated then 1 end) n_left_truncated,
-  min(first_open_month) min_first_open_month, median(max_mob)::double median_max_mob
-from c_dim group by all order by source, end_state""", "median_max_mob")(
+select src source, fate end_state, cast(sum(w) as bigint) n_loans, cast(sum(case when cut then w else 0 end) as bigint)
+    n_left_truncated, min(earliest) min_first_open_month, any_value(middle) median_max_mob
+from p_ends left join (
+  select src, fate, (min(case when upto > (n - 1) // 2 then age end) + min(case when upto > n // 2 then age end)) / 2e0 middle
+  from (select src, fate, age, sum(w) over (partition by src, fate order by age, cut, stop rows unbounded preceding) upto,
+          sum(w) over (partition by src, fate) n from p_ends where age is not null) r
+  group by src, fate) m using (src, fate)
+group by src, fate order by source, end_state""", "median_max_mob")(
     lambda b: profile.end_state_profile(b.dim_loan))
 query("stop_month_topk", """
-select last_observed_month, end_state, count(*) n_loans from c_dim where end_state in ('censored', 'unknown')
-group by all order by last_observed_month desc, end_state limit 15""")(lambda b: profile.stop_months(b.dim_loan))
+select stop last_observed_month, fate end_state, cast(sum(w) as bigint) n_loans
+from p_ends semi join (values ('censored'), ('unknown')) as v(fate) using (fate)
+group by stop, fate order by stop desc, fate limit 15""")(lambda b: profile.stop_months(b.dim_loan))
+# A contract's month of age 0 is its first open one.
 query("paid_at_mob0_topk", """
-select installments_total - installments_remaining installments_paid_at_mob0, count(*) n_loans
-from c_fct where source = 'pos_cash' and mob = 0 group by 1 order by 2 desc, 1 nulls last limit 10""")(
+select paid installments_paid_at_mob0, count(*) n_loans
+from (select p.installments_total - p.installments_remaining paid
+      from c_dim x join c_int p on p.sk_id_prev = x.sk_id_prev and p.months_balance = x.first_open_month
+      where x.source = 'pos_cash') o
+group by paid order by n_loans desc, paid nulls last limit 10""")(
     lambda b: profile.paid_at_first_month(b.fct_loan_month, b.d))
 query("payment_profile", """
 select count(*) n_rows, count(*) - count(days_paid) n_null_days_paid, count(*) - count(payment_amount) n_null_payment,
   count(case when payment_amount = 0 then 1 end) n_zero_payment, count(distinct installment_version) n_versions
 from s_inst""")(lambda b: profile.payment_profile(b.stg("installments_payments")))
+
+# ---- the build -------------------------------------------------------------------------------
+
+_BUILT = {("core", "int_loan_month"): "c_int", ("core", "dim_loan"): "c_dim", ("core", "fct_loan_month"): "c_fct",
+          ("core", "loan_outcome"): "c_out", ("core", "open_months"): "c_fct where is_open",
+          ("mart", "funnel_by_channel"): "m_fun", ("mart", "fpd_by_segment"): "m_fpd", ("mart", "vintage"): "m_vin",
+          ("mart", "roll"): "m_roll", ("mart", "portfolio_snapshot"): "m_snap"}
+
+
+@query("build_manifest", " union all ".join(
+    f"select '{layer}' layer, '{name}' table_name, count(*) n_rows from {rows}" for (layer, name), rows in _BUILT.items()))
+def build_manifest(b):
+    """What a build consists of, counted from the written tables: the manifest's tables with their rows."""
+    b.build()
+    rows = [r for r in b.store.rows() if r[:2] in _BUILT]
+    return b.spark.createDataFrame(rows, "layer string, table_name string, n_rows long")

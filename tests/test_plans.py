@@ -49,13 +49,44 @@ def test_dimension_shuffles_applications_only(book):
 
 
 def test_matrix_shuffles_grouped_cells_only(book):
-    moved = shuffles(marts.transition_cells(book.fct_loan_month, book.dim_loan, book.d))
+    moved = shuffles(marts.transition_base(book.fct_loan_month, book.dim_loan, book.d))
     assert moved and all("sk_id_prev" not in m for m in moved)
 
 
-def test_snapshot_filter_reaches_the_scan(book):
-    text = plan(marts.portfolio_snapshot(book.fct_loan_month, book.dim_loan, book.d))
-    assert "EqualTo(months_balance,-1)" in text and "installments_total" not in text
+def test_a_month_is_one_partition(book):
+    """Whatever reads the open portfolio of a month reads that month's files only."""
+    from arrearview.plans import experiments, portfolio, quality
+
+    month = re.compile(r"PartitionFilters: \[[^\]]*months_balance#\d+ = -1\)")
+    for df in (marts.portfolio_snapshot(book.open_months, book.d), portfolio.exposure_missing(book.open_months, book.d),
+               portfolio.snapshot_by_source(book.open_months, book.d, -1), experiments.late_timing(book.open_months, book.d),
+               portfolio.snapshot_buckets(book.portfolio_snapshot, book.open_months, book.d),
+               quality._snapshot_reconcile(book)):
+        text = plan(df)
+        assert month.search(text) and "fct_loan_month" not in text and "dim_loan" not in text
+        assert "Exchange hashpartitioning(sk_id_prev" not in text
+    one = marts.at_month(book.open_months, book.d)
+    assert {f.rsplit("/", 2)[1] for f in one.inputFiles()} >= {"months_balance=-1"}
+    scanned = one._jdf.queryExecution().executedPlan().toString()
+    assert "months_balance" in scanned.split("PartitionFilters")[1][:80]
+
+
+def test_open_months_are_the_open_rows_of_the_fact(book):
+    keys = ["sk_id_prev", "months_balance", "mob", "dpd_bucket", "exposure_proxy"]
+    kept, fact = book.open_months.select(*keys), book.fct_loan_month.where("is_open").select(*keys)
+    assert kept.exceptAll(fact).count() == fact.exceptAll(kept).count() == 0
+
+
+def test_successive_months_are_sorted_once(book):
+    """One window over the fact per book: matrices and cures are sums over the kept cells."""
+    from arrearview.plans import transitions
+
+    text = plan(marts.transition_base(book.fct_loan_month, book.dim_loan, book.d))
+    assert len(re.findall(r"\bWindow \[", text)) == 1
+    for df in (marts.transition_cells(book.transition_base), transitions.cure_by_cohort(book.transition_base, book.d),
+               transitions.cure_by_cohort_pooled(book.transition_base, book.d),
+               transitions.first_b1_sample(book.transition_base, book.d)):
+        assert "fct_loan_month" not in plan(df) and "dim_loan" not in plan(df)
 
 
 def test_first_instalment_filter_reaches_the_scan(spark, tmp_path):
@@ -77,8 +108,8 @@ def test_no_query_pairs_rows_by_brute_force(spark, star_dir):
         assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython", text), name
 
 
-def test_snapshot_does_not_move_the_fact(book):
-    text = plan(marts.snapshot_rows(book.fct_loan_month, book.dim_loan, book.d))
+def test_open_months_move_once(book):
+    text = plan(core.open_months(book.fct_loan_month, book.loan_outcome, book.d))
     assert "Exchange" not in text and "Bucketed: false" not in text
 
 

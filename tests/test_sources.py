@@ -107,12 +107,12 @@ def test_store_layers_and_buckets(spark, book):
     b = LoanBook(spark, book.raw, book.d, store)
     assert b.dim_loan.count() == book.dim_loan.count()
     assert {"unit_raw", "unit_stg", "unit_core", "unit_mart"} <= {d.name for d in spark.catalog.listDatabases()}
-    files = [f for f in os.listdir(f"{store.folder.removeprefix('file:')}/core/dim_loan") if f.endswith(".parquet")]
+    files = [f for f in os.listdir(f"{store.folder.removeprefix('file:')}/core/{store.named('dim_loan')}") if f.endswith(".parquet")]
     assert len(files) == 4
     b.store.keep("core", "dim_loan", book.dim_loan.limit(3))
     assert spark.table(store.table("core", "dim_loan")).count() == 3
     store.drop()
-    assert not os.path.exists(f"{store.folder.removeprefix('file:')}/core/dim_loan")
+    assert not os.path.exists(f"{store.folder.removeprefix('file:')}/core/{store.named('dim_loan')}")
     assert "unit_core" not in {d.name for d in spark.catalog.listDatabases()}
 
 
