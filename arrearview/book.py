@@ -45,6 +45,12 @@ class LoanBook:
         panel = core.int_loan_month(card, pos, self.d, self.store.buckets)
         return self.store.keep("core", "int_loan_month", panel, by_contract=True)
 
+    @cached_property
+    def source_months(self) -> DataFrame:
+        """Rows of each raw panel per contract and month, which the checks of the sources read."""
+        months = core.source_months(self.stg("credit_card_balance"), self.stg("pos_cash_balance"))
+        return self.store.keep("core", "source_months", months)
+
     @cached_property
     def dim_loan(self) -> DataFrame:
         dim = core.dim_loan(self.int_loan_month, self.stg("previous_application"), self.d, self.store.buckets)

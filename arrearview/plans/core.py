@@ -48,6 +48,21 @@ def int_loan_month(card: DataFrame, pos: DataFrame, d: Definitions, buckets: int
     return single.withColumn("_has_card", has_card).where(is_card | ~F.col("_has_card")).drop("_has_card")
 
 
+def source_months(card: DataFrame, pos: DataFrame) -> DataFrame:
+    """Rows of each source per contract and month: both raw panels folded once, on the map side before they move."""
+    def keys(df: DataFrame, is_card: bool) -> DataFrame:
+        return df.select("sk_id_prev", "months_balance", F.lit(is_card).alias("is_card"))
+
+    return keys(card, True).unionByName(keys(pos, False)).groupBy("sk_id_prev", "months_balance").agg(
+        F.count_if("is_card").alias("n_card"), F.count_if(~F.col("is_card")).alias("n_pos"))
+
+
+def source_contracts(months: DataFrame) -> DataFrame:
+    """Months of each source per contract."""
+    return months.groupBy("sk_id_prev").agg(
+        F.count_if(F.col("n_card") > 0).alias("card_months"), F.count_if(F.col("n_pos") > 0).alias("pos_months"))
+
+
 def earliest_month(panel: DataFrame) -> Column:
     """First month of the data window, as a scalar subquery over one column."""
     return panel.agg(F.min("months_balance")).scalar()

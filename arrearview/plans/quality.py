@@ -2,7 +2,8 @@
 
 A check yields violating rows; none means it passes. `error` checks stop a build, `warn` checks
 report known facts of the data. Row-level checks of one table are predicates, and all predicates of
-a table are counted in a single scan of it.
+a table are counted in a single scan of it. Checks that read the same large table are counted
+together (`TOGETHER`); their violating rows, for samples, still come from each check alone.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from arrearview.book import LoanBook
 from arrearview.functions import labels
 from arrearview.functions.aggregates import exact_sum
 from arrearview.params import Definitions
+from arrearview.plans.core import source_contracts
 from arrearview.plans.marts import approved_without_instalment, at_month, deduplicated
 
 ERROR, WARN = "error", "warn"
@@ -53,6 +55,19 @@ class QueryCheck:
         return self.query(book)
 
 
+@dataclass(frozen=True)
+class GrainCheck:
+    """Keys that a table holds more than once."""
+
+    name: str
+    severity: str
+    table: str
+    keys: tuple[str, ...]
+
+    def rows(self, book: LoanBook) -> DataFrame:
+        return _duplicates(self.table, *self.keys)(book)
+
+
 def table_of(book: LoanBook, name: str) -> DataFrame:
     return book.stg(name[4:]) if name.startswith("stg_") else getattr(book, name)
 
@@ -196,11 +211,19 @@ def _month_gaps(book: LoanBook) -> DataFrame:
 
 
 def _approved_reconcile(book: LoanBook) -> DataFrame:
-    mart = book.fpd_by_segment.agg(
-        (F.sum("n_approved_not_activated") + F.sum("n_approved_scheduled_no_installment")).alias("n"))
     source = approved_without_instalment(
         book.stg("installments_payments"), book.stg("previous_application")).agg(F.count("*").alias("n"))
-    return compared(mart, source)
+    return compared(_idle_total(book), source)
+
+
+def _idle_total(book: LoanBook) -> DataFrame:
+    idle = F.sum("n_approved_not_activated") + F.sum("n_approved_scheduled_no_installment")
+    return book.fpd_by_segment.agg(F.coalesce(idle, F.lit(0)).alias("n"))
+
+
+def _fpd_totals(book: LoanBook) -> DataFrame:
+    return book.fpd_by_segment.agg(F.coalesce(F.sum("n_loans"), F.lit(0)).alias("n_loans"),
+                                   F.coalesce(F.sum("n_fpd30"), F.lit(0)).alias("n_fpd30"))
 
 
 def _fpd_reconcile(book: LoanBook) -> DataFrame:
@@ -218,9 +241,7 @@ def _fpd_reconcile(book: LoanBook) -> DataFrame:
         (F.col("due") <= -d.grace_days) & (F.col("amount") > 0))
     source = eligible.agg(F.count("*").alias("n_loans"),
                           F.count_if(F.col("paid") < F.col("amount") * d.paid_tolerance).alias("n_fpd30"))
-    return compared(book.fpd_by_segment.agg(
-        F.coalesce(F.sum("n_loans"), F.lit(0)).alias("n_loans"), F.coalesce(F.sum("n_fpd30"), F.lit(0)).alias("n_fpd30")),
-        source)
+    return compared(_fpd_totals(book), source)
 
 
 def _funnel_reconcile(book: LoanBook) -> DataFrame:
@@ -229,12 +250,10 @@ def _funnel_reconcile(book: LoanBook) -> DataFrame:
 
 
 def _panel_reconcile(book: LoanBook) -> DataFrame:
-    keys = ["sk_id_prev", "months_balance"]
-    card = book.stg("credit_card_balance").select(*keys).distinct()
-    pos = book.stg("pos_cash_balance").select(*keys).distinct()
-    alone = pos.join(card.select("sk_id_prev").distinct(), "sk_id_prev", "left_anti")
+    """Months of the panel against the sources: of a contract with cards, the card months alone."""
+    of_contract = F.when(F.col("card_months") > 0, F.col("card_months")).otherwise(F.col("pos_months"))
     return compared(book.int_loan_month.agg(F.count("*").alias("n")),
-                    card.union(alone).agg(F.count("*").alias("n")))
+                    source_contracts(book.source_months).agg(F.coalesce(F.sum(of_contract), F.lit(0)).alias("n")))
 
 
 def _unknown_status(book: LoanBook) -> DataFrame:
@@ -273,16 +292,15 @@ def _row_sums(book: LoanBook) -> DataFrame:
 
 
 def _duplicate_months(book: LoanBook) -> DataFrame:
-    def of(source: str, table: str) -> DataFrame:
-        return _duplicates(table, "sk_id_prev", "months_balance")(book).withColumn("source", F.lit(source))
-
-    return of(book.d.instalment_source, "stg_pos_cash_balance").unionByName(
-        of(book.d.card_source, "stg_credit_card_balance"))
+    of_source = F.array(*[F.struct(F.lit(name).alias("source"), F.col(n).alias("n_rows")) for name, n in (
+        (book.d.instalment_source, "n_pos"), (book.d.card_source, "n_card"))])
+    rows = book.source_months.where("n_pos > 1 or n_card > 1").select(
+        "sk_id_prev", "months_balance", F.explode(of_source).alias("of"))
+    return rows.select("sk_id_prev", "months_balance", "of.n_rows", "of.source").where("n_rows > 1")
 
 
 def _in_both(book: LoanBook) -> DataFrame:
-    pos = book.stg("pos_cash_balance").select("sk_id_prev").distinct()
-    return pos.join(book.stg("credit_card_balance").select("sk_id_prev").distinct(), "sk_id_prev", "left_semi")
+    return source_contracts(book.source_months).where("card_months > 0 and pos_months > 0").select("sk_id_prev")
 
 
 def _eligible(book: LoanBook) -> DataFrame:
@@ -311,8 +329,8 @@ def _base_matches(book: LoanBook) -> DataFrame:
 _ROLL_KEYS = ("definition", "source", "contract_type", "channel_type", "from_state", "to_state")
 _SEGMENTS = ("contract_type", "channel_type", "client_type", "yield_group")
 
-def _grain(name: str, table: str, *keys: str) -> QueryCheck:
-    return QueryCheck(f"grain_{name}", ERROR, _duplicates(table, *keys))
+def _grain(name: str, table: str, *keys: str) -> GrainCheck:
+    return GrainCheck(f"grain_{name}", ERROR, table, keys)
 
 
 def _range(name: str, table: str, broken: Callable[[Definitions], Column]) -> RowCheck:
@@ -329,7 +347,7 @@ def _balance(name: str, rows: Callable[[LoanBook], DataFrame]) -> QueryCheck:
 
 #: By kind. grain: no key twice; range: values that a row may hold; flag: labels follow from what they are made of;
 #: balance: a table agrees with its sources; known: facts of the data that are reported and stop nothing.
-CHECKS: tuple[RowCheck | QueryCheck, ...] = (
+CHECKS: tuple[RowCheck | GrainCheck | QueryCheck, ...] = (
     _grain("contract", "dim_loan", "sk_id_prev"),
     _grain("contract_month", "fct_loan_month", "sk_id_prev", "months_balance"),
     _grain("vintage", "vintage", "source", *_SEGMENTS, "tenor_group", "origination_cohort", "mob"),
@@ -365,12 +383,79 @@ CHECKS: tuple[RowCheck | QueryCheck, ...] = (
 )
 
 
-def _scan(book: LoanBook, table: str, checks: list[RowCheck]) -> DataFrame:
-    """All predicates of one table counted in one scan."""
-    counts = table_of(book, table).agg(*[
-        F.count_if(c.predicate(book.d)).alias(f"c{i}") for i, c in enumerate(checks)])
-    pairs = ", ".join(f"'{c.name}', '{c.severity}', c{i}" for i, c in enumerate(checks))
-    return counts.select(F.expr(f"stack({len(checks)}, {pairs}) as (check_name, severity, n_violations)"))
+def _differs(counts: Column, mart: DataFrame) -> Column:
+    """1 where a struct of counts is not what a one-row aggregate of a mart says."""
+    return F.when(counts.eqNullSafe(mart.select(F.struct(*mart.columns)).scalar()), 0).otherwise(1)
+
+
+def _fact_pass(book: LoanBook) -> dict[str, Column | DataFrame]:
+    """Predicates of the fact, its repeated months and its gaps: one scan, in the order that its files are in."""
+    in_order = Window.partitionBy("sk_id_prev").orderBy("months_balance")
+    month, before, earlier = F.col("months_balance"), F.lag("months_balance").over(in_order), F.lag(
+        "months_balance", 2).over(in_order)
+    rows = book.fct_loan_month.withColumns({"_before": before, "_earlier": earlier})
+    again = (F.col("_before") == month) & ~F.col("_earlier").eqNullSafe(month)  # the second row of a month
+    counts = {c.name: F.count_if(c.predicate(book.d)) for c in CHECKS
+              if isinstance(c, RowCheck) and c.table == "fct_loan_month"}
+    return {"_rows": rows, **counts, "grain_contract_month": F.count_if(again),
+            "known_month_gaps": F.count_if(month - F.col("_before") > 1)}
+
+
+def _source_pass(book: LoanBook) -> dict[str, Column | DataFrame]:
+    """The months of the panel, and contracts in both sources: one fold of the source counts to contracts."""
+    cards, pos = F.col("card_months"), F.col("pos_months")
+    panel = book.int_loan_month.agg(F.count("*").alias("n"))
+    months = F.coalesce(F.sum(F.when(cards > 0, cards).otherwise(pos)), F.lit(0))
+    return {"_rows": source_contracts(book.source_months), "balance_panel": _differs(F.struct(months.alias("n")), panel),
+            "known_two_sources": F.count_if((cards > 0) & (pos > 0))}
+
+
+def _payment_pass(book: LoanBook) -> dict[str, Column | DataFrame]:
+    """First instalments and idle approvals recounted in one fold of the payments and one join."""
+    d = book.d
+    version = F.col("installment_version")
+    folded = (
+        book.stg("installments_payments").where(F.col("installment_number") == 1)
+        .groupBy("sk_id_prev", "installment_version")
+        .agg(F.min("days_due").alias("due"), F.max("installment_amount").alias("amount"),
+             F.coalesce(exact_sum(F.when(F.col("days_late") <= d.grace_days, F.col("payment_amount"))),
+                        F.lit(0.0)).alias("paid"))
+        .groupBy("sk_id_prev").agg(F.min(F.when(version > 0, F.struct(version, "due", "amount", "paid"))).alias("lowest")))
+    approved = deduplicated(book.stg("previous_application")).where(F.col("application_status") == "Approved").select(
+        "sk_id_prev", F.lit(True).alias("approved"))
+    rows = folded.withColumn("seen", F.lit(True)).join(approved, "sk_id_prev", "full").select(
+        "seen", "approved", "lowest.due", "lowest.amount", "lowest.paid")
+    eligible = (F.col("due") <= -d.grace_days) & (F.col("amount") > 0)
+    counts = F.struct(F.count_if(eligible).alias("n_loans"),
+                      F.count_if(eligible & (F.col("paid") < F.col("amount") * d.paid_tolerance)).alias("n_fpd30"))
+    idle = F.struct(F.count_if(F.col("approved") & F.col("seen").isNull()).alias("n"))
+    return {"_rows": rows, "balance_first_payment": _differs(counts, _fpd_totals(book)),
+            "balance_idle_approvals": _differs(idle, _idle_total(book))}
+
+
+#: Passes that count several checks at once, by the checks that they count.
+TOGETHER: tuple[Callable[[LoanBook], dict[str, Column | DataFrame]], ...] = (_fact_pass, _source_pass, _payment_pass)
+
+
+def _counted(rows: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """check_name, n_violations from one aggregate of the rows."""
+    names = list(counts)
+    one = rows.agg(*[counts[n].cast("long").alias(f"c{i}") for i, n in enumerate(names)])
+    stacked = ", ".join(f"'{n}', c{i}" for i, n in enumerate(names))
+    return one.select(F.expr(f"stack({len(names)}, {stacked}) as (check_name, n_violations)"))
+
+
+def _table_pass(book: LoanBook, table: str, checks: list[RowCheck | GrainCheck]) -> DataFrame:
+    """All predicates of a table, and its repeated keys, from one scan: counted by key first where a key is checked."""
+    rows = table_of(book, table)
+    broken = {c.name: F.count_if(c.predicate(book.d)) for c in checks if isinstance(c, RowCheck)}
+    grain = next((c for c in checks if isinstance(c, GrainCheck)), None)
+    if grain is None:
+        return _counted(rows, broken)
+    parts = rows.groupBy(*grain.keys).agg(F.count("*").alias("_n"), *[
+        n.alias(f"_p{i}") for i, n in enumerate(broken.values())])
+    sums = {name: F.coalesce(F.sum(f"_p{i}"), F.lit(0)) for i, name in enumerate(broken)}
+    return _counted(parts, {**sums, grain.name: F.count_if(F.col("_n") > 1)})
 
 
 def summary(book: LoanBook, checks: tuple = CHECKS, parallel: int = 8) -> DataFrame:
@@ -379,20 +464,25 @@ def summary(book: LoanBook, checks: tuple = CHECKS, parallel: int = 8) -> DataFr
     The checks are independent aggregates. They run several at a time and only their counts, one
     row per check, come to the driver.
     """
-    by_table: dict[str, list[RowCheck]] = {}
-    for c in checks:
-        if isinstance(c, RowCheck):
-            by_table.setdefault(c.table, []).append(c)
-
-    def count(c: QueryCheck) -> DataFrame:
-        return c.rows(book).agg(F.lit(c.name).alias("check_name"), F.lit(c.severity).alias("severity"),
-                                F.count("*").alias("n_violations"))
-
-    jobs = [lambda t=t, cs=cs: _scan(book, t, cs) for t, cs in by_table.items()]
-    jobs += [lambda c=c: count(c) for c in checks if isinstance(c, QueryCheck)]
     book.build()
+    _ = book.source_months
+    wanted, jobs = {c.name: c for c in checks}, []
+    for shared in TOGETHER:
+        counts = shared(book)
+        rows = counts.pop("_rows")
+        if counts.keys() <= wanted.keys():
+            jobs.append(lambda r=rows, n=counts: _counted(r, n))
+            wanted = {name: c for name, c in wanted.items() if name not in counts}
+    by_table: dict[str, list[RowCheck | GrainCheck]] = {}
+    for c in wanted.values():
+        if not isinstance(c, QueryCheck):
+            by_table.setdefault(c.table, []).append(c)
+    jobs += [lambda t=t, cs=cs: _table_pass(book, t, cs) for t, cs in by_table.items()]
+    jobs += [lambda c=c: _counted(c.rows(book), {c.name: F.count("*")}) for c in wanted.values()
+             if isinstance(c, QueryCheck)]
     with ThreadPoolExecutor(parallel) as pool:
-        rows = [r for part in pool.map(lambda job: job().collect(), jobs) for r in part]
+        found = {r["check_name"]: r["n_violations"] for part in pool.map(lambda job: job().collect(), jobs) for r in part}
+    rows = [(c.name, c.severity, found[c.name]) for c in checks]
     counts = book.spark.createDataFrame(rows, "check_name string, severity string, n_violations long")
     status = (F.when(F.col("n_violations") == 0, "pass").when(F.col("severity") == WARN, "warn").otherwise("fail"))
     return counts.withColumn("status", status)

@@ -17,8 +17,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
-LAYERS = ("int_loan_month", "dim_loan", "fct_loan_month", "loan_outcome", "vintage", "roll", "portfolio_snapshot",
-          "funnel_by_channel", "fpd_by_segment", "cohort_cells")
+LAYERS = ("int_loan_month", "source_months", "dim_loan", "fct_loan_month", "loan_outcome", "open_months", "vintage",
+          "transition_base", "roll", "portfolio_snapshot", "funnel_by_channel", "fpd_by_segment", "cohort_cells")
 HEADLINE = ("vintage_curve", "vintage_levels", "channel_smr", "channel_pairs_pooled", "segment_grid", "cure_rate",
             "roll_cure_summary", "first_b1_cure", "cure_by_cohort_mh", "portfolio_totals", "kpi_same_set",
             "approval_standardised", "fpd_levels", "early_split", "denominator_rules", "late_timing_grouping_sets",

@@ -3,17 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from arrearview.plans import quality
-
-
-class Broken:
-    """A book with single tables replaced."""
-
-    def __init__(self, book, **tables):
-        self._book, self._tables = book, tables
-
-    def __getattr__(self, name):
-        return self._tables.get(name) if name in self._tables else getattr(self._book, name)
+from arrearview.plans import faults, quality
+from arrearview.plans.faults import Edited as Broken
 
 
 def failing(book, *names):
@@ -76,3 +67,30 @@ def test_broken_tables_are_noticed(book, table, change, check):
 def test_enforce_raises_with_samples(book):
     with pytest.raises(quality.QualityError, match="grain_contract"):
         quality.enforce(Broken(book, dim_loan=book.dim_loan.union(book.dim_loan.limit(1))))
+
+
+def test_every_stopping_check_has_a_fault(book):
+    assert {f.check for f in faults.FAULTS} == {c.name for c in quality.CHECKS if c.severity == quality.ERROR}
+    found = {r["check_name"]: r["n_violations"] for r in faults.noticed(book).collect()}
+    assert len(found) == 26 and all(found.values()), found
+
+
+def test_passes_count_what_each_check_counts(book):
+    """On a book with faults in the tables of all shared passes, together and alone."""
+    some = [f for f in faults.FAULTS if f.check in (
+        "grain_contract_month", "balance_panel", "balance_idle_approvals", "grain_vintage", "range_funnel")]
+    edited = Broken(book, **{f.table: f.edit(getattr(book, f.table)) for f in some})
+    alone = {c.name: c.rows(edited).count() for c in quality.CHECKS}
+    assert {r["check_name"]: r["n_violations"] for r in quality.summary(edited).collect()} == alone
+    assert all(alone[f.check] for f in some)
+
+
+def test_the_sources_move_once(book):
+    """Three checks read one table of source counts, which folds both raw panels in one exchange."""
+    from arrearview.plans import core
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    text = plan(core.source_months(book.stg("credit_card_balance"), book.stg("pos_cash_balance")))
+    assert text.count("Exchange hashpartitioning(sk_id_prev") == 1
+    for rows in (quality._panel_reconcile(book), quality._duplicate_months(book), quality._in_both(book)):
+        assert "source_months" in plan(rows) and "orders" not in plan(rows)
