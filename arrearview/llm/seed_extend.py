@@ -9,10 +9,11 @@ hash, and each is paired with the smallest document that has it. Neighbouring pa
 All steps are joins and pre-aggregated minima: a passage that a third of all documents share is one row per map task
 in the aggregates, and its rows in the joins are split by the skew join. No pairs of documents are made.
 
-Copies of a whole text take no part but for the first, as all their words repeat. Nulls: a null text has no words; a
-row without doc_id has no order, so it removes nothing, loses nothing, and comes out with its own words. Repeated rows
-(one doc_id and text) are one document and come out repeated; if several texts share a doc_id, each is judged by
-itself, and texts of the same doc_id do not remove from each other.
+Copies of a whole text take no part but for the first, as all their words repeat. A text is known by its doc_id and 64
+bits of its hash, `tag`, so texts that share a doc_id are told apart however many they are. Nulls: a null text has no
+words; a row without doc_id has no order, so it removes nothing, loses nothing, and comes out with its own words. Repeated
+rows (one doc_id and text) are one document and come out repeated; if several texts share a doc_id, each is judged by
+itself, and texts of the same doc_id do not remove from each other. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,22 +22,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrearview.llm.common import SPACE, Words, discard, grams, mixed, pieces, runs, text_keys, written
 
-#: A position carries 15 bits of its text above it, to tell apart several texts under one doc_id.
-SHIFT = 40
-
-
-#: Stands for all words of a text.
-WHOLE = (1 << SHIFT) - 1
-
-
-def _tag(text: str) -> int:
-    return (xxhash.xxh64_intdigest(text.encode(), 42) & 0x7FFF) << SHIFT  # as Spark's xxhash64
+#: A position that stands for all words of a text.
+WHOLE = -1
 
 
 def seeds(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -62,71 +54,69 @@ def _seed_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def made(frames):
         words = Words()
         for frame in pieces(frames):
-            ids, at, out = [], [], []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
+            at, out = [], []
+            for text in frame["text"]:
                 h = words.of(text.encode().split())
                 found = seeds(h, window, gram)
                 out.append(grams(h, gram)[found])
-                at.append(found | _tag(text))
-                ids.append(np.full(len(found), doc, np.int64))
-            yield pd.DataFrame({"seed": np.concatenate(out).view(np.int64), "doc_id": np.concatenate(ids),
-                                "at": np.concatenate(at)})
+                at.append(found)
+            many = [len(x) for x in at]
+            yield pd.DataFrame({"seed": np.concatenate(out).view(np.int64),
+                                "doc_id": np.repeat(frame["doc_id"].to_numpy(), many),
+                                "tag": np.repeat(frame["tag"].to_numpy(), many), "at": np.concatenate(at).astype(np.int32)})
 
-    return docs.mapInPandas(made, "seed long, doc_id long, at long")
+    return docs.mapInPandas(made, "seed long, doc_id long, tag long, at int")
 
 
 def _window_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """From doc_id, text and the seed positions `ats`: hash and start of each window around a seed."""
+    """From doc_id, tag, text and the seed positions `ats`: hash and start of each window around a seed."""
     def made(frames):
         words = Words()
         for frame in pieces(frames, 256):
-            ids, at, low, high = [], [], [], []
-            for doc, text, ats in zip(frame["doc_id"], frame["text"], frame["ats"]):
-                tag, ats = _tag(text), np.asarray(ats, np.int64)
+            at, low, high = [], [], []
+            for text, ats in zip(frame["text"], frame["ats"]):
                 h = words.of(text.encode().split())
-                starts = around(ats[(ats >> SHIFT) << SHIFT == tag] - tag, len(h), window, gram)
+                starts = around(np.asarray(ats, np.int64), len(h), window, gram)
                 low.append(grams(h, window)[starts])
                 high.append(grams(mixed(h), window, 0xC2B2AE3D27D4EB4F)[starts])
-                at.append(starts | tag)
-                ids.append(np.full(len(starts), doc, np.int64))
+                at.append(starts)
+            many = [len(x) for x in at]
             yield pd.DataFrame({"h1": np.concatenate(low).view(np.int64), "h2": np.concatenate(high).view(np.int64),
-                                "doc_id": np.concatenate(ids), "at": np.concatenate(at)})
+                                "doc_id": np.repeat(frame["doc_id"].to_numpy(), many),
+                                "tag": np.repeat(frame["tag"].to_numpy(), many), "at": np.concatenate(at).astype(np.int32)})
 
-    return docs.mapInPandas(made, "h1 long, h2 long, doc_id long, at long")
+    return docs.mapInPandas(made, "h1 long, h2 long, doc_id long, tag long, at int")
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, at of the texts that occur as a whole under a smaller doc_id too; `at` says: this whole text."""
-    tag = F.shiftleft(F.xxhash64("text").bitwiseAND(0x7FFF), SHIFT).bitwiseOR(F.lit(WHOLE))
-    keys = docs.select("doc_id", tag.alias("at"), *text_keys(F.col("text")))
+    """doc_id, tag of the texts that occur as a whole under a smaller doc_id too."""
+    keys = docs.select("doc_id", "tag", *text_keys(F.col("text")))
     first = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     # A counted key is written before it is joined: only a join of two plain exchanges has its hot keys split.
     many = written(first.filter("first < last").select("k1", "k2", "first"))
-    return keys.join(many, ["k1", "k2"]).filter("doc_id > first").select("doc_id", "at").distinct()
+    return keys.join(many, ["k1", "k2"]).filter("doc_id > first").select("doc_id", "tag").distinct()
 
 
 def repeated(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
-    """doc_id, ats: the tagged starts of the repeated windows of each document that has any.
+    """doc_id, tag, ats: the starts of the repeated windows of each text that has any.
 
     Each step is written, so that the shuffle files and tables of the one before are gone when the next one runs.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter(
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text").filter(
         "doc_id is not null and text is not null")
     copies = written(later_copies(docs))
     rows = written(_seed_rows(docs, window, gram))
     shared = written(rows.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
                      .filter("first < last").select("seed"))
-    copied = copies.select("doc_id", F.shiftright("at", SHIFT).alias("tag"))
-    placed = written(
-        rows.join(shared, "seed").groupBy("doc_id", F.shiftright("at", SHIFT).alias("tag"))
-        .agg(F.collect_set("at").alias("ats")).join(copied, ["doc_id", "tag"], "left_anti")
-        .groupBy("doc_id").agg(F.flatten(F.collect_list("ats")).alias("ats")))
+    placed = written(rows.join(shared, "seed").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("ats"))
+                     .join(copies, ["doc_id", "tag"], "left_anti"))
     discard(rows)
-    windows = written(_window_rows(docs.join(placed, "doc_id"), window, gram))
+    windows = written(_window_rows(docs.join(placed, ["doc_id", "tag"]), window, gram))
     first = written(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
                     .filter("first < last").select("h1", "h2", "first"))
-    paired = windows.join(first, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "at")
-    found = written(paired.union(copies).groupBy("doc_id").agg(F.collect_set("at").alias("ats")))
+    paired = windows.join(first, ["h1", "h2"]).filter("doc_id > first").groupBy("doc_id", "tag").agg(
+        F.collect_set("at").alias("ats"))
+    found = written(paired.union(copies.select("doc_id", "tag", F.array(F.lit(WHOLE)))))
     for done in (placed, windows, copies, shared, first):
         discard(done)
     return found
@@ -141,7 +131,7 @@ def without_repeats(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFra
     A text that loses words becomes its other words joined by one space; any other stays as it is. `repeats` holds
     n_words and n_removed and the maximal repeats as first and last word; an input column of that name is replaced.
     """
-    marks = repeated(docs, window, gram).select(F.col("doc_id").alias("_doc"), F.col("ats").alias("_ats"))
+    marks = repeated(docs, window, gram)
 
     @F.pandas_udf(CUT)
     def cut(texts: pd.Series, marked: pd.Series) -> pd.DataFrame:
@@ -150,9 +140,8 @@ def without_repeats(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFra
             if text is None or ats is None:
                 out.append((None, None, None, None))
                 continue
-            tag, ats, words = _tag(text), np.asarray(ats, np.int64), text.encode().split()
-            starts = np.sort(ats[(ats >> SHIFT) << SHIFT == tag] - tag)
-            if len(starts) and starts[-1] == WHOLE:
+            words, starts = text.encode().split(), np.sort(np.asarray(ats, np.int64))
+            if len(starts) and starts[0] == WHOLE:
                 spans = np.array([[0, len(words)]]) if len(words) >= window else np.empty((0, 2), np.int64)
             else:
                 spans = runs(starts, window)
@@ -168,13 +157,17 @@ def without_repeats(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFra
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed", "spans"])
 
     none = F.array().cast("array<struct<first:int,last:int>>")
-    joined = docs.join(marks, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    joined = joined.withColumn("_cut", cut(F.when(F.col("_ats").isNotNull(), F.col("text")), F.col("_ats")))
-    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != "")).cast("long")
-    repeats = F.struct(F.coalesce("_cut.n_words", words).alias("n_words"),
-                       F.coalesce("_cut.n_removed", F.lit(0).cast("long")).alias("n_removed"),
-                       F.coalesce("_cut.spans", none).alias("spans"))
-    columns = [F.coalesce("_cut.text", "text").alias(c) if c == "text" else F.col(f"`{c}`")
+    # The input row is one struct on the way, so that none of its columns meets a name used here.
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+                       F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"))
+    text = F.col("row.text")
+    joined = rows.join(marks, ["doc_id", "tag"], "left").select(
+        "row", cut(F.when(F.col("ats").isNotNull(), text), F.col("ats")).alias("cut"))
+    words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")).cast("long")
+    repeats = F.struct(F.coalesce("cut.n_words", words).alias("n_words"),
+                       F.coalesce("cut.n_removed", F.lit(0).cast("long")).alias("n_removed"),
+                       F.coalesce("cut.spans", none).alias("spans"))
+    columns = [(F.coalesce("cut.text", text) if c == "text" else F.col(f"row.`{c}`")).alias(c)
                for c in docs.columns if c != "repeats"]
     return joined.select(*columns, repeats.alias("repeats"))
 
