@@ -17,8 +17,9 @@ more in all is a repeat.
 A minimizer with more than `hot` distinct slices (a common passage with many different surroundings) would not fit a
 task. Its strings are counted one by one instead, by a 128-bit hash with map-side sums: more rows, but no large group.
 
-Nulls: a null text is empty. Rows with a null id take no part and lose nothing. Repeated rows are copies of each
-other. Texts that occur twice or more repeat as a whole if they are long enough, and only the first takes part.
+A text is known by its doc_id and 64 bits of its hash, `tag`, so texts that share a doc_id are told apart however many
+they are. Nulls: a null text is empty. Rows with a null id take no part and lose nothing. Repeated rows are copies of
+each other. Texts that occur twice or more repeat as a whole if they are long enough. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -169,7 +170,7 @@ def _slice_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def made(frames):
         for frame in pieces(frames, 256):
             ids, parts = [], []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
+            for doc, tag, text in zip(frame["doc_id"], frame["tag"], frame["text"]):
                 raw = text.encode()
                 if len(raw) < length:
                     continue
@@ -177,41 +178,34 @@ def _slice_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 view = memoryview(raw)
                 same = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in
                         zip(first.tolist(), (first + count + length - 1).tolist())]
-                tag = np.full(len(h), _tag(raw))
                 ids.append(np.full(len(h), doc, np.int64))
-                parts.append((h.view(np.int64), np.array(same, np.uint64).view(np.int64), tag, first, count))
+                parts.append((h.view(np.int64), np.array(same, np.uint64).view(np.int64),
+                              np.full(len(h), tag, np.int64), first, count))
             if parts:
                 mini, same, tag, first, count = (np.concatenate(p) for p in zip(*parts))
-                yield pd.DataFrame({"mini": mini, "same": same, "doc_id": np.concatenate(ids), "at": first | tag,
-                                    "n": count.astype(np.int32)})
+                yield pd.DataFrame({"mini": mini, "same": same, "doc_id": np.concatenate(ids), "tag": tag,
+                                    "at": first.astype(np.int32), "n": count.astype(np.int32)})
 
-    return docs.mapInPandas(made, "mini long, same long, doc_id long, at long, n int")
+    return docs.mapInPandas(made, "mini long, same long, doc_id long, tag long, at int, n int")
 
 
-#: A position carries 15 bits of its text above it, to tell apart several texts under one doc_id.
-SHIFT = 40
-WHOLE = (1 << SHIFT) - 1
-
-
-def _tag(raw: bytes) -> int:
-    return (xxhash.xxh64_intdigest(raw, 42) & 0x7FFF) << SHIFT  # as Spark's xxhash64
+#: A position that stands for the whole text.
+WHOLE = -1
 
 
 def _with_bytes(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """mini, same, weight and the bytes of each slice, taken from the text of one document that has it."""
-    packed = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("mini", "same", "weight", "at", "n")).alias("cuts"))
+    packed = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("mini", "same", "weight", "at", "n")).alias("cuts"))
 
     def made(frames):
         for frame in pieces(frames, 256):
             out = []
             for text, cuts in zip(frame["text"], frame["cuts"]):
                 raw = text.encode()
-                tag = _tag(raw)
-                out += [(c["mini"], c["same"], c["weight"], raw[c["at"] - tag:c["at"] - tag + c["n"] + length - 1])
-                        for c in cuts if (c["at"] >> SHIFT) << SHIFT == tag]
+                out += [(c["mini"], c["same"], c["weight"], raw[c["at"]:c["at"] + c["n"] + length - 1]) for c in cuts]
             yield pd.DataFrame(out, columns=["mini", "same", "weight", "bytes"])
 
-    return docs.join(packed, "doc_id").select("text", "cuts").mapInPandas(
+    return docs.join(packed, ["doc_id", "tag"]).select("text", "cuts").mapInPandas(
         made, "mini long, same long, weight long, bytes binary")
 
 
@@ -262,17 +256,14 @@ def _count_strings(slices: DataFrame, length: int) -> DataFrame:
 
 def repeated(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int = 1 << 18,
              hot: int = 10_000) -> DataFrame:
-    """doc_id, ats: tagged first starts and numbers of starts of the repeated strings of each document that has any."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter(
+    """doc_id, tag, ats: first starts and numbers of starts of the repeated strings of each text that has any."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text").filter(
         "doc_id is not null and text is not null")
-    tag = F.shiftleft(F.xxhash64("text").bitwiseAND(0x7FFF), SHIFT)
-    keys = docs.select("doc_id", tag.alias("tag"), (F.octet_length("text") >= length).alias("long"),
+    keys = docs.select("doc_id", "tag", (F.octet_length("text") >= length).alias("long"),
                        *text_keys(F.col("text")))
     # A counted key is written before it is joined: only a join of two plain exchanges has its hot keys split.
-    many = written(keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter(
-        "copies > 1"))
-    copies = written(keys.join(many, ["k1", "k2"]).filter("long").select(
-        "doc_id", "tag", (F.col("doc_id") > F.col("first")).alias("later")).distinct())
+    many = written(keys.groupBy("k1", "k2").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    copies = written(keys.join(many, ["k1", "k2"]).filter("long").select("doc_id", "tag").distinct())
 
     rows = written(_slice_rows(docs, length, gram))
     shared = written(rows.groupBy("mini").agg(F.count("*").alias("times")).filter("times > 1").select("mini"))
@@ -280,7 +271,7 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int =
     discard(rows)
     # Of copied texts one is enough to look at, with the weight of all.
     kinds = met.groupBy("mini", "same").agg(F.sum(F.lit(1).cast("long")).alias("weight"), F.min(
-        F.struct("doc_id", "at", "n")).alias("one"))
+        F.struct("doc_id", "tag", "at", "n")).alias("one"))
     kinds = written(kinds.select("mini", "same", "weight", "one.*"))
     sizes = written(kinds.groupBy("mini").agg(F.count("*").alias("kinds")))
     sized = kinds.join(sizes, "mini")
@@ -297,11 +288,10 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int =
                          dtype=object)
 
     found = plain.unionByName(searched.select("mini", "same", in_runs("starts").alias("found")))
-    places = met.join(found, ["mini", "same"]).select("doc_id", F.explode(F.transform(
+    places = met.join(found, ["mini", "same"]).select("doc_id", "tag", F.explode(F.transform(
         "found", lambda f: F.struct((F.col("at") + f["start"]).alias("at"), f["n"].alias("n")))).alias("run"))
-    whole = copies.select("doc_id", F.struct(F.col("tag").bitwiseOR(F.lit(WHOLE)).alias("at"),
-                                             F.lit(0).alias("n")).alias("run"))
-    return places.union(whole).groupBy("doc_id").agg(F.collect_list("run").alias("ats"))
+    whole = copies.select("doc_id", "tag", F.struct(F.lit(WHOLE).alias("at"), F.lit(0).alias("n")).alias("run"))
+    return places.union(whole).groupBy("doc_id", "tag").agg(F.collect_list("run").alias("ats"))
 
 
 CUT = "bytes binary, n_removed long, spans array<struct<first:long,last:long>>"
@@ -312,7 +302,7 @@ def without_repeats(docs: DataFrame, length: int = 200, **limits) -> DataFrame:
 
     The remaining bytes need not be valid UTF-8: a removed run may end inside a character.
     """
-    marks = repeated(docs, length, **limits).select(F.col("doc_id").alias("_doc"), F.col("ats").alias("_ats"))
+    marks = repeated(docs, length, **limits)
 
     @F.pandas_udf(CUT)
     def cut(texts: pd.Series, marked: pd.Series) -> pd.DataFrame:
@@ -322,9 +312,8 @@ def without_repeats(docs: DataFrame, length: int = 200, **limits) -> DataFrame:
                 out.append((None, None, None))
                 continue
             raw = text.encode()
-            tag = _tag(raw)
-            own = sorted((a["at"] - tag, a["n"]) for a in ats if (a["at"] >> SHIFT) << SHIFT == tag)
-            if own and own[-1][0] == WHOLE:
+            own = sorted((a["at"], a["n"]) for a in ats)
+            if own[0][0] == WHOLE:
                 own = [(0, len(raw) - length + 1)]
             spans: list[list[int]] = []
             for start, n in own:
@@ -341,9 +330,10 @@ def without_repeats(docs: DataFrame, length: int = 200, **limits) -> DataFrame:
                         [{"first": a, "last": b - 1} for a, b in spans]))
         return pd.DataFrame(out, columns=["bytes", "n_removed", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = rows.join(marks, F.col("doc_id") == F.col("_doc"), "left")
-    joined = joined.withColumn("_cut", cut(F.when(F.col("_ats").isNotNull(), F.col("text")), F.col("_ats")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"),
+                       F.coalesce("text", F.lit("")).alias("text"))
+    joined = rows.join(marks, ["doc_id", "tag"], "left")
+    joined = joined.withColumn("_cut", cut(F.when(F.col("ats").isNotNull(), F.col("text")), F.col("ats")))
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")
     return joined.select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
