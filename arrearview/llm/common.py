@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -29,24 +30,47 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Scratch folders of this application that are still there, with the session that made them.
+_LEFT: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet in the shared folder and read back: lineage ends there, executors may go."""
+    """The rows, written as Parquet in the shared folder and read back: lineage ends there, executors may go.
+
+    The folder goes by `discard`, else when the application ends.
+    """
     session, path = df.sparkSession, scratch(df.sparkSession)
+    _LEFT[path] = session
     before = session.conf.get(CLEANUP, None)
     session.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         session.conf.unset(CLEANUP) if before is None else session.conf.set(CLEANUP, before)
-    return session.read.schema(df.schema).parquet(path)
+    out = session.read.schema(df.schema).parquet(path)
+    out.scratch_folder = path
+    return out
+
+
+def _delete(session: SparkSession, folder: str) -> None:
+    path = session._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by `written` that nothing reads any more."""
-    session = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = session._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+    folder = df.scratch_folder
+    if _LEFT.pop(folder, None) is not None:
+        _delete(df.sparkSession, folder)
+
+
+@atexit.register
+def discard_all() -> None:
+    """Delete what is left of the scratch folders, where their session still runs."""
+    while _LEFT:
+        folder, session = _LEFT.popitem()
+        if session.sparkContext._jsc is not None:
+            _delete(session, folder)
 
 
 def text_keys(text: Column) -> list[Column]:

@@ -15,7 +15,8 @@ its values with any `radius` bits cleared and linked to the least of the group.
 not one per pair, and it loses no link.
 
 Nulls: a null text has no shingle and the fingerprint zero, which links like any other; rows with a null id get a
-fingerprint and the component of their fingerprint, but name no component. Repeated rows come out repeated.
+fingerprint and the component of their fingerprint, but name no component. Repeated rows come out repeated. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -115,10 +116,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, segments
                     hot: int = 256) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable over links, the document's own included) of every row."""
     rows = written(fingerprints(docs, shingle))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes, radius, segments, hot))
-    named = (nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-             .select("fp", "least", F.coalesce("component", "fp").alias("component")))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+                    .select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    # Counted and written before it is joined, so that a component of any size is split by the skew join.
+    ids = written(named.groupBy("component").agg(F.min("least").alias("component_id")))
     named = written(named.join(ids, "component").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
