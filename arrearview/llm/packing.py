@@ -5,10 +5,13 @@ computes a lower bound on its bins from dual feasible functions: for a threshold
 than capacity - e as a whole bin, pieces shorter than e as nothing, and the others by their length; the bound is the
 largest over all e. A partition that meets its bound is certified and stays as it is. The others keep the bins that are
 filled to 99 % and give up the rest; these pieces are dealt anew over as many fewer partitions, and best fit decreasing
-runs again, until every partition is certified or the rounds are over. Every piece is always in exactly one bin.
+runs again, until every partition is certified, one is left, or a round gives up nearly as much as the one before. Every
+piece is always in exactly one bin. `bins_and_bound` holds the bins of a packing against the bound of all its pieces.
 
+Pieces are numbered when they are written and dealt by that number, so rows that are alike spread like any others.
 Documents are cut only when they exceed the capacity, the first piece takes the remainder. A null text is empty and
-makes one token. Rows with a null id are packed too. Repeated rows are packed as often as they occur.
+makes one token. Rows with a null id are packed too. Repeated rows are packed as often as they occur. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -74,9 +77,10 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Least number of bins that the dual feasible functions prove."""
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+def lower_bound(lengths: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """Least number of bins that the dual feasible functions prove; each length occurs once, or as often as given."""
+    count = np.zeros(capacity + 1, np.int64)
+    np.add.at(count, lengths, 1 if times is None else times)
     n, total = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
     e = np.arange(0, capacity // 2 + 1)
     below = np.where(e > 0, total[e - 1], 0)
@@ -104,27 +108,33 @@ def _pack_partition(key, frame: pd.DataFrame, capacity: int, base: int, settled:
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, partition_rows: int = 20_000, rounds: int = 3) -> DataFrame:
+def bins_and_bound(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:
+    """Bins of a packing, and the least number that its pieces need by the dual feasible functions."""
+    sizes = packed.groupBy(F.col("length").cast("int").alias("length")).agg(F.count("*").alias("n")).collect()
+    lengths, times = (np.array([r[c] for r in sizes], np.int64) for c in ("length", "n"))
+    return packed.select("sequence_id").distinct().count(), lower_bound(lengths, capacity, times)
+
+
+def pack(pieces: DataFrame, capacity: int = 2048, partition_rows: int = 20_000) -> DataFrame:
     """The pieces with sequence_id and offset. Needs the columns of PIECES."""
     spark = pieces.sparkSession
-    table = written(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"))
-    whole = table.filter(F.col("length") == capacity).select(
+    table = written(pieces.select("doc_id", "piece", "start", "length", "ids_crc32",
+                                  F.monotonically_increasing_id().alias("_deal")))
+    whole = table.filter(F.col("length") == capacity).drop("_deal").select(
         "*", (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(1 << 30))
-    rest = table.filter(F.col("length") < capacity).withColumn("_deal", spread)
-    left, done = rest.count(), [whole]
+    rest = table.filter(F.col("length") < capacity)
+    left, before, step, done = rest.count(), None, 0, [whole]
 
-    for step in range(rounds):
-        parts, last = max(1, -(-left // partition_rows)), step == rounds - 1
+    while left:
+        parts = -(-left // partition_rows)
+        last = parts == 1 or before is not None and left > 0.9 * before
         dealt = rest.withColumn("_part", F.pmod(F.xxhash64("_deal", F.lit(step)), F.lit(parts)))
         schema = f"{PIECES}, _deal long, sequence_id long, offset long, stays boolean, certified boolean"
         # The sequence ids of each round and partition have a range of their own.
         work = partial(_pack_partition, capacity=capacity, base=step << 56, settled=0 if last else 0.99 * capacity)
         out = written(dealt.groupBy("_part").applyInPandas(_grouped(work), schema))
-        left = out.filter("not stays").count()
+        before, left, step = left, out.filter("not stays").count(), step + 1
         done.append(out.filter("stays"))
-        if left == 0:
-            break
         rest = out.filter("not stays").select(*rest.columns)
 
     columns = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id",
