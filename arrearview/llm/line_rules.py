@@ -1,8 +1,8 @@
 """Quality rules: base rules on a document's words, and cross-document line frequency per host.
 
 Lines are split at newlines and normalised (lower case, white space runs to one space, trimmed); empty ones do not
-count. For each host the distinct texts that hold a line are counted, by 128 bits of the line's hash. Copies of one text
-are one document here, so a text does not condemn its own lines by being mirrored. A line is boilerplate of its host if
+count. For each host the distinct documents that hold a line are counted, by 128 bits of the line's hash. Copies of one
+text are one document here, so a text does not condemn its own lines by being mirrored; `copies` counts them each. A line is boilerplate of its host if
 more than `min_docs` texts and more than `max_share` of the host's texts hold it. Boilerplate lines are removed. A
 document is depleted, and rejected, if fewer than `min_words` words are left or more than `max_removed` of its words
 went.
@@ -12,7 +12,7 @@ at most (mean lines of its texts) / max_share boilerplate lines; they are writte
 broadcasts that table only if its size on disk allows, else it joins by host with skewed hosts split.
 
 Nulls: a null text is empty, fails the base rules and is not kept; a null host is the empty host; null ids pass through.
-Repeated rows come out repeated.
+Repeated rows come out repeated. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -67,40 +67,49 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
-def boilerplate(docs: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """host, lines: keys of the boilerplate lines of each host that has any. Reads the columns _host and _text."""
-    keys = F.array_distinct(F.transform(F.filter(F.transform(F.split("_text", "\n"), normal), lambda x: x != ""),
+def boilerplate(docs: DataFrame, min_docs: int, max_share: float, copies: bool = False) -> DataFrame:
+    """host, common: keys of the boilerplate lines of each host that has any. Reads the columns host and text.
+
+    A text counts once per host, or, with `copies`, as often as it stands there.
+    """
+    keys = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), normal), lambda x: x != ""),
                                         line_key))
-    texts = docs.select("_host", *text_keys(F.col("_text")), keys.alias("lines"))
-    held = texts.select("_host", "k1", "k2", F.explode("lines").alias("line")).distinct()
-    times = held.groupBy("_host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
-    sizes = texts.select("_host", "k1", "k2").distinct().groupBy("_host").agg(F.count("*").alias("texts"))
-    common = times.join(sizes, "_host").filter(F.col("n") > max_share * F.col("texts"))
-    return common.groupBy("_host").agg(F.collect_list("line").alias("_lines"))
+    texts = docs.select("host", *text_keys(F.col("text")), keys.alias("lines"))
+    held, all_texts = texts.select("host", "k1", "k2", F.explode("lines").alias("line")), texts.select("host", "k1", "k2")
+    if not copies:
+        held, all_texts = held.distinct(), all_texts.distinct()
+    times = held.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
+    sizes = all_texts.groupBy("host").agg(F.count("*").alias("texts"))
+    common = times.join(sizes, "host").filter(F.col("n") > max_share * F.col("texts"))
+    return common.groupBy("host").agg(F.collect_list("line").alias("common"))
 
 
 def with_rules(docs: DataFrame, host: str = "source", min_docs: int = 5, max_share: float = 0.05, min_words: int = 20,
-               max_removed: float = 0.5) -> DataFrame:
+               max_removed: float = 0.5, copies: bool = False) -> DataFrame:
     """All rows and columns, and the struct `rules`: the base numbers, base_failed, n_lines_removed,
     n_words_removed, left (the text without boilerplate lines) and kept. An input column of that name is replaced."""
-    own = docs.drop("rules").withColumns({
-        "_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_text": F.coalesce("text", F.lit(""))})
-    lines = written(boilerplate(own.select("_host", "_text"), min_docs, max_share))
-    rows = own.join(lines, "_host", "left")
-    is_common = lambda x: F.array_contains("_lines", line_key(normal(x)))
-    split = F.split("_text", "\n")
-    rows = rows.withColumn("_gone", F.when(F.col("_lines").isNotNull(), F.filter(split, is_common)))
-    hit = F.size("_gone") > 0
-    gone = F.array_join("_gone", "\n")
-    rows = rows.withColumns({
-        "_base": F.pandas_udf(base, BASE)("_text"),
-        "_cut": F.when(hit, F.size(F.filter(F.split(gone, SPACE), lambda w: w != ""))).otherwise(0).cast("long"),
-        "_left": F.when(hit, F.array_join(F.filter(split, lambda x: ~is_common(x)), "\n")).otherwise(F.col("_text"))})
-    n = F.col("_base.n_words")
-    failed = (n < min_words) | (100 * F.col("_base.n_repeat_words") > 30 * n)
-    depleted = (n - F.col("_cut") < min_words) | (F.col("_cut") > max_removed * n)
-    rules = F.struct("_base.*", failed.alias("base_failed"),
-                     F.when(hit, F.size("_gone")).otherwise(0).alias("n_lines_removed"),
-                     F.col("_cut").alias("n_words_removed"), F.col("_left").alias("left"),
-                     (~failed & ~depleted).alias("kept"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != "rules"], rules.alias("rules"))
+    # The input row is one struct on the way, so that none of its columns meets a name used here.
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+                      F.coalesce(docs[f"`{host}`"].cast("string"), F.lit("")).alias("host"))
+    text = F.coalesce("row.text", F.lit(""))
+    lines = written(boilerplate(own.select("host", text.alias("text")), min_docs, max_share, copies))
+    rows = own.join(lines, "host", "left")
+    # What a text shares with its host's lines is looked up by hash; its own lines are then held against that alone.
+    keys = F.transform(F.split(text, "\n"), lambda x: line_key(normal(x)))
+    rows = rows.select("row", F.when(F.col("common").isNotNull(), F.array_intersect(keys, "common")).alias("met"))
+    is_common = lambda x: F.array_contains("met", line_key(normal(x)))
+    hit = F.size("met") > 0
+    rows = rows.select("row", "met", F.when(hit, F.filter(F.split(text, "\n"), is_common)).alias("gone"))
+    gone = F.array_join("gone", "\n")
+    rows = rows.select(
+        "row", F.pandas_udf(base, BASE)(text).alias("base"),
+        F.when(hit, F.size("gone")).otherwise(0).alias("lines"),
+        F.when(hit, F.size(F.filter(F.split(gone, SPACE), lambda w: w != ""))).otherwise(0).cast("long").alias("cut"),
+        F.when(hit, F.array_join(F.filter(F.split(text, "\n"), lambda x: ~is_common(x)), "\n")).otherwise(text)
+        .alias("left"))
+    n, cut = F.col("base.n_words"), F.col("cut")
+    failed = (n < min_words) | (100 * F.col("base.n_repeat_words") > 30 * n)
+    depleted = (n - cut < min_words) | (cut > max_removed * n)
+    rules = F.struct("base.*", failed.alias("base_failed"), F.col("lines").alias("n_lines_removed"),
+                     cut.alias("n_words_removed"), "left", (~failed & ~depleted).alias("kept"))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "rules"], rules.alias("rules"))
