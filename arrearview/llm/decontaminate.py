@@ -1,8 +1,10 @@
 """Benchmark decontamination with SimHash windows, multi-index Hamming blocks and exact verification.
 
 Texts are compared as lower-case words of letters and digits. A window of a document is as long as a benchmark item.
-Windows are laid where a document shares a five-word shingle with an item, aligned with that item; a window that shares
-no shingle with any item has similarity zero. Each distinct window gets a 64-bit SimHash over its shingles, weighted by
+Windows are laid where a document shares a five-word shingle with an item: aligned with that item, and at every place up
+to a fifth of the item away from that. A window that shares no shingle with any item has similarity zero; in one of 0.8
+or more, a shared shingle is out of line by at most the words put in or left out before it, which are about a ninth of the
+item at most (each leaves a shingle unmatched on either side), so all such windows are laid. Each distinct window gets a 64-bit SimHash over its shingles, weighted by
 their characters times their number. The fingerprints are cut into radius + 1 blocks: two within the radius agree in at
 least one block whole, so joining on (item size, block, value) finds all of them. The pairs are then checked by their
 Hamming distance, and last by the exact weighted similarity: the sum over shingles of the smaller weight over the sum
@@ -13,7 +15,7 @@ functions are used. The item tables are read back from files, so Spark broadcast
 
 Items and documents of fewer than five words have no shingle and match nothing. Null texts are empty. A null doc_id
 comes out as null; rows that share a doc_id are reported together, the best window of each item. Repeated rows do not
-repeat the result.
+repeat the result. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -75,9 +77,12 @@ def windows(docs: DataFrame, seeds: DataFrame, size: int) -> DataFrame:
                        words(F.col("text")).alias("words"))
     rows = rows.select("*", F.posexplode(shingle_hashes(F.col("words"), size)).alias("pos", "h"))
     hits = rows.join(seeds, "h")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("q"), F.size("words") - F.col("n")))
-    return hits.select("doc_id", "k1", "k2", start.alias("start"), "n",
-                       F.slice("words", start + 1, F.col("n")).alias("window")).distinct()
+    last = F.greatest(F.lit(0), F.size("words") - F.col("n"))
+    inside = lambda at: F.greatest(F.lit(0), F.least(at, last))
+    line, away = F.col("pos") - F.col("q"), F.ceil(F.col("n") / 5).cast("int")
+    around = F.explode(F.sequence(inside(line - away), inside(line + away)))
+    return hits.select("doc_id", "k1", "k2", "n", "words", around.alias("start")).select(
+        "doc_id", "k1", "k2", "start", "n", F.slice("words", F.col("start") + 1, F.col("n")).alias("window")).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, radius: int = 19,
@@ -111,7 +116,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, radius: int = 19
 
 def clean(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """The rows, with all their columns, that hold no benchmark item."""
-    dirty = written(leaks(docs, benchmark, **limits).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-                    .distinct())
-    k1, k2 = text_keys(F.col("text"))
-    return docs.join(dirty, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
+    dirty = written(leaks(docs, benchmark, **limits).select("k1", "k2").distinct())
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *text_keys(F.col("text")))
+    return rows.join(dirty, ["k1", "k2"], "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
