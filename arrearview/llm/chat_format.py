@@ -127,20 +127,23 @@ def _wide(record: Column, mappings: tuple[Mapping, ...]) -> Column:
 
 def formatted(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """All columns but `record`, and layout (fingerprint), turns, formatted and loss_mask (start, length)."""
-    rows = records.withColumn("_v", F.try_parse_json(F.col(record)))
-    rows = rows.withColumn("_print", fingerprint(F.col("_v")))
+    # The input row is one struct on the way, so that none of its columns meets a name used here.
+    rows = records.select(F.struct(*[records[f"`{c}`"] for c in records.columns]).alias("row"))
+    given = F.col(f"row.`{record}`")
+    rows = rows.withColumn("v", F.try_parse_json(given))
+    rows = rows.withColumn("print", fingerprint(F.col("v")))
     turns = F.lit(None).cast(TURNS)
     for m in mappings:
-        turns = F.when(F.col("_print") == F.xxhash64(F.lit(m.paths)), _turns(m, F.col("_v"))).otherwise(turns)
-    long = F.col("_v").isNull() & (F.char_length(record) > LONG)
-    rows = rows.withColumn("_wide", F.when(long, _wide(F.col(record), mappings)))
-    rows = rows.withColumns({"_turns": F.when(long, F.col("_wide.turns")).otherwise(turns),
-                             "_print": F.when(long, F.col("_wide.print")).otherwise(F.col("_print"))})
-    escaped = F.transform("_turns", lambda t: F.struct(
+        turns = F.when(F.col("print") == F.xxhash64(F.lit(m.paths)), _turns(m, F.col("v"))).otherwise(turns)
+    long = F.col("v").isNull() & (F.char_length(given) > LONG)
+    rows = rows.withColumn("wide", F.when(long, _wide(given, mappings)))
+    rows = rows.withColumns({"turns": F.when(long, F.col("wide.turns")).otherwise(turns),
+                             "print": F.when(long, F.col("wide.print")).otherwise(F.col("print"))})
+    escaped = F.transform("turns", lambda t: F.struct(
         (t["role"] == "assistant").alias("learn"), F.concat(F.lit(OPEN), escape(t["role"]), F.lit(CLOSE)).alias("head"),
         escape(t["text"]).alias("body")))
-    rows = rows.withColumn("_parts", escaped)
-    text = F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
+    rows = rows.withColumn("parts", escaped)
+    text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
     def step(done: Column, p: Column) -> Column:
@@ -149,9 +152,10 @@ def formatted(records: DataFrame, record: str = "record", mappings: tuple[Mappin
         return F.struct((at + size + len(END)).alias("at"),
                         F.when(p["learn"], F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
 
-    mask = F.aggregate("_parts", start, step, lambda done: done["spans"])
-    own = [F.col(f"`{c}`") for c in records.columns if c not in (record, "layout", "turns", "formatted", "loss_mask")]
-    return rows.select(*own, F.col("_print").alias("layout"), F.col("_turns").alias("turns"),
+    mask = F.aggregate("parts", start, step, lambda done: done["spans"])
+    own = [F.col(f"row.`{c}`").alias(c) for c in records.columns
+           if c not in (record, "layout", "turns", "formatted", "loss_mask")]
+    return rows.select(*own, F.col("print").alias("layout"), "turns",
                        text.alias("formatted"), mask.alias("loss_mask"))
 
 
