@@ -1,13 +1,13 @@
 """Language identification of words, spans and documents.
 
 Model: for each language the frequencies of letter trigrams (hashed to 2^15 buckets, word edges included) and of
-scripts, summed over all learning documents by map-side vectors. It holds at most `max_languages` languages (those with
-most letters), so what is collected and broadcast is bounded, 128 KB a language.
+scripts, summed over all learning documents by map-side vectors. It holds every language that these name; what is
+collected and broadcast is 128 KB a language, however many documents there are.
 
 Prediction: the script of a word, by code point ranges, narrows its languages to those that wrote it in at least one of
 a thousand letters. A word's score in a language is the sum of its trigrams' log probabilities. Viterbi over the words
 of a text, with a penalty for each switch, gives the best sequence of languages; it runs over all texts of a batch in
-step. Equal neighbours form spans. The document's language is the one with most letters, the score its share of them.
+step, and long texts are scored in stretches. Equal neighbours form spans. The document's language is the one with most letters, the score its share of them.
 
 Nulls and texts without a letter are `und`, score 0, no spans; so is everything if nothing could be learned. A null id
 comes out as it is. Repeated rows come out repeated.
@@ -66,8 +66,8 @@ def read_letters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at - 1, (mixed >> np.uint64(49)).astype(np.int64), small[at - 1] == 0
 
 
-def learned(docs: DataFrame, max_languages: int) -> tuple[list[str], np.ndarray]:
-    """Languages and their counts by slot. Reads text and lang."""
+def learned(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All languages that the rows name, and their counts by slot. Reads text and lang."""
     def count(frames):
         _, script = tables()
         sums: dict[str, np.ndarray] = {}
@@ -84,8 +84,7 @@ def learned(docs: DataFrame, max_languages: int) -> tuple[list[str], np.ndarray]
     per_task = docs.select("text", "lang").mapInPandas(count, "lang string, counts array<long>")
     cells = (per_task.select("lang", F.posexplode("counts").alias("slot", "n")).filter("n > 0")
              .groupBy("lang", "slot").agg(F.sum("n").alias("n")))
-    top = cells.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(max_languages)
-    found = cells.join(F.broadcast(top.select("lang")), "lang").toPandas()
+    found = cells.toPandas()
     languages = sorted(found["lang"].unique())
     counts = np.zeros((len(languages), SLOTS))
     counts[np.searchsorted(languages, found["lang"]), found["slot"]] = found["n"]
@@ -128,6 +127,17 @@ class Labeller:
         allowed[:, ~allowed.any(axis=0)] = True  # a script that nothing was learned in narrows nothing
         self.outside = np.where(allowed.T, 0, -1e6).astype(np.float32)
 
+    def words(self, bucket: np.ndarray, first: np.ndarray, letters: int = 1 << 20) -> np.ndarray:
+        """Scores of the words that begin at `first`, about a million letters at once."""
+        ends = np.r_[first[1:], len(bucket)]
+        out, a = np.empty((len(first), self.log.shape[1]), np.float32), 0
+        while a < len(first):
+            b = max(a + 1, int(np.searchsorted(ends, first[a] + letters, "right")))
+            part = self.log[bucket[first[a]:ends[b - 1]]]
+            out[a:b] = np.add.reduceat(part, first[a:b] - first[a])
+            a = b
+        return out
+
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
         _, script = tables()
         scores, sizes, firsts, lasts = [], [], [], []
@@ -137,7 +147,7 @@ class Labeller:
             sizes.append(len(first))
             if len(first):
                 points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                scores.append(np.add.reduceat(self.log[bucket], first) + self.outside[script[points[at[first]]]])
+                scores.append(self.words(bucket, first) + self.outside[script[points[at[first]]]])
                 firsts.append(at[first])
                 lasts.append(at[np.r_[first[1:], len(at)] - 1] + 1)
         sizes = np.array(sizes, np.int64)
@@ -162,12 +172,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def language_of(docs: DataFrame, penalty: float = 12.0, max_languages: int = 256) -> DataFrame:
+def language_of(docs: DataFrame, penalty: float = 12.0) -> DataFrame:
     """doc_id, held_out, lang_pred, score, spans (lang, start and end in code points) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     known = rows.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()
                         & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    model = docs.sparkSession.sparkContext.broadcast(learned(known, max_languages))
+    model = docs.sparkSession.sparkContext.broadcast(learned(known))
 
     def predict(frames):
         labeller = Labeller(*model.value, penalty)
