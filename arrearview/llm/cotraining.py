@@ -14,7 +14,8 @@ all that is collected; both are bounded. With labels of one kind only, or none,
 (one half without any).
 
 Nulls: a null text is empty, null metadata is a value of its own, a null id is scored but never labelled. Conflicting
-labels of one document count as bad. Repeated rows come out repeated and count repeatedly.
+labels of one document count as bad. Repeated rows come out repeated; of the rows of a labelled document the first by
+text, source and language starts and calibrates, and all count in the rounds. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,8 +115,11 @@ def label_sample(labels: DataFrame, max_labels: int) -> DataFrame:
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     each = labels.filter(F.col("doc_id").isNotNull() & good.isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id"))
     order = F.xxhash64(F.lit(5), F.col("_id"))
-    return (each.agg(F.min(good.cast("int")).alias("_good")).orderBy(order, "_id").limit(max_labels)
-            .withColumn("_fold", F.pmod(order, F.lit(5)).cast("int")))
+    every = written(each.agg(F.min(good.cast("int")).alias("_good")))
+    share = max_labels / max(1, every.count())
+    if share < 0.5:  # the least hashes, and some to spare, come from the lowest part of their range
+        every = every.filter(order < F.lit(int(min(1.5 * share * 2.0 ** 64 - 2.0 ** 63, 2.0 ** 63 - 1024))))
+    return every.orderBy(order, "_id").limit(max_labels).withColumn("_fold", F.pmod(order, F.lit(5)).cast("int"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.95,
@@ -126,8 +130,10 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or("text").alias("text"),
                        text_or("source").alias("source"), text_or("lang").alias("lang"))
     sample = written(label_sample(labels, max_labels))
-    # At most max_labels rows: small whatever the tables hold.
-    known = written(rows.join(F.broadcast(sample), rows["doc_id"] == sample["_id"]).drop("_id"))
+    # At most max_labels rows, one for each labelled document: small whatever the tables hold.
+    one = F.min(F.struct("text", "source", "lang")).alias("one")
+    known = written(rows.join(F.broadcast(sample), rows["doc_id"] == sample["_id"]).groupBy("_id", "_good", "_fold")
+                    .agg(one).select("_good", "_fold", "one.*"))
     rows = rows.join(F.broadcast(sample), rows["doc_id"] == sample["_id"], "left").drop("_id")
     kinds = [r[0] for r in sample.select("_good").distinct().collect()]
     if len(kinds) < 2:
