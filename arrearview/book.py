@@ -84,7 +84,8 @@ class LoanBook:
 
     @cached_property
     def funnel_by_channel(self) -> DataFrame:
-        return self.store.keep("mart", "funnel_by_channel", marts.funnel_by_channel(self.application_amounts))
+        funnel = marts.funnel_by_channel(self.application_amounts, self.store.step("core"))
+        return self.store.keep("mart", "funnel_by_channel", funnel)
 
     @cached_property
     def fpd_by_segment(self) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ def application_amounts(application: DataFrame, d: Definitions) -> DataFrame:
         F.count("*").alias("n"), money_sum(F.when(approved, F.col("credit_amount"))).alias("credit_total"))
 
 
-def funnel_by_channel(amounts: DataFrame) -> DataFrame:
-    """Counts, sums and medians, all from the histogram of `application_amounts`."""
+def funnel_by_channel(amounts: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Counts, sums and medians, all from the histogram of `application_amounts`; `keep` as for `grouped_median`."""
     def having(status: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n"))), F.lit(0).cast("long"))
 
@@ -45,7 +47,7 @@ def funnel_by_channel(amounts: DataFrame) -> DataFrame:
         exact_sum(F.col("credit_total")).alias("credit_amount_approved_total"),
     )
     medians = grouped_median(amounts.where("status = 'Approved'"), FUNNEL_KEYS, "credit_amount",
-                             "credit_amount_approved_median", F.col("n"))
+                             "credit_amount_approved_median", F.col("n"), keep)
     offered = F.col("n_approved") + F.col("n_unused_offer")
     decided = offered + F.col("n_refused")
     return counts.join(medians, FUNNEL_KEYS, "left").select(

@@ -17,6 +17,7 @@ import json
 import re
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,6 +99,9 @@ class LazyStore:
     def fit(self, *panels: DataFrame) -> None:
         """Nothing is written, so nothing needs sizing."""
 
+    def step(self, layer: str) -> None:
+        """Nothing is written in between, either."""
+
     def keep(self, layer: str, name: str, df: DataFrame, by_contract: bool = False, by: str | None = None) -> DataFrame:
         return df
 
@@ -221,6 +225,10 @@ class TableStore:
         made["schema"] = json.loads(out.schema.json())
         return out
 
+    def step(self, layer: str) -> Callable[[DataFrame, str], DataFrame] | None:
+        """How a plan writes what it needs to look at before it goes on; none in a published build, which is only read."""
+        return None if self.published is not None else lambda df, name: self.keep(layer, name, df)
+
     def rows(self) -> list[tuple[str, str, int]]:
         """Layer, table and rows of what this build holds, counted from the tables."""
         entries = self.published["tables"] if self.published is not None else self.made.values()

@@ -1,10 +1,12 @@
 """A third of all rows on one key: same results as a plain count."""
 
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
 from arrearview.book import LoanBook
+from arrearview.functions.aggregates import grouped_median
 from arrearview.params import Definitions
 from arrearview.plans import marts
 from arrearview.sources.raw import RAW_TABLES, schema
@@ -66,3 +68,23 @@ def test_hot_segment_in_the_funnel(spark):
     assert cell["n_applications"] == 10000
     assert cell["credit_amount_approved_median"] == (amounts[4999] + amounts[5000]) / 2
     assert cell["credit_amount_approved_total"] == sum(amounts)
+
+
+def test_median_of_values_that_lie_close(spark):
+    """Two million values in one bin, split until what a task orders is small."""
+    n, seen = 2_000_000, []
+
+    def keep(df, name):
+        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/median-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = spark.read.parquet(path)
+        seen.append((name, out))
+        return out
+
+    rows = spark.range(n).select(F.lit("g").alias("k"), (1 + F.col("id") * 2.0 ** -40).alias("x"))
+    rows = rows.unionByName(spark.createDataFrame([("h", 1.0), ("h", 4.0), ("i", -2.0)], "k string, x double"))
+    found = grouped_median(rows, ["k"], "x", "m", keep=keep, fits=5_000).collect()
+    assert {r["k"]: r["m"] for r in found} == {"g": 1 + (n - 1) / 2 * 2.0 ** -40, "h": 2.5, "i": -2.0}
+    bins = [df for name, df in seen if "bins" in name]
+    assert bins[0].agg(F.max("_values")).first()[0] == n and bins[-1].agg(F.max("_values")).first()[0] <= 5_000
+    assert len(bins) == 2 + (n // 1023 > 5_000)
