@@ -220,18 +220,17 @@ def _search(slices: DataFrame, length: int, block: int) -> DataFrame:
             return pd.DataFrame({"mini": rows["mini"].to_numpy()[some], "same": rows["same"].to_numpy()[some],
                                  "starts": starts})
 
-        held, size = [], 0
+        rows = None
         for frame in frames:
-            held.append(frame)
-            size += int(frame["bytes"].str.len().sum())
-            if size >= block:
-                rows = pd.concat(held, ignore_index=True)
-                ends = rows["mini"] == rows["mini"].iloc[-1]  # its other slices may still come
-                if not ends.all():
-                    yield done(rows[~ends])
-                    held, size = [rows[ends]], int(rows.loc[ends, "bytes"].str.len().sum())
-        if held:
-            yield done(pd.concat(held, ignore_index=True))
+            rows = frame if rows is None else pd.concat([rows, frame], ignore_index=True)
+            mini, size, at = rows["mini"].to_numpy(), np.cumsum(rows["bytes"].str.len().to_numpy()), 0
+            for end in (np.flatnonzero(mini[1:] != mini[:-1]) + 1).tolist():
+                if size[end - 1] - (size[at - 1] if at else 0) >= block:
+                    yield done(rows.iloc[at:end])
+                    at = end
+            rows = rows.iloc[at:]  # other slices of the last minimizer may still come
+        if rows is not None and len(rows):
+            yield done(rows)
 
     dealt = slices.repartition("mini").sortWithinPartitions("mini")
     return dealt.mapInPandas(made, "mini long, same long, starts array<int>")
