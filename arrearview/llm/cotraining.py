@@ -1,10 +1,12 @@
 """Quality classifier by co-training of a text view and a page-metadata view.
 
-Text view: hashed words, a mark for words with symbols and one for repeated lines. Metadata view: source, language and
-length class, and their pairs. Each view is a naive Bayes model; its training is a sum of count vectors, so every round
+Text view: hashed words, a mark for words with symbols and one for repeated lines. Metadata view: source, language,
+length class and their pairs, lines and their mean length, and the shares of kinds of characters, which say what a page
+looks like and not what it says. Each view is a naive Bayes model; its training is a sum of count vectors, so every round
 is one map over all documents that scores with both models and adds up the counts of the next ones. A document that one
-view is sure about is given, with that view's label, to the training set of the other view. After each round both views
-are calibrated by logistic regression on labelled rows kept out of training; the last step combines the calibrated
+view is sure about is given, with that view's label, to the training set of the other view; all pseudo-labels of a class
+together count at most `weight` (a fifth) of what its labels do, so that the many cases that one view finds easy do not drown the few that
+only the other can see. After each round both views are calibrated by logistic regression on labelled rows kept out of training; the last step combines the calibrated
 views in the same way and scores all documents.
 
 A document is good if it is labelled of quality and not toxic; a toxic one is bad whether or not its quality is known,
@@ -15,7 +17,7 @@ all that is collected; both are bounded. With labels of one kind only, or none,
 
 Nulls: a null text is empty, null metadata is a value of its own, a null id is scored but never labelled. Conflicting
 labels of one document count as bad. Repeated rows come out repeated; of the rows of a labelled document the first by
-text, source and language starts and calibrates, and all count in the rounds. An empty table gives no rows.
+text, source and language is learned from or calibrates. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from arrearview.llm.common import written
 
 TEXT, META = 1 << 14, 1 << 12
 SYMBOLS = set(b"#*$%&|<>")
+#: Kinds of characters whose share of a text is metadata: symbols, capitals, digits, stops, link parts.
+KINDS = (("y", b"#*$%&|<>"), ("u", bytes(range(65, 91))), ("d", b"0123456789"), ("p", b".,;:!?"), ("k", b"/=@_"))
 RESULT = "doc_id long, score double, text_score double, meta_score double, good boolean"
 
 
@@ -52,8 +56,13 @@ def text_features(text: str, buckets: Buckets) -> np.ndarray:
     return np.r_[np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), np.ones(again, np.int64)]
 
 
-def meta_features(source: str, lang: str, length: int) -> np.ndarray:
-    own = (f"s{source}", f"l{lang}", f"n{length.bit_length()}", f"s{source} l{lang}", f"l{lang} n{length.bit_length()}")
+def meta_features(source: str, lang: str, text: str) -> np.ndarray:
+    raw, lines = text.encode(), text.count("\n") + 1
+    size = max(1, len(raw))
+    kinds = [f"{name}{(1000 * (len(raw) - len(raw.translate(None, chars))) // size).bit_length()}" for name, chars in KINDS]
+    n, per_line = len(text).bit_length(), (len(text) // lines).bit_length()
+    own = (f"s{source}", f"l{lang}", f"n{n}", f"s{source} l{lang}", f"l{lang} n{n}", f"b{lines.bit_length()}",
+           f"w{per_line}", *kinds, " ".join(kinds))
     return np.array([xxhash.xxh64_intdigest(x.encode()) % META for x in own], np.int64)
 
 
@@ -90,7 +99,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def _views(frame: pd.DataFrame, buckets: Buckets):
     for text, source, lang in zip(frame["text"], frame["source"], frame["lang"]):
-        yield text_features(text, buckets), meta_features(source, lang, len(text))
+        yield text_features(text, buckets), meta_features(source, lang, text)
 
 
 def _summed(rows: DataFrame, work) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +119,11 @@ def _vectors(sums: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame([(v, g, sums[v][g]) for v in (0, 1) for g in (0, 1)], columns=["view", "good", "counts"])
 
 
+def _weight(base: np.ndarray, given: np.ndarray, share: float) -> np.ndarray:
+    """How much pseudo-labels of each class count: together at most a share of what the class's labelled rows do."""
+    return np.minimum(1, share * base.sum(axis=1, keepdims=True) / np.maximum(1, given.sum(axis=1, keepdims=True)))
+
+
 def label_sample(labels: DataFrame, max_labels: int) -> DataFrame:
     """_id, _good, _fold of at most `max_labels` labelled documents; fold 0 calibrates."""
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
@@ -123,7 +137,7 @@ def label_sample(labels: DataFrame, max_labels: int) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.95,
-           max_labels: int = 20_000) -> DataFrame:
+           weight: float = 0.2, max_labels: int = 20_000) -> DataFrame:
     """doc_id, score (calibrated probability of a good document), the views' scores, good (score of one half or more)."""
     spark: SparkSession = docs.sparkSession
     text_or = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -166,26 +180,23 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.
             m.curve = logistic(x[:, 3 * view:3 * view + 3], y)
         return models, logistic(np.c_[models[0].logit(x[:, :3]), models[1].logit(x[:, 3:])], y)
 
-    models, both = calibrated(_summed(known.filter("_fold > 0"), by_label))
+    base = _summed(known.filter("_fold > 0"), by_label)
+    models, both = calibrated(base)
     for _ in range(rounds):
         edge = np.log(sure / (1 - sure))
 
         def exchange(frames, models=models, edge=edge):
             buckets, sums = Buckets(), (np.zeros((2, TEXT), np.int64), np.zeros((2, META), np.int64))
             for frame in frames:
-                for good, fold, views in zip(frame["_good"], frame["_fold"], _views(frame, buckets)):
-                    if good == good and good is not None:  # labelled; those of fold 0 only calibrate
-                        labels_of = (None, None) if fold == 0 else (int(good), int(good))
-                    else:
-                        said = [float(m.logit(np.array(m.raw(v)))) for m, v in zip(models, views)]
-                        label = [int(s > 0) if abs(s) >= edge else None for s in said]
-                        labels_of = label[1], label[0]  # each view learns from the other
-                    for view, label in enumerate(labels_of):
-                        if label is not None:
-                            sums[view][label] += np.bincount(views[view], minlength=sums[view].shape[1])
+                for views in _views(frame, buckets):
+                    said = [float(m.logit(np.array(m.raw(v)))) for m, v in zip(models, views)]
+                    for view, s in enumerate(reversed(said)):  # each view learns from the other
+                        if abs(s) >= edge:
+                            sums[view][int(s > 0)] += np.bincount(views[view], minlength=sums[view].shape[1])
             yield _vectors(sums)
 
-        models, both = calibrated(_summed(rows, exchange))
+        given = _summed(rows.filter("_good is null"), exchange)
+        models, both = calibrated([b + g * _weight(b, g, weight) for b, g in zip(base, given)])
 
     def score(frames):
         buckets = Buckets()
