@@ -68,7 +68,8 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, min_docs: int, max_share: float, copies: bool = False) -> DataFrame:
-    """host, common: keys of the boilerplate lines of each host that has any. Reads the columns host and text.
+    """host, common, firsts: keys of the boilerplate lines of each host that has any, and their first halves. Reads the
+    columns host and text.
 
     A text counts once per host, or, with `copies`, as often as it stands there.
     """
@@ -81,7 +82,7 @@ def boilerplate(docs: DataFrame, min_docs: int, max_share: float, copies: bool =
     times = held.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     sizes = all_texts.groupBy("host").agg(F.count("*").alias("texts"))
     common = times.join(sizes, "host").filter(F.col("n") > max_share * F.col("texts"))
-    return common.groupBy("host").agg(F.collect_list("line").alias("common"))
+    return common.groupBy("host").agg(F.collect_list("line").alias("common"), F.collect_list("line.h1").alias("firsts"))
 
 
 def with_rules(docs: DataFrame, host: str = "source", min_docs: int = 5, max_share: float = 0.05, min_words: int = 20,
@@ -94,12 +95,14 @@ def with_rules(docs: DataFrame, host: str = "source", min_docs: int = 5, max_sha
     text = F.coalesce("row.text", F.lit(""))
     lines = written(boilerplate(own.select("host", text.alias("text")), min_docs, max_share, copies))
     rows = own.join(lines, "host", "left")
-    # What a text shares with its host's lines is looked up by hash; its own lines are then held against that alone.
-    keys = F.transform(F.split(text, "\n"), lambda x: line_key(normal(x)))
-    rows = rows.select("row", F.when(F.col("common").isNotNull(), F.array_intersect(keys, "common")).alias("met"))
-    is_common = lambda x: F.array_contains("met", line_key(normal(x)))
-    hit = F.size("met") > 0
-    rows = rows.select("row", "met", F.when(hit, F.filter(F.split(text, "\n"), is_common)).alias("gone"))
+    # What a text shares with its host's lines is looked up in a hash set of longs; only lines that are in it are held
+    # against the whole keys.
+    firsts = F.transform(F.split(text, "\n"), lambda x: F.xxhash64(normal(x)))
+    rows = rows.withColumn("met", F.when(F.col("firsts").isNotNull(), F.array_intersect(firsts, "firsts")))
+    is_common = lambda x: (F.array_contains("met", F.xxhash64(normal(x)))
+                           & F.array_contains("common", line_key(normal(x))))
+    rows = rows.withColumn("gone", F.when(F.size("met") > 0, F.filter(F.split(text, "\n"), is_common)))
+    hit = F.size("gone") > 0
     gone = F.array_join("gone", "\n")
     rows = rows.select(
         "row", F.pandas_udf(base, BASE)(text).alias("base"),
