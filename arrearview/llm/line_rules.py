@@ -12,11 +12,13 @@ at most (mean lines of its texts) / max_share boilerplate lines; they are writte
 broadcasts that table only if its size on disk allows, else it joins by host with skewed hosts split.
 
 Nulls: a null text is empty, fails the base rules and is not kept; a null host is the empty host; null ids pass through.
-Repeated rows come out repeated. An empty table gives no rows.
+Repeated rows come out repeated. An empty table gives no rows. Columns made on the way have names of their own in each call.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,51 +70,47 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, min_docs: int, max_share: float, copies: bool = False) -> DataFrame:
-    """host, common, firsts: keys of the boilerplate lines of each host that has any, and their first halves. Reads the
-    columns host and text.
+    """host, lines: keys of the boilerplate lines of each host that has any. Reads the columns host and text.
 
     A text counts once per host, or, with `copies`, as often as it stands there.
     """
     keys = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), normal), lambda x: x != ""),
                                         line_key))
     texts = docs.select("host", *text_keys(F.col("text")), keys.alias("lines"))
-    held, all_texts = texts.select("host", "k1", "k2", F.explode("lines").alias("line")), texts.select("host", "k1", "k2")
+    held, every = texts.select("host", "k1", "k2", F.explode("lines").alias("line")), texts.select("host", "k1", "k2")
     if not copies:
-        held, all_texts = held.distinct(), all_texts.distinct()
+        held, every = held.distinct(), every.distinct()
     times = held.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
-    sizes = all_texts.groupBy("host").agg(F.count("*").alias("texts"))
+    sizes = every.groupBy("host").agg(F.count("*").alias("texts"))
     common = times.join(sizes, "host").filter(F.col("n") > max_share * F.col("texts"))
-    return common.groupBy("host").agg(F.collect_list("line").alias("common"), F.collect_list("line.h1").alias("firsts"))
+    return common.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
 def with_rules(docs: DataFrame, host: str = "source", min_docs: int = 5, max_share: float = 0.05, min_words: int = 20,
                max_removed: float = 0.5, copies: bool = False) -> DataFrame:
     """All rows and columns, and the struct `rules`: the base numbers, base_failed, n_lines_removed,
     n_words_removed, left (the text without boilerplate lines) and kept. An input column of that name is replaced."""
-    # The input row is one struct on the way, so that none of its columns meets a name used here.
-    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
-                      F.coalesce(docs[f"`{host}`"].cast("string"), F.lit("")).alias("host"))
-    text = F.coalesce("row.text", F.lit(""))
-    lines = written(boilerplate(own.select("host", text.alias("text")), min_docs, max_share, copies))
-    rows = own.join(lines, "host", "left")
-    # What a text shares with its host's lines is looked up in a hash set of longs; only lines that are in it are held
-    # against the whole keys.
-    firsts = F.transform(F.split(text, "\n"), lambda x: F.xxhash64(normal(x)))
-    rows = rows.withColumn("met", F.when(F.col("firsts").isNotNull(), F.array_intersect(firsts, "firsts")))
-    is_common = lambda x: (F.array_contains("met", F.xxhash64(normal(x)))
-                           & F.array_contains("common", line_key(normal(x))))
-    rows = rows.withColumn("gone", F.when(F.size("met") > 0, F.filter(F.split(text, "\n"), is_common)))
-    hit = F.size("gone") > 0
-    gone = F.array_join("gone", "\n")
-    rows = rows.select(
-        "row", F.pandas_udf(base, BASE)(text).alias("base"),
-        F.when(hit, F.size("gone")).otherwise(0).alias("lines"),
-        F.when(hit, F.size(F.filter(F.split(gone, SPACE), lambda w: w != ""))).otherwise(0).cast("long").alias("cut"),
-        F.when(hit, F.array_join(F.filter(F.split(text, "\n"), lambda x: ~is_common(x)), "\n")).otherwise(text)
-        .alias("left"))
-    n, cut = F.col("base.n_words"), F.col("cut")
-    failed = (n < min_words) | (100 * F.col("base.n_repeat_words") > 30 * n)
+    own = uuid.uuid4().hex[:12]
+    host_, text_, lines_, gone_, base_, cut_, left_ = (f"{n}_{own}" for n in (
+        "host", "text", "lines", "gone", "base", "cut", "left"))
+    rows = docs.drop("rules").withColumns({
+        host_: F.coalesce(F.col(host).cast("string"), F.lit("")), text_: F.coalesce("text", F.lit(""))})
+    found = boilerplate(rows.select(F.col(host_).alias("host"), F.col(text_).alias("text")), min_docs, max_share, copies)
+    rows = rows.join(written(found).toDF(host_, lines_), host_, "left")
+    is_common = lambda x: F.array_contains(lines_, line_key(normal(x)))
+    split = F.split(text_, "\n")
+    rows = rows.withColumn(gone_, F.when(F.col(lines_).isNotNull(), F.filter(split, is_common)))
+    hit = F.size(gone_) > 0
+    gone = F.array_join(gone_, "\n")
+    rows = rows.withColumns({
+        base_: F.pandas_udf(base, BASE)(text_),
+        cut_: F.when(hit, F.size(F.filter(F.split(gone, SPACE), lambda w: w != ""))).otherwise(0).cast("long"),
+        left_: F.when(hit, F.array_join(F.filter(split, lambda x: ~is_common(x)), "\n")).otherwise(F.col(text_))})
+    n, cut = F.col(f"{base_}.n_words"), F.col(cut_)
+    failed = (n < min_words) | (100 * F.col(f"{base_}.n_repeat_words") > 30 * n)
     depleted = (n - cut < min_words) | (cut > max_removed * n)
-    rules = F.struct("base.*", failed.alias("base_failed"), F.col("lines").alias("n_lines_removed"),
-                     cut.alias("n_words_removed"), "left", (~failed & ~depleted).alias("kept"))
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "rules"], rules.alias("rules"))
+    rules = F.struct(f"{base_}.*", failed.alias("base_failed"),
+                     F.when(hit, F.size(gone_)).otherwise(0).alias("n_lines_removed"),
+                     cut.alias("n_words_removed"), F.col(left_).alias("left"),
+                     (~failed & ~depleted).alias("kept"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != "rules"], rules.alias("rules"))
