@@ -17,6 +17,8 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 #: Spark then deletes the shuffle files of a query when the query ends, not when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a step is written: batches for Python workers hold few rows, as a row can hold a text or a set of hashes.
+WRITING = {CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,12 +43,14 @@ def written(df: DataFrame) -> DataFrame:
     """
     session, path = df.sparkSession, scratch(df.sparkSession)
     _LEFT[path] = session
-    before = session.conf.get(CLEANUP, None)
-    session.conf.set(CLEANUP, "true")
+    before = {key: session.conf.get(key, None) for key in WRITING}
+    for key, value in WRITING.items():
+        session.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        session.conf.unset(CLEANUP) if before is None else session.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            session.conf.unset(key) if value is None else session.conf.set(key, value)
     out = session.read.schema(df.schema).parquet(path)
     out.scratch_folder = path
     return out
