@@ -1,9 +1,10 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles, for the pipeline.
 
-Two texts link when the sets of their shingles have a similarity of at least `least`. Candidates come from MinHash in
-`BANDS` bands of `ROWS` values: a pair at the threshold of 0.8 shares no band with probability 3.2e-6, a pair above it
-more seldom. Every candidate is compared exactly before it links. A 64-bit SimHash cannot serve here: pairs at 0.8
-differ in more bits than any selective key allows.
+Two texts link when the sets of their shingles have a similarity of at least `least`. Candidates come from operator 4:
+the SimHash of the set, joined through the pigeonring filter. A 64-bit SimHash alone loses links, as pairs at 0.8 differ
+in more bits than any selective key allows; MinHash in `BANDS` bands of `ROWS` values adds what lies beyond its radius: a
+pair at the threshold of 0.8 shares no band with probability 3.2e-6, a pair above it more seldom. Every candidate of
+either kind is compared exactly before it links.
 
 Texts with equal sets are one node. A band key with up to `hot` nodes gives all its pairs. In a larger one nodes with
 too many shingles of their own to reach the threshold with any other are set aside; the others are compared with
@@ -25,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arrearview.llm import simhash
 from arrearview.llm.common import discard, mixed, pieces, written
 from arrearview.llm.components import components
 from arrearview.llm.simhash import LOWER
@@ -33,7 +35,7 @@ BANDS, ROWS = 24, 4
 _R = np.random.default_rng(11)
 _TIMES = _R.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _R.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
-ROW = "doc_id long, node long, bands array<long>, text string"
+ROW = "doc_id long, node long, fp long, bands array<long>, text string"
 
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -74,6 +76,7 @@ def _rows(docs: DataFrame, shingle: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"),
                                 "node": np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets],
                                                  np.uint64).view(np.int64),
+                                "fp": np.array([simhash.majority(s) for s in sets], np.int64),
                                 "bands": [bands(s) for s in sets], "text": frame["text"]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(made, ROW)
@@ -167,15 +170,27 @@ def _hot_links(members: DataFrame, sets: DataFrame, least: float, leaders: int)
     return found, pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
+def _prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints operator 4 links, with one node for each fingerprint, and its equals."""
+    first = written(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.join(first, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    linked = simhash.links(first.select("fp"))
+    near = linked.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select("x", "y")
+    return written(equal.filter("a <> b").union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def links(nodes: DataFrame, texts, shingle: int = 5, least: float = 0.8, hot: int = 32,
           leaders: int = 4) -> DataFrame:
     """Links (a, b) that connect all nodes of a similarity of at least `least`; `texts` gives some nodes their text."""
+    marked = written(nodes.select("node", "fp"))
+    prints = _prints(marked)
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     # A counted key is written before it is joined: only a join of two plain exchanges has its hot keys split.
     sizes = written(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"))
     dense = written(keyed.join(sizes, ["band", "key"]))
-    sets = written(_sets(texts(dense.select("node").distinct()), shingle))
-    pairs, found = _pairs(dense.filter(F.col("n") <= hot)), []
+    wanted = dense.select("node").union(prints.select("a")).union(prints.select("b")).distinct()
+    sets = written(_sets(texts(wanted), shingle))
+    pairs, found = prints.union(_pairs(dense.filter(F.col("n") <= hot))), []
     burning = dense.filter(F.col("n") > hot).drop("n")
     if not burning.isEmpty():
         found, more = _hot_links(burning, sets, least, leaders)
@@ -184,7 +199,7 @@ def links(nodes: DataFrame, texts, shingle: int = 5, least: float = 0.8, hot: in
     for more in found:
         out = out.union(more)
     out = written(out.distinct())
-    for done in (sizes, dense, sets):
+    for done in (marked, prints, sizes, dense, sets):
         discard(done)
     return out
 
@@ -198,7 +213,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, hot:
         one = written(nodes.join(wanted, "node", "left_semi").select("row"))
         return rows.join(one, "row").select("node", "text")
 
-    keyed = rows.join(nodes.select("row"), "row", "left_semi").select("node", "bands")
+    keyed = rows.join(nodes.select("row"), "row", "left_semi").select("node", "fp", "bands")
     found = components(links(keyed, texts, shingle, least, hot))
     named = written(nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
                     .select("node", "least", F.coalesce("component", "node").alias("component")))

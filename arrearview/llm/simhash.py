@@ -45,11 +45,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter([digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), (ends[-n:] - 1).tolist())],
                          np.uint64, n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit number; zero where there is none."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
+    for i in range(0, len(hashes), 1 << 16):
         part = hashes[i:i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">i8")[0])
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

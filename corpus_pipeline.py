@@ -31,7 +31,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of a shingle similarity of 0.8: the one with the least id; of rows that are alike one."""
+    """One document of each group of a shingle similarity of 0.8: the one with the least id; of rows that are alike one.
+
+    Candidates are the links of operator 4 (SimHash, pigeonring), and of MinHash beyond its radius; all are compared.
+    """
     groups = written(jaccard.near_duplicates(docs.select("doc_id", "text")))
     keep = written(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct())
     rows = _as_row(docs)

@@ -48,6 +48,24 @@ def test_near_duplicates(spark, odd, hot):
     assert bag(got) == bag(groups([(d, sets(t)) for d, t in rows]))
 
 
+def test_simhash_gives_candidates(spark):
+    """Near copies that share no MinHash band are found by their fingerprints, and compared before they link."""
+    base, r = prose(7, 400), random.Random(5)
+    texts = [base, changed(base, 3, r), prose(8, 400)]
+    rows = [(i, jaccard.simhash.fingerprint(base, 5) ^ (1 << i), [3 * i, 3 * i + 1], t) for i, t in enumerate(texts)]
+    nodes = spark.createDataFrame(rows, "node long, fp long, bands array<long>, text string")
+    found = jaccard.links(nodes, lambda wanted: nodes.join(wanted, "node").select("node", "text"))
+    assert len(sets(texts[0]) & sets(texts[1])) >= 0.8 * len(sets(texts[0]) | sets(texts[1]))
+    assert [tuple(x) for x in found.collect()] == [(0, 1)]
+
+
+def test_rows_carry_the_simhash_of_their_shingles(spark):
+    text = prose(9, 300)
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got = {x["doc_id"]: x["fp"] for x in jaccard._rows(docs, 5).collect()}
+    assert got == {1: jaccard.simhash.majority(jaccard.shingles(text)), 2: 0}
+
+
 def test_stage_takes_near_copies(spark):
     """One word in fifty: a similarity of about 0.82."""
     import corpus_pipeline
