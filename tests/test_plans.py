@@ -1,12 +1,14 @@
 """Physical plans: where the data moves, and where it must not."""
 
 import re
+import uuid
 
 import pytest
 
 from arrearview.book import LoanBook
 from arrearview.plans import core, marts
 from arrearview.sources.raw import RAW_TABLES, schema
+from arrearview.sources.store import TableStore
 from arrearview.workload import QUERIES
 
 
@@ -128,3 +130,16 @@ def test_funnel_and_first_payments_read_their_sources_once(spark, tmp_path):
     fpd = marts.fpd_by_segment(payments, applications, b.d)
     assert scans(fpd, "raw_installments_payments") == scans(fpd, "raw_previous_application") == 1
     assert sum("sk_id_prev" in m for m in shuffles(fpd)) == 3  # payments by version, by contract; applications
+
+
+def test_open_months_are_written_where_they_lie(spark, tmp_path):
+    """Rows kept by a column are sorted in the task that made them: no exchange before the write."""
+    store = TableStore(spark, str(tmp_path / "kept"), f"kept{uuid.uuid4().hex[:6]}_", 2)
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id as sk_id_prev", "cast(-(id % 5) as int) as months_balance")
+    try:
+        kept = store.keep("core", "kept", rows, by="months_balance")
+        seen = sorted(f.rsplit("/", 2)[1] for f in kept.inputFiles())
+        assert seen == sorted(f"months_balance={-m}" for m in range(5) for _ in range(4))
+        assert kept.exceptAll(rows).count() == rows.exceptAll(kept).count() == 0
+    finally:
+        store.drop()
