@@ -19,8 +19,9 @@ MARTS = ("funnel_by_channel", "fpd_by_segment", "vintage", "roll_rate", "roll_ra
 class LoanBook:
     """Ordered build of the layers; dependencies are the attributes a table reads.
 
-    With a TableStore each table is written when it is first needed and read back afterwards. With
-    the default LazyStore the book is one lazy plan.
+    With a TableStore each table is written when it is first needed and read back afterwards. The monthly fact and the
+    outcomes are written when they are asked for themselves, as `build` does; a table on them reads what is written, or
+    else their plans over the panel and the dimension. With the default LazyStore the book is one lazy plan.
     """
 
     def __init__(self, spark: SparkSession, raw: dict[str, DataFrame], definitions: Definitions | None = None,
@@ -56,6 +57,22 @@ class LoanBook:
         dim = core.dim_loan(self.int_loan_month, self.stg("previous_application"), self.d, self.store.buckets)
         return self.store.keep("core", "dim_loan", dim, by_contract=True)
 
+    def _written(self, name: str) -> bool:
+        return name in self.__dict__ or self.store.published is not None
+
+    def _fact(self) -> DataFrame:
+        """The monthly fact to build on. It takes no exchange over the panel and is wide, so it is planned again rather
+        than written on the way."""
+        if self._written("fct_loan_month"):
+            return self.fct_loan_month
+        return core.fct_loan_month(self.int_loan_month, self.dim_loan, self.d)
+
+    def _outcome(self) -> DataFrame:
+        """The outcomes to build on, in the same way."""
+        if self._written("loan_outcome"):
+            return self.loan_outcome
+        return core.loan_outcome(self._fact(), self.dim_loan, self.d)
+
     @cached_property
     def fct_loan_month(self) -> DataFrame:
         fact = core.fct_loan_month(self.int_loan_month, self.dim_loan, self.d)
@@ -63,18 +80,18 @@ class LoanBook:
 
     @cached_property
     def loan_outcome(self) -> DataFrame:
-        outcome = core.loan_outcome(self.fct_loan_month, self.dim_loan, self.d)
+        outcome = core.loan_outcome(self._fact(), self.dim_loan, self.d)
         return self.store.keep("core", "loan_outcome", outcome, by_contract=True)
 
     @cached_property
     def open_months(self) -> DataFrame:
         """Open contract-months, in one partition per month."""
-        months = core.open_months(self.fct_loan_month, self.loan_outcome, self.d)
+        months = core.open_months(self._fact(), self._outcome(), self.d)
         return self.store.keep("core", "open_months", months, by="months_balance")
 
     @cached_property
     def cohort_cells(self) -> DataFrame:
-        return self.store.keep("mart", "cohort_cells", cohorts.cohort_cells(self.loan_outcome, self.d))
+        return self.store.keep("mart", "cohort_cells", cohorts.cohort_cells(self._outcome(), self.d))
 
     @cached_property
     def application_amounts(self) -> DataFrame:
@@ -94,13 +111,13 @@ class LoanBook:
 
     @cached_property
     def vintage(self) -> DataFrame:
-        return self.store.keep("mart", "vintage", marts.vintage(self.loan_outcome, self.d))
+        return self.store.keep("mart", "vintage", marts.vintage(self._outcome(), self.d))
 
     @cached_property
     def transition_base(self) -> DataFrame:
         """Additive cells of successive months; the matrices and cures are sums over them."""
         return self.store.keep("mart", "transition_base",
-                               marts.transition_base(self.fct_loan_month, self.dim_loan, self.d))
+                               marts.transition_base(self._fact(), self.dim_loan, self.d))
 
     @cached_property
     def roll(self) -> DataFrame:

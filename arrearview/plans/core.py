@@ -44,7 +44,10 @@ def int_loan_month(card: DataFrame, pos: DataFrame, d: Definitions, buckets: int
     single = rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     if buckets:
         single = single.repartition(buckets, "sk_id_prev")
-    has_card = F.max(is_card).over(Window.partitionBy("sk_id_prev"))
+    # In the order that the panel is kept in, so the write finds its rows sorted.
+    whole = Window.partitionBy("sk_id_prev").orderBy("months_balance").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    has_card = F.max(is_card).over(whole)
     return single.withColumn("_has_card", has_card).where(is_card | ~F.col("_has_card")).drop("_has_card")
 
 

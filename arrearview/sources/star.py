@@ -186,9 +186,14 @@ def installments_payments(book: DataFrame) -> DataFrame:
     return _typed(loans, "installments_payments").unionByName(_typed(cards, "installments_payments"))
 
 
+# Each order becomes some 20 months: 2 million rows for a task to expand.
+ORDERS_PER_TASK = 100_000
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows about to be expanded over all partitions: they are narrow and few, their months are not."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // ORDERS_PER_TASK)))
 
 
 def lending_tables(spark: SparkSession, star_dir: str) -> dict[str, DataFrame]:

@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,23 @@ def shared_folder(spark: SparkSession) -> str:
 ROWS_PER_BUCKET = 2_000_000
 
 
+_SETTINGS = threading.RLock()
+
+
+@contextmanager
+def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
+    """Session settings for the time of one write; whatever the session had is put back."""
+    with _SETTINGS:
+        before = {k: spark.conf.get(k, None) for k in wanted}
+        try:
+            for k, v in wanted.items():
+                spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class SmallFiles:
     """Text files of a folder in whatever file system Spark reads it from."""
 
@@ -95,6 +114,7 @@ class LazyStore:
     """Keeps nothing: every table stays a lazy plan over the raw tables."""
 
     buckets = None
+    published = None
 
     def fit(self, *panels: DataFrame) -> None:
         """Nothing is written, so nothing needs sizing."""
@@ -220,11 +240,19 @@ class TableStore:
             writer = df.write
         made = {"layer": layer, "name": name, "sorted": in_order, "by": by}
         self.made[target] = made  # what a failed write leaves is dropped, too
-        writer.format("parquet").option("compression", "zstd").mode("overwrite").saveAsTable(target)
+        with settings(self.spark, **self._planned()):
+            writer.format("parquet").option("compression", "zstd").mode("overwrite").saveAsTable(target)
         out = self.spark.table(target)
         made["schema"] = json.loads(out.schema.json())
         return out
 
+    def _planned(self) -> dict[str, str]:
+        """How the plan of a kept table is laid out: partitions of an exchange grow with the panel, as its buckets do, and
+        the file of a bucket is read in the order it was written in, so what needs that order does not sort again."""
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return {"spark.sql.shuffle.partitions": str(max(least, self.buckets or 0)),
+                "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+
     def step(self, layer: str) -> Callable[[DataFrame, str], DataFrame] | None:
         """How a plan writes what it needs to look at before it goes on; none in a published build, which is only read."""
         return None if self.published is not None else lambda df, name: self.keep(layer, name, df)

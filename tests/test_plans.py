@@ -8,7 +8,7 @@ import pytest
 from arrearview.book import LoanBook
 from arrearview.plans import core, marts
 from arrearview.sources.raw import RAW_TABLES, schema
-from arrearview.sources.store import TableStore
+from arrearview.sources.store import TableStore, settings
 from arrearview.workload import QUERIES
 
 
@@ -143,3 +143,64 @@ def test_open_months_are_written_where_they_lie(spark, tmp_path):
         assert kept.exceptAll(rows).count() == rows.exceptAll(kept).count() == 0
     finally:
         store.drop()
+
+
+def test_marts_do_not_write_the_fact_on_the_way(spark, star_dir, book, tmp_path):
+    """What a mart reads once is planned over the panel; a build writes it, and then it is read."""
+    store = TableStore(spark, str(tmp_path / "alone"), f"alone{uuid.uuid4().hex[:6]}_", 2)
+    alone = LoanBook(spark, book.raw, book.d, store)
+    try:
+        got = {n: sorted(map(repr, getattr(alone, n).collect())) for n in ("roll", "vintage", "open_months")}
+        assert {t["name"] for t in store.made.values()} == {
+            "int_loan_month", "dim_loan", "transition_base", "roll", "vintage", "open_months"}
+        _ = alone.fct_loan_month, alone.loan_outcome
+        read = plan(marts.transition_base(alone._fact(), alone.dim_loan, alone.d))
+        assert "fct_loan_month" in read and "loan_outcome" in plan(alone._outcome())
+        for name, rows in got.items():
+            want = {"roll": lambda: marts.roll_matrix(marts.transition_base(
+                        alone.fct_loan_month, alone.dim_loan, alone.d), alone.d),
+                    "vintage": lambda: marts.vintage(alone.loan_outcome, alone.d),
+                    "open_months": lambda: core.open_months(alone.fct_loan_month, alone.loan_outcome, alone.d)}[name]()
+            assert sorted(map(repr, want.select(getattr(alone, name).columns).collect())) == rows
+    finally:
+        store.drop()
+
+
+def test_kept_tables_are_read_in_their_order(spark, tmp_path):
+    """A bucket is one file in order: the plan of a kept table does not sort it again, and the session keeps its settings."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.legacy.bucketedTableScan.outputOrdering")
+    before = [spark.conf.get(n, None) for n in names]
+    store = TableStore(spark, str(tmp_path / "order"), f"order{uuid.uuid4().hex[:6]}_", 11)
+    rows = spark.range(0, 600, 1, 4).selectExpr("id % 50 as sk_id_prev", "cast(-(id div 50) as int) as months_balance")
+    seen = []
+    try:
+        panel = store.keep("core", "panel", rows, by_contract=True)
+        later = panel.selectExpr("*", "lead(months_balance) over (partition by sk_id_prev order by months_balance) as later")
+        with settings(spark, **store._planned()):
+            text = plan(later)
+            seen.append(plan(rows.groupBy("sk_id_prev").count()))
+        assert "Sort [" not in text and "Exchange" not in text
+        assert "hashpartitioning(sk_id_prev" in seen[0] and ", 11)" in seen[0]
+        kept = store.keep("core", "later", later, by_contract=True)
+        assert kept.exceptAll(later).count() == later.exceptAll(kept).count() == 0
+        assert [spark.conf.get(n, None) for n in names] == before
+        with pytest.raises(RuntimeError), settings(spark, **store._planned()):
+            raise RuntimeError
+        assert [spark.conf.get(n, None) for n in names] == before
+    finally:
+        store.drop()
+
+
+def test_panel_is_sorted_in_the_order_it_is_kept_in(book):
+    text = plan(core.int_loan_month(book.stg("credit_card_balance"), book.stg("pos_cash_balance"), book.d, 8))
+    last = next(line for line in text.splitlines() if "Sort [" in line)
+    assert re.search(r"Sort \[sk_id_prev#\d+L? ASC NULLS FIRST, months_balance#\d+ ASC NULLS FIRST\]", last)
+
+
+def test_orders_are_dealt_by_their_number(spark):
+    from arrearview.sources import star
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert star.spread(spark.range(10)).rdd.getNumPartitions() == least
+    many = star.spread(spark.range(star.ORDERS_PER_TASK * (least + 3) + 1))
+    assert many.rdd.getNumPartitions() == least + 4
