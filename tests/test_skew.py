@@ -88,3 +88,34 @@ def test_median_of_values_that_lie_close(spark):
     bins = [df for name, df in seen if "bins" in name]
     assert bins[0].agg(F.max("_values")).first()[0] == n and bins[-1].agg(F.max("_values")).first()[0] <= 5_000
     assert len(bins) == 2 + (n // 1023 > 5_000)
+
+
+def test_only_crowded_contracts_are_reduced_before_they_move(spark, tmp_path, monkeypatch):
+    """A panel without them moves once; with them, or with rows that have no contract, it is the panel ranked as a whole."""
+    from arrearview.plans import core
+    from arrearview.sources.store import TableStore
+
+    monkeypatch.setattr(core, "CROWDED_ROWS", 40)
+    few = [(k, k, -m, 12.0, 6.0, "Active", (k * m + i) % 7, k % 3) for k in range(2, 60) for m in range(1, 9) for i in (0, 3)]
+    many = [(k, 1, m, 12.0, 6.0, "Active", i % 97, i % 9) for k in (1, None) for m in (-5, -4, None) for i in range(200)]
+    cards = [(k, k, -m, 1.0 * i, 9.0, None, None, None, None, None, None, "Active", i, 0)
+             for k in (1, 5, None) for m in (2, 5) for i in range(30)]
+    moved = "Exchange hashpartitioning(sk_id_prev"
+    for pos, crowded in ((few, set()), (few + many, {1, 5, None})):
+        raw = {t: spark.createDataFrame([], schema(t)) for t in RAW_TABLES}
+        raw["pos_cash_balance"] = hot(spark, "pos_cash_balance", pos)
+        if crowded:
+            raw["credit_card_balance"] = hot(spark, "credit_card_balance", cards)
+        store = TableStore(spark, str(tmp_path / f"crowd{len(crowded)}"), f"crowd{uuid.uuid4().hex[:6]}_", 3)
+        b, ranked = LoanBook(spark, raw, D, store), LoanBook(spark, raw, D)
+        try:
+            assert {r[0] for r in b._crowded.collect()} == crowded
+            once = core.int_loan_month(*b._panels, D, 3, b._crowded)._jdf.queryExecution().executedPlan().toString()
+            assert crowded or once.count(moved) == once.count("Sort [") == 1
+            for name in ("int_loan_month", "source_months"):
+                kept, whole = getattr(b, name), getattr(ranked, name)
+                assert kept.exceptAll(whole).count() == whole.exceptAll(kept).count() == 0 < kept.count(), name
+            folded = core.source_contracts(b.source_months)._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in folded
+        finally:
+            store.drop()
