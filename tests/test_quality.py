@@ -94,3 +94,22 @@ def test_the_sources_move_once(book):
     assert text.count("Exchange hashpartitioning(sk_id_prev") == 1
     for rows in (quality._panel_reconcile(book), quality._duplicate_months(book), quality._in_both(book)):
         assert "source_months" in plan(rows) and "orders" not in plan(rows)
+
+
+def test_repeated_rows_stay_in_their_buckets(book):
+    """A fault that repeats months of the fact reads it once and moves nothing; the rows are those of a union."""
+    fault = next(f for f in faults.FAULTS if f.check == "grain_contract_month")
+    check = next(c for c in quality.CHECKS if c.name == fault.check)
+    edited, fact = fault.plant(book), book.fct_loan_month
+    text = check.rows(edited)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and text.count("FileScan") == 1
+    want = fact.unionByName(fact.where("sk_id_prev % 7 = 0 and mob = 3"))
+    assert edited.fct_loan_month.exceptAll(want).count() == want.exceptAll(edited.fct_loan_month).count() == 0
+    assert check.rows(edited).count() == want.count() - fact.count() > 0
+
+
+def test_a_row_whose_condition_is_null_is_not_repeated(spark):
+    rows = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (2, "c")], "k int, v string")
+    edited = faults.repeated("k = 2")(rows)
+    assert edited.columns == rows.columns
+    assert sorted(map(repr, edited.collect())) == sorted(map(repr, rows.unionByName(rows.where("k = 2")).collect()))
