@@ -95,15 +95,16 @@ def with_rules(docs: DataFrame, host: str = "source", min_docs: int = 5, max_sha
         "host", "text", "lines", "gone", "base", "cut", "left"))
     rows = docs.drop("rules").withColumns({
         host_: F.coalesce(F.col(host).cast("string"), F.lit("")), text_: F.coalesce("text", F.lit(""))})
+    # Else a filter on the rules is split and pushed down with the function, which then runs twice, in two workers a task.
+    once = F.pandas_udf(base, BASE).asNondeterministic()
     found = boilerplate(rows.select(F.col(host_).alias("host"), F.col(text_).alias("text")), min_docs, max_share, copies)
-    rows = rows.join(written(found).toDF(host_, lines_), host_, "left")
+    rows = rows.withColumn(base_, once(text_)).join(written(found).toDF(host_, lines_), host_, "left")
     is_common = lambda x: F.array_contains(lines_, line_key(normal(x)))
     split = F.split(text_, "\n")
     rows = rows.withColumn(gone_, F.when(F.col(lines_).isNotNull(), F.filter(split, is_common)))
     hit = F.size(gone_) > 0
     gone = F.array_join(gone_, "\n")
     rows = rows.withColumns({
-        base_: F.pandas_udf(base, BASE)(text_),
         cut_: F.when(hit, F.size(F.filter(F.split(gone, SPACE), lambda w: w != ""))).otherwise(0).cast("long"),
         left_: F.when(hit, F.array_join(F.filter(split, lambda x: ~is_common(x)), "\n")).otherwise(F.col(text_))})
     n, cut = F.col(f"{base_}.n_words"), F.col(cut_)

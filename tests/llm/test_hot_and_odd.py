@@ -1,6 +1,7 @@
 """Hot groups, clashing columns, caps that are gone, and windows that are not skipped."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -153,3 +154,23 @@ def test_simhash_and_scratch(spark, none):
     assert df.count() == 3 and df.scratch_folder in common._LEFT
     common.discard(df)
     assert df.scratch_folder not in common._LEFT
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_quality_rules_read_each_text_once(spark, tmp_path, broadcast):
+    """One Python worker a task: base numbers are not made again for the filter on them."""
+    import corpus_pipeline
+
+    rows = [(i, f"{prose(i, 40)}\nfooter of s{i % 2}", "en", f"s{i % 2}", 0) for i in range(30)] + odd_rows()
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, before = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        out = corpus_pipeline.quality_rules(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {tuple(r) for r in out.select("doc_id", "text").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"ArrowEvalPython \[", plan)) == 1
+    kept = {(r["doc_id"], r["rules"]["left"]) for r in line_rules.with_rules(docs).collect() if r["rules"]["kept"]}
+    assert got == kept and {(i, prose(i, 40)) for i in range(30)} <= got
