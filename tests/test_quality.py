@@ -113,3 +113,37 @@ def test_a_row_whose_condition_is_null_is_not_repeated(spark):
     edited = faults.repeated("k = 2")(rows)
     assert edited.columns == rows.columns
     assert sorted(map(repr, edited.collect())) == sorted(map(repr, rows.unionByName(rows.where("k = 2")).collect()))
+
+
+def test_faults_of_one_table_are_counted_in_one_scan(book):
+    """Three faults of the fact and two of the dimension: each counted as if it were planted alone."""
+    checks = {c.name: c for c in quality.CHECKS}
+    for table, n in (("fct_loan_month", 3), ("dim_loan", 2)):
+        some = [f for f in faults.FAULTS if f.table == table and isinstance(f.edit, faults.Changed)]
+        assert len(some) == n
+        counted = faults._of_rows(book, some)
+        assert counted._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+        got = {r["check_name"]: r["n_violations"] for r in counted.collect()}
+        assert got == {f.check: checks[f.check].rows(f.plant(book)).count() for f in some} and all(got.values())
+
+
+def test_the_payments_are_read_once_for_two_faults(book):
+    some = [f for f in faults.FAULTS if f.check in quality.OF_PAYMENTS]
+    both = faults._of_payments(book, some)
+    once = quality._fpd_reconcile(book)._jdf.queryExecution().executedPlan().toString()
+    text = both._jdf.queryExecution().executedPlan().toString()
+    assert len(some) == 2 and text.count("orders.parquet") < 2 * once.count("orders.parquet")
+    assert {r["check_name"]: r["n_violations"] for r in both.collect()} == dict.fromkeys(quality.OF_PAYMENTS, 1)
+    one_sound = faults._of_payments(book, [some[0], faults.Fault(some[1].check, some[1].table, faults.without("false"))])
+    assert {r["check_name"]: r["n_violations"] for r in one_sound.collect()} == {some[0].check: 1, some[1].check: 0}
+
+
+def test_several_faults_of_one_check_are_counted_one_by_one(book):
+    """The same check twice, by a changed column and by rows left out, and changes that meet NULL conditions."""
+    kinds = (faults.Fault("range_age", "fct_loan_month", faults.changed("mob", "-1", "mob = 2")),
+             faults.Fault("range_age", "fct_loan_month", faults.changed("mob", "null", "nullif(mob, 3) = 2 or mob = 4")),
+             faults.Fault("range_age", "fct_loan_month", faults.without("mob = 2")),
+             faults.Fault("range_delay", "fct_loan_month", faults.changed("dpd", "null", "mob = 2")))
+    months = {r["mob"]: r["count"] for r in book.fct_loan_month.groupBy("mob").count().collect()}
+    got = [r["n_violations"] for r in faults.noticed(book, kinds).collect()]
+    assert got == [months[2], months[2] + months[4], 0, months[2]]

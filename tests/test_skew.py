@@ -119,3 +119,26 @@ def test_only_crowded_contracts_are_reduced_before_they_move(spark, tmp_path, mo
             assert "Exchange" not in folded
         finally:
             store.drop()
+
+
+def test_one_window_ranks_and_chooses_the_source(spark):
+    """Rows in the bucket of their contract pass one window; months and contracts may be NULL, and cards go first."""
+    from arrearview.plans import core
+
+    pos = [(k, i, m, 12.0, 6.0, s, i * 7 % 5, i % 3) for k in (1, 2, 3, None) for m in (-3, -2, None)
+           for i, s in enumerate(("Active", None, "Completed", "Active"))]
+    cards = [(k, i, m, 1.0 * i, 9.0, None, None, None, None, None, None, "Active", i, 0)
+             for k, m in ((2, -2), (2, -1), (3, None), (4, -5)) for i in range(3)]
+    raw = {t: spark.createDataFrame([], schema(t)) for t in RAW_TABLES}
+    raw["pos_cash_balance"], raw["credit_card_balance"] = hot(spark, "pos_cash_balance", pos), hot(
+        spark, "credit_card_balance", cards)
+    whole = LoanBook(spark, raw, D)
+    nobody = core.crowded_contracts(*whole._panels).limit(0)
+    panel = core.int_loan_month(*whole._panels, D, 3, nobody)
+    text = panel._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Window [") == 1 and "WindowGroupLimit" not in text
+    want = whole.int_loan_month
+    assert panel.exceptAll(want).count() == want.exceptAll(panel).count() == 0
+    months = {(r[0], r[1]): r[2] for r in panel.select("sk_id_prev", "months_balance", "source").collect()}
+    assert len(months) == panel.count() == 10 and (2, -3) not in months
+    assert {s for (k, _), s in months.items() if k in (2, 3, 4)} == {D.card_source}
